@@ -47,3 +47,19 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that and one."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` bound to a lambda variable, so that loops inside don't evaluate it again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words_spaced(text: Column) -> Column:
+    """Array of the maximal runs without white space; null text: no words."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
+
+
+def count_spaced(text: Column) -> Column:
+    """Number of words of ``words_spaced`` as long, without making them."""
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.octet_length(F.regexp_replace(inner, f"[{SPACE}]*[^{SPACE}]+", "x")).cast("long")
