@@ -57,12 +57,12 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 ORACLE = r"""
-WITH l AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+WITH l AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 w AS (SELECT doc_id, unnest(range(0, len(lines) - 2)) AS pos, lines FROM l WHERE len(lines) >= 3),
 h AS (SELECT doc_id, pos, array_to_string(lines[pos + 1 : pos + 3], chr(10)) AS win FROM w),
 f AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS r FROM h),
 c AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM f WHERE r > 1 GROUP BY doc_id)
 SELECT l.doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, (x, i) -> NOT list_contains(gone, i - 1)), chr(10)) END AS text
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
 FROM l LEFT JOIN c ON l.doc_id = c.doc_id
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, simhash
+from . import decontam, line_dedup, mixing, quality, simhash, url_trust
 from .common import read_table
 
 
@@ -19,10 +19,28 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed values of the query's contract.
+URL_RULES = [
+    url_trust.Rule("com", "/en/", "block"),
+    url_trust.Rule("example.com", "/en/7", "allow"),
+    url_trust.Rule("net", "/de/", "allow"),
+    url_trust.Rule("example.net", "/de/8", "block"),
+    url_trust.Rule("org", "/es/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
         "op4_decontamination": op4_decontamination,
+        "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
+        "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
     }
 
