@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; for a scan, the size of its files. No job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lower_ascii(text: Column) -> Column:
