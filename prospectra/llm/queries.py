@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_automaton, mixing, quality, simhash, url_trust
+from . import decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, quality, simhash, toxicity, url_trust
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_automaton.score(read_table(spark, sf_dir, "documents"))
 
@@ -41,22 +45,33 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_lm_score": op2_lm_score,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
+        "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
+        "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
     }
 
