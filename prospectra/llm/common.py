@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,9 @@ def count_spaced(text: Column) -> Column:
     """Number of words of ``words_spaced`` as long, without making them."""
     inner = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.octet_length(F.regexp_replace(inner, f"[{SPACE}]*[^{SPACE}]+", "x")).cast("long")
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """A new folder for a pipeline's intermediate tables, within the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"

@@ -18,14 +18,14 @@ from .tokens import by_length, mixed, numbered, prefix_hashes, span_hashes
 SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 5000
 BUCKETS_LOG2 = 16
-DIM = 16
+DIM = 8
 WIDTHS = (1, 2, 3)
-FILTERS = 12
-EPOCHS = 8
+FILTERS = 8
+EPOCHS = 4
 BATCH = 32
 RATE = 0.05
 #: Byte lengths of the pieces that are hashed besides the whole word; the word is bounded by < and >.
-PIECES = (4, 5, 6, 7)
+PIECES = (4, 6)
 #: A longer word is hashed whole and by the pieces of its beginning only.
 _WORD_BYTES = 64
 _NOISE = regex.compile(r"[^\p{L}\p{N}]+")
@@ -33,7 +33,7 @@ _NOISE = regex.compile(r"[^\p{L}\p{N}]+")
 
 def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each token, one after another, and where each begins: the word, and its byte pieces."""
-    words = [b"<" + _NOISE.sub("", t).encode() + b">" for t in tokens]
+    words = [b"<" + (t if t.isalnum() else _NOISE.sub("", t)).encode() + b">" for t in tokens]
     owners, buckets = [], []
     shift = np.uint64(64 - BUCKETS_LOG2)
     for part, matrix in by_length(words):
@@ -129,6 +129,16 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     tokens, docs = numbered(texts)
     buckets, starts = features(tokens)
     ends = np.append(starts[1:], len(buckets))
+    # the first dimension starts as how much more often a bucket's words stand in documents of label 1, in standard errors
+    seen = np.zeros((2, 1 << BUCKETS_LOG2))
+    for ids, label in zip(docs, labels.tolist()):
+        if len(ids):
+            seen[label][np.unique(np.concatenate([buckets[starts[t] : ends[t]] for t in np.unique(ids)]))] += 1
+    clean = seen[0] * (labels.sum() / max(1, (1 - labels).sum()))
+    net.embed[:, 0] = np.clip((seen[1] - clean) / np.sqrt(seen[1] + clean + 4), -4, 4)
+    for kernel in net.kernels:
+        kernel[:, 0] = np.abs(kernel[:, 0])
+    net.out[:] = np.abs(net.out)
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
     params = {"embed": net.embed, "bias": net.bias, "out": net.out, **{f"k{i}": k for i, k in enumerate(net.kernels)}}
     squares = {name: np.full_like(p, 1e-2) for name, p in params.items()}
