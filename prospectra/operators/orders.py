@@ -62,7 +62,7 @@ def grid_tasks(orders: DataFrame) -> DataFrame:
     """A map search for every point and keyword; orders without a box or keywords have none."""
     points = grid_points(orders).select("*", F.posexplode("keywords").alias("_k", "_kw")).withColumn("_order", F.struct(F.lit(2).alias("a"), F.col("_i").alias("b"), F.col("_j").alias("c"), F.col("_k").alias("d")))
     url = F.concat(F.lit(GRID_URL), url_quote(F.col("_kw")), F.format_string("/@%.4f,%.4f,", "_lat", "_lng"), F.col("zoom").cast("string"), F.lit("z"))
-    place = F.concat(F.lit("Grid_"), F.col("_lat").cast("string"), F.lit("_"), F.col("_lng").cast("string"))
+    place = F.format_string("Grid_%.4f_%.4f", "_lat", "_lng")
     return _task(points, url, F.col("_kw"), place, "grid_url", "Grid", url=url, key=url)
 
 
