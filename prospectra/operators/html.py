@@ -11,13 +11,18 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-PAGE_SCHEMA = "text string, title string, has_viewport boolean, has_description boolean, has_review_type boolean, links array<struct<href:string,text:string>>"
-CARD_SCHEMA = (
-    "array<struct<text:string,href:string,label:string,title:string,website:string,reviews:string,rating:string,phone:string,info:array<string>>>"
+_TEXT, _FLAG = T.StringType(), T.BooleanType()
+# types, not DDL: executors import this module without a session
+PAGE_SCHEMA = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("text", "title")]
+    + [T.StructField(n, _FLAG) for n in ("has_viewport", "has_description", "has_review_type")]
+    + [T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", _TEXT), T.StructField("text", _TEXT)])))]
 )
+CARD_SCHEMA = T.ArrayType(T.StructType([*[T.StructField(n, _TEXT) for n in ("text", "href", "label", "title", "website", "reviews", "rating", "phone")], T.StructField("info", T.ArrayType(_TEXT))]))
 
 
 class Node:

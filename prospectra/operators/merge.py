@@ -121,7 +121,7 @@ def upsert_raw_leads(leads: DataFrame, parsed: DataFrame, now: Column, keep_enri
         if c == "data_status":
             return F.when(is_new, "RAW").when(is_old | old.isin(*stay), old).otherwise("RAW")
         if c in ("search_keyword", "search_location"):
-            return F.when(is_old, old).otherwise(prefer_text(fresh, old))
+            return F.when(is_old, old).otherwise(F.coalesce(prefer_text(fresh, old), fresh))
         if c == "task_id":
             return F.coalesce(old, fresh)
         if c == "first_seen_date":
