@@ -36,7 +36,7 @@ def lead_id(url: Column, name: Column, phone: Column) -> Column:
 def priority_from_name(name: Column) -> Column:
     """The number after the last ``_`` of ``<name>_<n>.json``, kept within 1 and 10; else 1."""
     number = F.regexp_extract(F.regexp_replace(name, r"\.json$", ""), r"_\s*([+-]?\d+)\s*$", 1).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(10), number)), F.lit(1))
+    return F.when(number.isNull(), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), number)))
 
 
 def safe_filename(name: Column) -> Column:
