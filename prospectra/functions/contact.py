@@ -88,7 +88,7 @@ def social_network(href: Column) -> Column:
 
 def last_social(links: Column, network: str) -> Column:
     """The last link to a network; none: empty."""
-    return F.coalesce(F.element_at(F.filter(F.transform(links, lambda x: x["href"]), lambda h: social_network(h) == network), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(links, lambda x: x["href"]), lambda h: social_network(h) == network), F.lit(-1)), F.lit(""))
 
 
 def unwrap_redirect(href: Column) -> Column:

@@ -34,7 +34,3 @@ ORDER = _struct(
     order_id=_S, client_name=_S, keywords=_A, locations=_A, direct_queries=_A, bounding_box=_S, minimum_reviews=_I,
     max_leads_required=_I, step_size=_D, zoom=_I,
 )
-TICKET_TASK = _struct(
-    task_key=_S, hash_id=_S, task_type=_S, type=_S, target_url=_S, search_keyword=_S, Search_Keyword=_S, search_location=_S,
-    Search_Location=_S, order_id=_S, query_type=_S, minimum_reviews=_I,
-)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import canonical_header, keep_filled, strip
-from ..schemas import ORDER, PAGE_HEADER, TICKET_TASK
+from ..schemas import ORDER, PAGE_HEADER
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -25,22 +25,19 @@ def clean_orders(raw: DataFrame) -> DataFrame:
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     """Tasks of ticket files: a bare list, or a list under ``tasks`` or ``queries``; old and new key names."""
-    tasks = T.ArrayType(TICKET_TASK)
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("ticket"))
-    wrapped = F.from_json("value", T.StructType([T.StructField("tasks", tasks), T.StructField("queries", tasks)]))
-    listed = F.when(F.trim("value").startswith("["), F.from_json("value", tasks)).otherwise(F.coalesce(wrapped["tasks"], wrapped["queries"]))
-    rows = text.select("ticket", F.posexplode(listed).alias("position", "t")).select("ticket", "position", "t.*")
-    return normalize_tasks(rows)
-
-
-def normalize_tasks(rows: DataFrame) -> DataFrame:
-    pick = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
-    keep = [c for c in ("ticket", "position") if c in rows.columns]
-    return rows.select(
-        *keep, pick("task_key", "hash_id").alias("task_key"), F.coalesce(pick("task_type", "type"), F.lit("text_search")).alias("task_type"), "target_url",
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_name").alias("ticket"))
+    listed = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.tasks", "$.queries")])
+    return text.select("ticket", F.posexplode(listed).alias("position", "t")).select("ticket", "position", *normalized_task(F.col("t")))
+
+
+def normalized_task(task: Column) -> list[Column]:
+    """The columns of a task document (variant, whose keys are told apart by case), under old or new key names."""
+    pick = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get(task, f"$.{n}", "string"), F.lit("")) for n in names])
+    return [
+        pick("task_key", "hash_id").alias("task_key"), F.coalesce(pick("task_type", "type"), F.lit("text_search")).alias("task_type"), pick("target_url").alias("target_url"),
         pick("search_keyword", "Search_Keyword").alias("search_keyword"), pick("search_location", "Search_Location").alias("search_location"),
-        "order_id", "query_type", F.coalesce("minimum_reviews", F.lit(0)).alias("minimum_reviews"),
-    )
+        pick("order_id").alias("order_id"), pick("query_type").alias("query_type"), F.coalesce(pick("minimum_reviews").try_cast("int"), F.lit(0)).alias("minimum_reviews"),
+    ]
 
 
 def after_position(tasks: DataFrame, done: DataFrame) -> DataFrame:
