@@ -50,6 +50,15 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+#: Rows of a few bytes that are sent to all executors at most.
+BROADCAST_IDS = 200_000
+
+
+def broadcast_ids(ids: DataFrame) -> DataFrame:
+    """``ids``, computed already, marked for broadcast if its rows are few enough; else joins shuffle it."""
+    return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` bound to a lambda variable, so that loops inside don't evaluate it again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

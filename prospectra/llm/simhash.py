@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_ids, cut
 from .components import connected_components
 
 #: Widths of the five blocks of a 64-bit fingerprint; two fingerprints that differ in at most two bits agree on three.
@@ -23,21 +23,27 @@ SEED = 42
 _PIECE = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash of a UTF-8 text, from XXH64 of its word shingles; no word: 0.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included; a shorter text is one shingle; no word: none.
 
     ``bytes.lower`` and ``bytes.split`` work on A-Z and on the six ASCII white space characters alone.
     """
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), dtype="<u8", count=n)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """Signed 64-bit SimHash of a UTF-8 text, from XXH64 of its word shingles; no word: 0."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, n, _PIECE):
         ones += np.unpackbits(hashes[k : k + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -126,7 +132,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
     gone = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_dup_id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("_dup"), F.count("*").alias("_n"))
-    odd = gone.where("_dup or _n > 1")
+    odd = broadcast_ids(cut(gone.where("_dup or _n > 1")))
     marked = docs.join(odd, docs.doc_id == odd._dup_id, "left")
     once = marked.where("_n > 1 and not _dup").drop("_dup_id", "_dup", "_n").dropDuplicates(["doc_id"])
     return marked.where("_dup is null").drop("_dup_id", "_dup", "_n").unionByName(once)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prospectra.llm import components, decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, quality, simhash, toxicity, url_trust
+from prospectra.llm import components, decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, near_copies, quality, simhash, toxicity, url_trust
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, hash string, key string, fp string"
 WORDS = {"en": "the of and to in is was that for with", "de": "der die und das von mit ist ein nicht auf"}
@@ -102,6 +102,38 @@ def test_keep_one(docs):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_similar_documents(spark, docs):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = {}
+    for k in range(400):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(3, 150))] if k % 2 else list(base)
+        if k % 2 == 0:  # a crowd of near copies and half copies
+            for at in rng.sample(range(300), rng.choice([1, 2, 4, 30])):
+                words[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    texts |= {400 + k: texts[k].upper() + " end" for k in range(1, 80, 2)} | {500: "", 501: None, 502: "one two", 503: "One  two"}
+
+    def shingles(text):
+        w = re.findall(SPACE, lower(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {k: shingles(t) for k, t in texts.items()}
+    near = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    table = spark.createDataFrame([*texts.items(), (None, base[0]), (None, base[0])], "doc_id bigint, text string").repartition(4)
+    kept = [r["doc_id"] for r in near_copies.drop_similar(table).collect()]
+    left = set(kept) - {None}
+    assert kept.count(None) == 2 and {500, 501, 502} <= left and 503 not in left
+    assert not [p for p in near if left >= set(p)]
+    group = {k: k for k in texts}
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    assert left == {k for k in texts if group[k] == k}
+    assert near_copies.drop_similar(docs.where("doc_id <> 3")).columns == docs.columns
+    assert near_copies.drop_similar(docs.limit(0)).count() == 0
+
+
 def test_line_dedup(docs, rows):
     lines = {(r[0], r[1]): [x for x in (r[1] or "").split("\n") if re.search(SPACE, x)] for r in rows}
     order = sorted(lines, key=lambda k: (k[0] is not None, k[0] or 0))
