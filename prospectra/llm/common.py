@@ -45,6 +45,15 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def in_low_share(key: Column, total: Column, wanted: int) -> Column:
+    """Whether a signed 64-bit hash is among the lowest, such that about 8 * ``wanted`` of ``total`` rows are.
+
+    Put before a search for the ``wanted`` lowest, it bounds what that gathers, whatever the number of tasks.
+    """
+    share = F.least(F.lit(1.0), F.lit(8.0 * wanted) / total)
+    return (share >= 1.0) | (key.cast("double") < (share - 0.5) * F.lit(2.0**64))
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that and one."""
     return df.limit(max_rows + 1).count() <= max_rows

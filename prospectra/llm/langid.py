@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import broadcast_ids, crc_mod, cut, in_low_share
 from .tokens import Table, by_length, numbered, prefix_hashes, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS,
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), hold_mod) != hold_at))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
+    totals = broadcast_ids(cut(usable.groupBy("lang").agg(F.count("*").alias("total"))))
+    low = usable.select("doc_id", "lang").join(totals, "lang").where(in_low_share(F.xxhash64("doc_id"), F.col("total"), sample_docs))
+    chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "lang"])
     counted = sample.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+")).alias("token")).groupBy("lang", "token").count().collect()
     langs = sorted({r["lang"] for r in counted})

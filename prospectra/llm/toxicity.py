@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, in_low_share
 from .tokens import by_length, mixed, numbered, prefix_hashes, span_hashes
 
 #: Labelled documents per label that the model is fitted on, those least in a hash of the id, and the words of the longest.
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, hold
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), hold_mod) != hold_at)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ids = usable.where("toxic = 0").orderBy(order).limit(sample_docs).union(usable.where("toxic = 1").orderBy(order).limit(sample_docs))
+    low = lambda t: usable.where((F.col("toxic") == t) & in_low_share(order, F.lit(totals.get(t, 1)), sample_docs)).orderBy(order).limit(sample_docs)
+    ids = low(0).union(low(1))
     found = docs.select("doc_id", "lang", "text").where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     if len({r["toxic"] for r in rows}) < 2:
