@@ -24,8 +24,10 @@ SIMILARITY = 0.8
 #: Blocks and minima in each: a pair of similarity 0.8 shares no block with probability (1 - 0.8**5)**24 = 0.00007.
 BLOCKS = 24
 ROWS = 5
-#: In a bucket of more documents, each meets the bucket's delegate instead of each other one.
+#: In a bucket of more documents, each meets the bucket's delegates instead of each other one, round by round.
 BUCKET = 32
+#: Delegates of a bucket in a round after one that removed nothing; else it has one.
+DELEGATES = 32
 _PIECE = 1 << 12
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BLOCKS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,11 +62,26 @@ def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, keys array<bigint>").select("id", F.explode("keys").alias("key"))
 
 
+def _buckets(rows: DataFrame, delegates: int) -> DataFrame:
+    """(key, crowded, delegates) of each key of ``rows`` (id, key) that repeats: up to ``delegates`` different ids.
+
+    Delegates are the least by a hash that mixes id and key, one for each of as many slots, so choosing them is a
+    partial aggregate and a document meets others in each of its blocks.
+    """
+    least = F.min_by("id", F.struct(F.xxhash64("id", "key"), "id"))
+    if delegates == 1:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(least).alias("delegates"))
+    else:
+        slots = rows.groupBy("key", F.pmod(F.xxhash64("key", "id", F.lit("slot")), F.lit(delegates)).alias("slot")).agg(F.count("*").alias("n"), least.alias("id"))
+        sizes = slots.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("id").alias("delegates"))
+    return sizes.where("n > 1").select("key", (F.col("n") > BUCKET).alias("crowded"), "delegates")
+
+
 def _candidates(members: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, from ``members`` (id, key, crowded, delegate)."""
+    """Distinct (u, v), u < v, from ``members`` (id, key, crowded, delegates)."""
     few = members.where("not crowded").select("id", "key")
     pairs = few.withColumnRenamed("id", "u").join(few.withColumnRenamed("id", "v"), "key").where("u < v").select("u", "v")
-    led = members.where("crowded and id <> delegate").select(F.least("id", "delegate").alias("u"), F.greatest("id", "delegate").alias("v"))
+    led = members.where("crowded").select("id", F.explode("delegates").alias("delegate")).where("id <> delegate").select(F.least("id", "delegate").alias("u"), F.greatest("id", "delegate").alias("v"))
     return pairs.union(led).distinct()
 
 
@@ -86,29 +103,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
 def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id): the documents that go, so that one of each group of similar documents is left; ids are unique, not null.
 
-    Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegate,
-    its least by a hash that mixes id and key, so a document meets another delegate in each of its blocks. What is left
-    of such buckets is dealt again in further rounds, as long as rounds remove anything. Each removed document is tied
-    by verified links to one that stays, and the one with the least id stays.
+    Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegate.
+    Delegates have then met all of their bucket and leave it, as do removed documents; what is left of such buckets is
+    dealt again, until none is left. So every two documents that share a bucket meet, unless one was removed before,
+    and a round forms at most DELEGATES pairs for each document of a bucket. Copies go in the first rounds; only a
+    bucket of many documents that are not similar takes long, a round for every DELEGATES of them. Each removed document
+    is tied by verified links to one that stays, and the one with the least id stays.
     """
-    rows, gone = cut(_keyed(docs, shingle)), None
+    rows, gone, delegates = cut(_keyed(docs, shingle)), None, 1
     while True:
-        delegate = F.min_by("id", F.struct(F.xxhash64("id", "key"), "id"))
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), delegate.alias("delegate")).where("n > 1").select("key", (F.col("n") > BUCKET).alias("crowded"), "delegate")
-        members = cut(rows.join(sizes, "key").select("id", "key", "crowded", "delegate"))
+        members = cut(rows.join(_buckets(rows, delegates), "key").select("id", "key", "crowded", "delegates"))
         groups = connected_components(_verified(cut(_candidates(members)), docs, shingle, similarity))
         new = cut(groups.where("node <> component").select(F.col("node").alias("id")))
         gone = new if gone is None else gone.union(new)
-        rows = cut(members.where("crowded").select("id", "key").join(new, "id", "left_anti"))
-        if new.isEmpty() or rows.isEmpty():
+        rows = cut(members.where("crowded and not array_contains(delegates, id)").select("id", "key").join(broadcast_ids(new), "id", "left_anti"))
+        if rows.isEmpty():
             return gone
+        delegates = DELEGATES if new.isEmpty() else 1
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that ``similar_ids`` names; columns unchanged.
+    """``docs`` without the documents that ``similar_ids`` names; columns unchanged, whatever their names.
 
     Null and empty texts have no shingle and are like nothing. Rows without an id can't be told apart and stay. Other
     ids must be unique. An empty table gives no rows.
     """
     gone = broadcast_ids(cut(similar_ids(docs.select("doc_id", "text").where("doc_id is not null"), shingle, similarity)))
-    return docs.join(gone.withColumnRenamed("id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs.doc_id == gone["id"], "left_anti")
