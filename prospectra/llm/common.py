@@ -68,6 +68,19 @@ def broadcast_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, bound to it: after a join they stay apart from columns of equal names."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` bound to a lambda variable, so that loops inside don't evaluate it again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

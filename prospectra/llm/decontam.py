@@ -112,10 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` without any window of ``benchmark``; columns unchanged."""
+    """The rows of ``docs`` without any window of ``benchmark``; columns unchanged, whatever their names."""
     found = find_hits(docs, benchmark, span, gram).select("_id", "_mark").distinct()
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    return marked.join(found, (F.col("_key") == F.col("_mark")) & marked.doc_id.eqNullSafe(F.col("_id")), "left_anti").drop("_key")
+    return docs.join(found, (F.xxhash64(docs.text) == found["_mark"]) & docs.doc_id.eqNullSafe(found["_id"]), "left_anti")
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_ids, crc_mod, cut, in_low_share
+from .common import broadcast_ids, crc_mod, cut, in_low_share, unused
 from .tokens import Table, by_length, numbered, prefix_hashes, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -180,11 +180,13 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS,
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_score``: every whole text, by batches; other columns pass through.
+    """``docs`` and, as its last two columns, ``_lang_pred`` and ``_score``: every whole text, by batches.
+
+    Names that ``docs`` has taken get another underscore behind them. All columns of ``docs`` pass through.
 
     Null text and text without a letter: ``und`` with score 0; so too for all if the model has learned no language.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(unused(docs, "_lang_pred"), T.StringType()), T.StructField(unused(docs, "_score"), T.DoubleType())])
     names = [f.name for f in schema.fields]
     at = docs.columns.index("text")
 
@@ -193,7 +195,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    # by number, as mapInArrow looks columns up by unquoted names
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, hold_mod: int = 3, hold_at: int = 1) -> DataFrame:
@@ -204,6 +207,7 @@ def predictions(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMP
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is told with ``least_score`` or more; columns unchanged."""
+    """The rows of ``docs`` whose language is told with ``least_score`` or more; columns unchanged, whatever their names."""
     found = identify(docs, fit(docs, **options))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least_score)).drop("_lang_pred", "_score")
+    lang, score = (F.col(c) for c in found.columns[-2:])
+    return found.where((lang != "und") & (score >= least_score)).drop(lang, score)

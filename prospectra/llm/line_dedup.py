@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, let, own_columns
 
 LINES = 3
 
@@ -36,24 +36,28 @@ def covered_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return later.groupBy("_id", "_mark").agg(F.collect_set("pos").alias("at")).select("_id", "_mark", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (lines - 1))))).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def _without(lines: Column, gone: Column) -> Column:
+    """The text left of ``lines`` without those at the numbers ``gone``; one pass over a set, for any number of both."""
+    return let(lines, lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), gone), lambda i: F.get(a, i)), "\n"))
+
+
+def dedup_lines(docs: DataFrame, lines: int = LINES, counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` rid of later occurrences of windows of ``lines`` consecutive lines, and two counts.
 
     A line without a word is not counted as a line. Covered positions of all later windows merge, also where they
     overlap. A document that loses nothing keeps its text as it is; another keeps its remaining lines, joined by one
     newline, or the empty text. Documents of fewer lines have no window. Null text stays null; null ids come first in
-    order; rows that repeat id and text count as one occurrence and are treated alike. Added columns: ``_n_lines`` and
-    ``_n_removed`` (long). Other columns pass through unchanged.
+    order; rows that repeat id and text count as one occurrence and are treated alike. Added columns, unless ``counts``
+    is false: ``_n_lines`` and ``_n_removed`` (long), which replace columns of these names. All others pass through
+    unchanged, whatever their names.
     """
     gone = covered_lines(docs, lines)
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    joined = marked.join(gone, F.col("_key").eqNullSafe(F.col("_mark")) & marked.doc_id.eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(_lines(F.col("text"))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
-    )
+    joined = docs.join(gone, F.xxhash64(docs.text).eqNullSafe(gone["_mark"]) & docs.doc_id.eqNullSafe(gone["_id"]), "left")
+    at = gone["_gone"]
+    left = F.when(at.isNull(), docs.text).otherwise(_without(_lines(docs.text), at)).alias("text")
+    added = {"_n_lines": F.size(_lines(docs.text)), "_n_removed": F.coalesce(F.size(at), F.lit(0))} if counts else {}
+    own = [left if name == "text" else column for name, column in zip(docs.columns, own_columns(docs)) if name not in added]
+    return joined.select(*own, *[value.cast("long").alias(name) for name, value in added.items()])
 
 
 ORACLE = r"""

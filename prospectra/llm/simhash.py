@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, cut
+from .common import broadcast_ids, cut, own_columns
 from .components import connected_components
 
 #: Widths of the five blocks of a 64-bit fingerprint; two fingerprints that differ in at most two bits agree on three.
@@ -126,13 +126,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that carry their component's least doc_id, one row for each such id; columns unchanged.
+    """The rows of ``docs`` that carry their component's least doc_id, one row for each such id; columns unchanged, whatever
+    their names.
 
     Rows without an id cannot be told apart and stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
     gone = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_dup_id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("_dup"), F.count("*").alias("_n"))
     odd = broadcast_ids(cut(gone.where("_dup or _n > 1")))
-    marked = docs.join(odd, docs.doc_id == odd._dup_id, "left")
-    once = marked.where("_n > 1 and not _dup").drop("_dup_id", "_dup", "_n").dropDuplicates(["doc_id"])
-    return marked.where("_dup is null").drop("_dup_id", "_dup", "_n").unionByName(once)
+    marked = docs.join(odd, docs.doc_id == odd["_dup_id"], "left")
+    once = marked.where((odd["_n"] > 1) & ~odd["_dup"]).select(own_columns(docs)).dropDuplicates(["doc_id"])
+    return marked.where(odd["_dup"].isNull()).select(own_columns(docs)).unionByName(once)

@@ -18,6 +18,8 @@ import corpus_pipeline
 from prospectra.llm import components, decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, near_copies, quality, simhash, toxicity, url_trust
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, hash string, key string, fp string"
+#: Names that the operators use inside; pass-through operators must keep them apart.
+CLASHES = "_id _mark _key _gone _gone_id _dup_id _dup _n _lang_pred _score score id u v item hits".split()
 WORDS = {"en": "the of and to in is was that for with", "de": "der die und das von mit ist ein nicht auf"}
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -134,6 +136,34 @@ def test_similar_documents(spark, docs):
     assert near_copies.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_crowded_bucket_without_copies(spark):
+    """A bucket of many documents that share a block and are not similar, and one late pair that is."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(40)]) for k in range(120)}
+    texts[500] = texts[77] + " end"
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert [r["id"] for r in near_copies.similar_ids(table).collect()] == [500]
+
+
+def test_clashing_names(spark, docs, rows):
+    wide = docs.withColumns({c: F.lit(f"v{k}") for k, c in enumerate(CLASHES)}).withColumn("a.b", F.lit(1))
+    bench = spark.createDataFrame([(1, rows[8][1])], "item_id bigint, text string")
+    for stage in (langid.keep_identified, lambda d: line_dedup.dedup_lines(d, counts=False), simhash.keep_one, near_copies.drop_similar, lambda d: decontam.decontaminate(d, bench)):
+        base, table = docs.where("doc_id <> 3"), wide.where("doc_id <> 3")
+        out = stage(table)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted((tuple(r)[:8] for r in got), key=key) == sorted(map(tuple, stage(base).collect()), key=key)
+        assert all(tuple(r)[8:] == (*(f"v{k}" for k in range(len(CLASHES))), 1) for r in got) and got
+
+
+def test_line_dedup_of_one_long_text(spark):
+    text = "\n".join(f"line {k % 30_000}" for k in range(60_000))
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, text, 5)], "doc_id bigint, text string, _n_lines int")).collect()[0]
+    assert (out["_n_lines"], out["_n_removed"]) == (60_000, 30_000) and out["text"] == "\n".join(f"line {k}" for k in range(30_000))
+
+
 def test_line_dedup(docs, rows):
     lines = {(r[0], r[1]): [x for x in (r[1] or "").split("\n") if re.search(SPACE, x)] for r in rows}
     order = sorted(lines, key=lambda k: (k[0] is not None, k[0] or 0))
