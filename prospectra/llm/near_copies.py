@@ -26,7 +26,7 @@ BLOCKS = 24
 ROWS = 5
 #: In a bucket of more documents, each meets the bucket's delegates instead of each other one, round by round.
 BUCKET = 32
-#: Delegates of a bucket in a round after one that removed nothing; else it has one.
+#: Delegates of a bucket in all rounds but the first, in which it has one, as most copies go there.
 DELEGATES = 32
 _PIECE = 1 << 12
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BLOCKS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +105,7 @@ def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
 
     Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegate.
     Delegates have then met all of their bucket and leave it, as do removed documents; what is left of such buckets is
-    dealt again, until none is left. So every two documents that share a bucket meet, unless one was removed before,
+    dealt again to more delegates, until none is left. So every two documents that share a bucket meet, unless one was removed before,
     and a round forms at most DELEGATES pairs for each document of a bucket. Copies go in the first rounds; only a
     bucket of many documents that are not similar takes long, a round for every DELEGATES of them. Each removed document
     is tied by verified links to one that stays, and the one with the least id stays.
@@ -119,7 +119,7 @@ def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         rows = cut(members.where("crowded and not array_contains(delegates, id)").select("id", "key").join(broadcast_ids(new), "id", "left_anti"))
         if rows.isEmpty():
             return gone
-        delegates = DELEGATES if new.isEmpty() else 1
+        delegates = DELEGATES
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
