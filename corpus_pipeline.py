@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prospectra.llm import decontam, langid, line_dedup, mixing, near_copies, simhash
+from prospectra.llm import decontam, langid, line_dedup, mixing, near_copies
 from prospectra.llm.common import read_table, stage_dir
 
 #: Language ID and near-dedup are not expressible in SQL.
@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: by SimHash, then by similarity of shingle sets."""
-    return near_copies.drop_similar(simhash.keep_one(docs))
+    """One document of each group of near-duplicates stays, by links of SimHash and of similar shingle sets together."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

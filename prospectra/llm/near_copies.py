@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_ids, cut
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, keep_named, near_duplicates, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,15 +26,20 @@ BLOCKS = 24
 ROWS = 5
 #: In a bucket of more documents, each meets the bucket's delegates instead of each other one, round by round.
 BUCKET = 32
-#: Delegates of a bucket in all rounds but the first, in which it has one, as most copies go there.
-DELEGATES = 32
+#: Delegates of a bucket in the second round, twice as many in each one after; the first has one, which links most copies.
+DELEGATES = 256
+#: Counters of a sketch, see ``sketch``.
+BINS = 256
 _PIECE = 1 << 12
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BLOCKS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def block_keys(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
     """BLOCKS signed 64-bit keys of a text, none if it has no word."""
-    hashes = shingle_hashes(text, shingle)
+    return _keys(shingle_hashes(text, shingle))
+
+
+def _keys(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -50,39 +55,60 @@ def jaccard(a: bytes | None, b: bytes | None, shingle: int = SHINGLE) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, key): a row for each block of each document."""
+def sketch(hashes: np.ndarray) -> bytes | None:
+    """How many different shingles fall into each of BINS bins, one byte each; null if a count doesn't fit.
+
+    The sum of the smaller counts of two sketches is at least the number of shingles in common.
+    """
+    counts = np.bincount((np.unique(hashes) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, keys, bins): the block keys and the sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [block_keys(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
+            keys, bins = [_keys(h) for h in hashes], [sketch(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["id", "keys", "bins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, keys array<bigint>").select("id", F.explode("keys").alias("key"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, keys array<bigint>, bins binary")
 
 
-def _buckets(rows: DataFrame, delegates: int) -> DataFrame:
-    """(key, crowded, delegates) of each key of ``rows`` (id, key) that repeats: up to ``delegates`` different ids.
+def _delegates(members: DataFrame, delegates: int) -> DataFrame:
+    """(key, id, component, bins): up to ``delegates`` different ids of each key of ``members``.
 
     Delegates are the least by a hash that mixes id and key, one for each of as many slots, so choosing them is a
     partial aggregate and a document meets others in each of its blocks.
     """
-    least = F.min_by("id", F.struct(F.xxhash64("id", "key"), "id"))
-    if delegates == 1:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(least).alias("delegates"))
-    else:
-        slots = rows.groupBy("key", F.pmod(F.xxhash64("key", "id", F.lit("slot")), F.lit(delegates)).alias("slot")).agg(F.count("*").alias("n"), least.alias("id"))
-        sizes = slots.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("id").alias("delegates"))
-    return sizes.where("n > 1").select("key", (F.col("n") > BUCKET).alias("crowded"), "delegates")
+    least = F.min_by(F.struct("id", "component", "bins"), F.struct(F.xxhash64("id", "key"), "id")).alias("d")
+    return members.groupBy("key", F.pmod(F.xxhash64("key", "id", F.lit("slot")), F.lit(delegates)).alias("slot")).agg(least).select("key", "d.*")
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, from ``members`` (id, key, crowded, delegates)."""
-    few = members.where("not crowded").select("id", "key")
-    pairs = few.withColumnRenamed("id", "u").join(few.withColumnRenamed("id", "v"), "key").where("u < v").select("u", "v")
-    led = members.where("crowded").select("id", F.explode("delegates").alias("delegate")).where("id <> delegate").select(F.least("id", "delegate").alias("u"), F.greatest("id", "delegate").alias("v"))
-    return pairs.union(led).distinct()
+def _candidates(members: DataFrame, delegates: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v), u < v, of ``members`` and ``delegates`` of a bucket that no link ties yet; both are (key, id, component, bins).
+
+    Pairs whose sketches rule out the similarity don't come; no pair that has it is lost by that.
+    """
+    other = delegates.select("key", F.col("id").alias("_id"), F.col("component").alias("_component"), F.col("bins").alias("_bins"))
+    pairs = members.join(other, "key").where("component <> _component").select(F.least("id", "_id").alias("u"), F.greatest("id", "_id").alias("v"), "bins", "_bins")
+    zero = bytes(BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = (np.frombuffer(b"".join(k or zero for k in col), dtype=np.uint8).reshape(-1, BINS) for col in (a, b))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            union = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - both
+            unknown = np.fromiter((k is None or m is None for k, m in zip(a, b)), dtype=bool, count=len(a))
+            yield batch.select(["u", "v"]).filter(pa.array(unknown | (both / np.maximum(1, union) >= similarity)))
+
+    kind = members.schema["id"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -100,26 +126,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return both.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id): the documents that go, so that one of each group of similar documents is left; ids are unique, not null.
-
-    Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegate.
-    Delegates have then met all of their bucket and leave it, as do removed documents; what is left of such buckets is
-    dealt again to more delegates, until none is left. So every two documents that share a bucket meet, unless one was removed before,
-    and a round forms at most DELEGATES pairs for each document of a bucket. Copies go in the first rounds; only a
-    bucket of many documents that are not similar takes long, a round for every DELEGATES of them. Each removed document
-    is tied by verified links to one that stays, and the one with the least id stays.
+def similar_groups(docs: DataFrame, links: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component): the groups that verified links and ``links`` (u, v) tie together; ids are not null.
+
+    Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegates,
+    which have then met all of their bucket and leave it; what is left is dealt again to more delegates. Only pairs that
+    no chain of links ties yet are tested, and a bucket ends once it is one group or all have been delegates. So the
+    groups are the ones that all pairs of all buckets would give, whatever a bucket's size. A bucket of copies ends
+    after the first round; one of many documents that are not similar takes about log n rounds, and its pairs of
+    sketches, of which none is moved, are quadratic.
     """
-    rows, gone, delegates = cut(_keyed(docs, shingle)), None, 1
+    signed = cut(_signed(docs, shingle))
+    rows = signed.select("id", F.explode("keys").alias("key")).distinct()
+    rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("id", "key"))
+    groups, met, delegates = cut(connected_components(links)), None, 1
     while True:
-        members = cut(rows.join(_buckets(rows, delegates), "key").select("id", "key", "crowded", "delegates"))
-        groups = connected_components(_verified(cut(_candidates(members)), docs, shingle, similarity))
-        new = cut(groups.where("node <> component").select(F.col("node").alias("id")))
-        gone = new if gone is None else gone.union(new)
-        rows = cut(members.where("crowded and not array_contains(delegates, id)").select("id", "key").join(broadcast_ids(new), "id", "left_anti"))
-        if rows.isEmpty():
-            return gone
-        delegates = DELEGATES
+        placed = rows.join(broadcast_ids(groups), F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+        sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", (F.col("n") > BUCKET).alias("crowded"))
+        members = cut(placed.join(sizes, "key").join(signed.select("id", "bins"), "id").select("key", "id", "component", "bins", "crowded"))
+        if members.isEmpty():
+            return groups
+        few, crowded = members.where("not crowded").drop("crowded"), members.where("crowded").drop("crowded")
+        dealt = cut(_delegates(crowded, delegates))
+        pairs = _candidates(few, few, similarity).union(_candidates(crowded, dealt, similarity)).distinct()
+        pairs = cut(pairs if met is None else pairs.join(met, ["u", "v"], "left_anti"))
+        met = pairs if met is None else met.union(pairs)
+        alike = cut(_verified(pairs, docs, shingle, similarity))
+        if not alike.isEmpty():
+            groups = cut(connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(alike)))
+        rows = cut(crowded.join(dealt.select("key", "id"), ["key", "id"], "left_anti").select("id", "key"))
+        delegates = max(DELEGATES, 2 * delegates)
+
+
+def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id): the documents that go, so that of each group of ``similar_groups`` the one with the least id is left."""
+    none = docs.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
+    return similar_groups(docs, none, shingle, similarity).where("node <> component").select(F.col("node").alias("id"))
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -130,3 +172,15 @@ def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     """
     gone = broadcast_ids(cut(similar_ids(docs.select("doc_id", "text").where("doc_id is not null"), shingle, similarity)))
     return docs.join(gone, docs.doc_id == gone["id"], "left_anti")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that carry the least doc_id of their group by SimHash's links and those of similar shingle sets
+    together, one row for each such id; columns unchanged, whatever their names.
+
+    A document that SimHash ties to another still ties those it resembles itself. Rows without an id stay.
+    """
+    found = cut(near_duplicates(docs.select("doc_id", "text")))
+    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    groups = broadcast_ids(similar_groups(docs.select("doc_id", "text").where("doc_id is not null"), links))
+    return keep_named(docs, found.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id")))

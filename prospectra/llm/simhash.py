@@ -131,7 +131,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
 
     Rows without an id cannot be told apart and stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    return keep_named(docs, near_duplicates(docs.select("doc_id", "text"), shingle, distance))
+
+
+def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component_id in ``found`` (doc_id, component_id, a row for each of ``docs``)."""
     gone = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_dup_id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("_dup"), F.count("*").alias("_n"))
     odd = broadcast_ids(cut(gone.where("_dup or _n > 1")))
     marked = docs.join(odd, docs.doc_id == odd["_dup_id"], "left")

@@ -146,6 +146,31 @@ def test_crowded_bucket_without_copies(spark):
     assert [r["id"] for r in near_copies.similar_ids(table).collect()] == [500]
 
 
+def test_star_in_crowded_buckets(spark):
+    """Edits of one text, each similar to it and not to each other: one group, though the original may go in the first round."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = {300: " ".join(base)}
+    for k in range(300):  # five edits take 25 of 296 shingles: about 0.84 to the original, 0.72 to each other
+        words = list(base)
+        for at in rng.sample(range(10, 290, 6), 5):
+            words[at] = f"x{k}.{at}"
+        texts[k] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert [r["doc_id"] for r in near_copies.drop_similar(table).collect()] == [0]
+    assert [r["doc_id"] for r in near_copies.keep_one(table).collect()] == [0]
+
+
+def test_links_of_removed_documents(spark):
+    """A document that SimHash ties to another still ties the one it resembles itself."""
+    words = [f"w{k}" for k in range(300)]
+    texts = {2: words, 3: words + ["q", "r"], 4: words + ["q", "r"] + [f"y{k}" for k in range(73)]}
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")
+    print_of = {k: simhash.fingerprint(" ".join(t).encode()) for k, t in texts.items()}
+    assert bin((print_of[2] ^ print_of[3]) & (1 << 64) - 1).count("1") <= 2 and near_copies.jaccard(*(" ".join(texts[k]).encode() for k in (2, 4))) < 0.8 <= near_copies.jaccard(*(" ".join(texts[k]).encode() for k in (3, 4)))
+    assert [r["doc_id"] for r in near_copies.keep_one(table).collect()] == [2]
+
+
 def test_clashing_names(spark, docs, rows):
     wide = docs.withColumns({c: F.lit(f"v{k}") for k, c in enumerate(CLASHES)}).withColumn("a.b", F.lit(1))
     bench = spark.createDataFrame([(1, rows[8][1])], "item_id bigint, text string")
