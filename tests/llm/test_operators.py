@@ -333,6 +333,16 @@ def test_propagation_matches_dense(spark):
     assert max(abs(got.get(str(k), 0) - want[k]) for k in range(12)) < 1e-3
 
 
+def test_propagation_settles_on_a_cycle(spark):
+    """Two hosts that link only to each other: exact rank of the seed is 1 / (1 - 0.85**2), and a limit is an error."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double").coalesce(1)
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double").coalesce(1)
+    got = {r["host"]: r["rank"] for r in url_trust.propagate(edges, seeds).collect()}
+    assert got["a"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-3) and got["b"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
+    with pytest.raises(ValueError):
+        url_trust.propagate(edges, seeds, rounds=3)
+
+
 def test_html():
     page = '<html><head><title>t</title><style>a</style></head><body><header>Site</header><nav>menu</nav><div class="cookie-notice">we use</div><div id="c"><h1>Head &amp; tail</h1><p>First <b>bold</b>\n text of the page which is long enough to surge over the rest.<p>Second&nbsp;one.</p><ul><li>x<li>y</ul></div><div class="sidebar">side</div><div class="comments">me</div><form>f</form><script>s</script><footer>f</footer>'
     assert html_blocks.main_text(page) == "Head & tail\nFirst bold text of the page which is long enough to surge over the rest.\nSecond one.\nx\ny"
