@@ -13,26 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_ids, crc_mod, cut, in_low_share, unused
-from .tokens import Table, by_length, numbered, prefix_hashes, span_hashes
+from .tokens import Table, by_length, numbered, prefix_hashes, span_hashes, window_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Documents per language that the model is fitted on, those least in a hash of the id.
 SAMPLE_DOCS = 300
-#: Bytes of the longest piece in use, and of a unit: a run of letters is cut into units, which segmentations don't cross.
-PIECE_BYTES = 12
-UNIT_BYTES = 64
 ROUNDS = 3
+#: Units (runs of letters) up to this many bytes are summed side by side; a longer one alone, rescaled on its way.
+SHORT_BYTES = 64
+#: Bytes of text whose tokens are numbered and scored together.
+SLICE_BYTES = 4 << 20
+_RESCALE = 32
+_SEGMENT = 1 << 12
 _SMOOTH = 0.02
-#: Every byte is scaled by this, so that products over a unit stay within the range of doubles.
+#: Every byte is scaled by this, so that products over a short unit stay within the range of doubles.
 _SCALE = 1000.0
 _LETTERS = regex.compile(r"\p{L}+")
 
 
 def load_pieces(path: str = VOCABULARY) -> list[bytes]:
-    """The vocabulary's byte strings up to PIECE_BYTES; it holds all single bytes, so any text has a segmentation."""
+    """All the vocabulary's byte strings and all single bytes, so any text has a segmentation."""
     with open(path, "rb") as lines:
         pieces = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
-    return sorted({p for p in pieces if 0 < len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
 
 
 def piece_keys(pieces: list[bytes]) -> np.ndarray:
@@ -43,12 +46,20 @@ def piece_keys(pieces: list[bytes]) -> np.ndarray:
 
 
 def units_of(token: str) -> list[bytes]:
-    """Units of the runs of letters in a token, each run with a leading space."""
-    out = []
-    for run in _LETTERS.findall(token):
-        data = b" " + run.encode()
-        out += [data[k : k + UNIT_BYTES] for k in range(0, len(data), UNIT_BYTES)]
-    return out
+    """The runs of letters in a token, each with a leading space."""
+    return [b" " + run.encode() for run in _LETTERS.findall(token)]
+
+
+def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, last) of stretches of ``texts`` of about ``most`` characters, one text at least."""
+    first = total = 0
+    for k, text in enumerate(texts):
+        total += len(text or "") + 64
+        if total >= most:
+            yield first, k + 1
+            first, total = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 class Model:
@@ -56,6 +67,7 @@ class Model:
 
     def __init__(self, langs: list[str], keys: np.ndarray, lengths: np.ndarray, probs: np.ndarray):
         self.langs, self.keys, self.lengths, self.probs = langs, keys, lengths, probs
+        self.longest = int(lengths.max(initial=1))
         self.table: Table | None = None
 
     def __getstate__(self) -> dict:
@@ -68,16 +80,85 @@ class Model:
         rows = np.flatnonzero(ids >= 0)
         return rows, ids[rows]
 
+    def _windows(self, prefixes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of ``n`` bytes begin in one text, and which they are."""
+        if self.table is None:
+            self.table = Table(self.keys)
+        ids = self.table.find(window_hashes(prefixes, n))
+        rows = np.flatnonzero(ids >= 0)
+        return rows, ids[rows]
+
+    def _arcs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, piece, where the arcs of each end begin) of all pieces in ``data``, by end."""
+        prefixes = prefix_hashes(np.frombuffer(data, np.uint8).reshape(1, -1))
+        starts, ends, pieces = [], [], []
+        for n in range(1, min(self.longest, len(data)) + 1):
+            rows, ids = self._windows(prefixes[:, 0], n)
+            starts.append(rows)
+            ends.append(rows + n)
+            pieces.append(ids)
+        start, end, piece = (np.concatenate(x) for x in (starts, ends, pieces))
+        order = np.argsort(end, kind="stable")
+        return start[order], piece[order], np.searchsorted(end[order], np.arange(len(data) + 2))
+
+    def _alone(self, data: bytes) -> np.ndarray:
+        """``forward`` of one long unit: segment by segment, so what is held doesn't grow with it."""
+        total, ring = np.zeros(len(self.langs)), np.ones((1, len(self.langs)))
+        for first in range(0, len(data), _SEGMENT):
+            back = min(first, self.longest)
+            part = data[first - back : first + _SEGMENT]
+            start, piece, at = self._arcs(part)
+            alpha = np.zeros((len(part) + 1, len(self.langs)))
+            alpha[: back + 1] = ring[-back - 1 :]
+            for end in range(back + 1, len(part) + 1):
+                a, b = at[end], at[end + 1]
+                alpha[end] = (alpha[start[a:b]] * self.probs[piece[a:b]]).sum(axis=0)
+                if end % _RESCALE == 0:
+                    low = max(0, end - self.longest)
+                    most = alpha[low : end + 1].max(axis=0)
+                    alpha[low : end + 1] /= most
+                    total += np.log(most)
+            ring = alpha[-self.longest - 1 :]
+        return total + np.log(ring[-1]) - len(data) * np.log(_SCALE)
+
+    def _expect_alone(self, data: bytes, counts: np.ndarray, expected: np.ndarray) -> None:
+        """Adds one long unit's expected counts of pieces."""
+        start, piece, at = self._arcs(data)
+        n = len(data)
+        alpha, beta = np.zeros((2, n + 1, len(self.langs)))
+        up, down = np.zeros((2, n + 1, len(self.langs)))  # logs of what each place was divided by
+        alpha[0] = beta[n] = 1.0
+        for end in range(1, n + 1):
+            own = slice(at[end], at[end + 1])
+            up[end] = up[end - 1]
+            alpha[end] = (alpha[start[own]] * np.exp(up[start[own]] - up[end]) * self.probs[piece[own]]).sum(axis=0)
+            up[end] += np.log(alpha[end])
+            alpha[end] = 1.0
+        ends = np.repeat(np.arange(n + 1), np.diff(at))
+        order = np.argsort(start, kind="stable")
+        leaving = np.searchsorted(start[order], np.arange(n + 1))
+        for begin in range(n - 1, -1, -1):
+            own = order[leaving[begin] : leaving[begin + 1]]
+            down[begin] = down[begin + 1]
+            beta[begin] = (beta[ends[own]] * np.exp(down[ends[own]] - down[begin]) * self.probs[piece[own]]).sum(axis=0)
+            down[begin] += np.log(beta[begin])
+            beta[begin] = 1.0
+        np.add.at(expected, piece, np.exp(up[start] + down[ends] - up[n]) * self.probs[piece] * counts)
+
     def forward(self, units: list[bytes]) -> np.ndarray:
         """Natural log of each unit's probability in each language, over all segmentations."""
         out = np.zeros((len(units), len(self.langs)))
         for part, matrix in by_length(units):
+            if matrix.shape[1] > SHORT_BYTES:
+                for k in part.tolist():
+                    out[k] = self._alone(units[k])
+                continue
             n, length = matrix.shape
             prefixes = prefix_hashes(matrix)
             alpha = np.zeros((length + 1, n, len(self.langs)))
             alpha[0] = 1.0
             for end in range(1, length + 1):
-                for start in range(max(0, end - PIECE_BYTES), end):
+                for start in range(max(0, end - self.longest), end):
                     rows, ids = self._found(prefixes, start, end)
                     alpha[end, rows] += alpha[start, rows] * self.probs[ids]
             out[part] = np.log(alpha[length]) - length * np.log(_SCALE)
@@ -88,12 +169,16 @@ class Model:
         expected = np.zeros_like(self.probs)
         for part, matrix in by_length(units):
             n, length = matrix.shape
+            if length > SHORT_BYTES:
+                for k in part.tolist():
+                    self._expect_alone(units[k], counts[k], expected)
+                continue
             prefixes = prefix_hashes(matrix)
             alpha, beta = np.zeros((2, length + 1, n, len(self.langs)))
             alpha[0] = beta[length] = 1.0
             edges = []
             for end in range(1, length + 1):
-                for start in range(max(0, end - PIECE_BYTES), end):
+                for start in range(max(0, end - self.longest), end):
                     rows, ids = self._found(prefixes, start, end)
                     edges.append((start, end, rows, ids))
                     alpha[end, rows] += alpha[start, rows] * self.probs[ids]
@@ -123,9 +208,13 @@ class Model:
         model = cls(langs, piece_keys(pieces), np.fromiter(map(len, pieces), np.float64, len(pieces)), np.zeros((len(pieces), len(langs))))
         first = np.zeros_like(model.probs)
         for part, matrix in by_length(units):  # to begin with, every occurrence of a piece counts
+            if matrix.shape[1] > SHORT_BYTES:
+                for k in part.tolist():
+                    np.add.at(first, model._arcs(units[k])[1], counts[k])
+                continue
             prefixes = prefix_hashes(matrix)
             for end in range(1, matrix.shape[1] + 1):
-                for start in range(max(0, end - PIECE_BYTES), end):
+                for start in range(max(0, end - model.longest), end):
                     found, ids = model._found(prefixes, start, end)
                     np.add.at(first, ids, counts[part[found]])
         model._normalise(first)
@@ -168,7 +257,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS,
     totals = broadcast_ids(cut(usable.groupBy("lang").agg(F.count("*").alias("total"))))
     low = usable.select("doc_id", "lang").join(totals, "lang").where(in_low_share(F.xxhash64("doc_id"), F.col("total"), sample_docs))
     chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "lang"])
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     counted = sample.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+")).alias("token")).groupBy("lang", "token").count().collect()
     langs = sorted({r["lang"] for r in counted})
     tokens = sorted({r["token"] for r in counted})
@@ -192,15 +281,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
+            for first in range(0, batch.num_rows, 1000):
+                rows = batch.slice(first, 1000)
+                texts = rows.column(at).to_pylist()
+                for a, b in slices(texts):
+                    langs, scores = model.predict(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([*rows.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
     # by number, as mapInArrow looks columns up by unquoted names
     return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, hold_mod: int = 3, hold_at: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row of ``docs``."""
+    """doc_id, held_out, lang_pred and score for each row of ``docs``.
+
+    Null and empty texts and those without a letter are ``und`` with score 0. Rows without id or language teach nothing;
+    of rows that repeat id and language the least text teaches, all are predicted. Very long texts and runs of letters
+    count whole. Languages of equal probability: the first by name. An empty table gives no rows.
+    """
     model = fit(docs, path, sample_docs, hold_mod, hold_at)
     held = docs.select("doc_id", (crc_mod(F.col("doc_id"), hold_mod) == hold_at).alias("held_out"), "text")
     return identify(held, model).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

@@ -1,8 +1,9 @@
-"""The wide pass of near-dedup: documents whose sets of word shingles are alike by a Jaccard similarity.
+"""Near-dedup of whole documents: SimHash links, and a wide pass for documents whose sets of word shingles are alike.
 
 Pairs of similarity 0.8 differ in about 15% of the bits of a SimHash, so blocks on which they must agree are too short
-to prune anything. Here blocks are hashes of minima of the shingle set, which such pairs share far more often, and
-every candidate is verified by the whole sets of shingles.
+to prune anything. In the wide pass blocks are hashes of minima of the shingle set, which such pairs share far more
+often, and every candidate is verified by the stored hashes of both shingle sets. Texts are read once; what moves are
+classes of equal texts, block keys and hashes.
 """
 
 from __future__ import annotations
@@ -15,172 +16,285 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, cut
+from .common import broadcast_ids, cut, stage_dir
 from .components import connected_components
-from .simhash import SEED, keep_named, near_duplicates, shingle_hashes
+from .simhash import close_pairs, fingerprint
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Blocks and minima in each: a pair of similarity 0.8 shares no block with probability (1 - 0.8**5)**24 = 0.00007.
 BLOCKS = 24
 ROWS = 5
-#: In a bucket of more documents, each meets the bucket's delegates instead of each other one, round by round.
+#: A bucket that isn't one group after its centre has met it forms all pairs up to this size, and beyond it in tiles.
 BUCKET = 32
-#: Delegates of a bucket in the second round, twice as many in each one after; the first has one, which links most copies.
-DELEGATES = 256
-#: Counters of a sketch, see ``sketch``.
-BINS = 256
-_PIECE = 1 << 12
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BLOCKS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def block_keys(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
-    """BLOCKS signed 64-bit keys of a text, none if it has no word."""
-    return _keys(shingle_hashes(text, shingle))
-
-
-def _keys(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(hashes), _PIECE):
-        np.minimum(least, np.multiply.outer(_ODD, hashes[k : k + _PIECE]).min(axis=1), out=least)
-    rows = least.reshape(BLOCKS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+#: Documents and bytes of shingle hashes on one side of a tile, on average.
+TILE_ROWS = 512
+TILE_BYTES = 16 << 20
+_COLUMNS = 1 << 13
+_PIECE = 1 << 13
+_RNG = np.random.default_rng(42)
+_ODD32 = _RNG.integers(0, 1 << 31, BLOCKS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ODD64 = _RNG.integers(0, 1 << 63, ROWS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
+
+
+class WordHashes(dict):
+    """64-bit hash of each word asked for; forgets all when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        return self.setdefault(word, xxhash.xxh3_64_intdigest(word))
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(words: list[bytes], shingle: int = SHINGLE, hashes: WordHashes | None = None) -> np.ndarray:
+    """The different word shingles of a text as sorted 32-bit hashes; fewer words are one shingle, none is the empty set."""
+    if not words:
+        return np.zeros(0, np.uint32)
+    known = WordHashes() if hashes is None else hashes
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    mixed = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            mixed = mixed * np.uint64(_STEP) + h[k : k + n]
+    return np.unique((_scrambled(mixed) >> np.uint64(32)).astype(np.uint32))
+
+
+def block_keys(members: np.ndarray) -> np.ndarray:
+    """BLOCKS signed 64-bit keys of a shingle set, none of the empty one."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ODD32), np.iinfo(np.uint32).max, dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(members), _PIECE):
+            np.minimum(least, np.multiply.outer(_ODD32, members[k : k + _PIECE]).min(axis=1), out=least)
+        rows = least.reshape(BLOCKS, ROWS).astype(np.uint64) + np.uint64(1)
+        return _scrambled((rows * _ODD64[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BLOCKS, dtype=np.uint64) * _ODD64[ROWS]).view(np.int64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = _shared(a, b)
+    return both > 0 and both >= similarity * (len(a) + len(b) - both)
 
 
 def jaccard(a: bytes | None, b: bytes | None, shingle: int = SHINGLE) -> float:
-    x, y = np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = (shingle_set(t.lower().split() if t else [], shingle) for t in (a, b))
+    both = _shared(x, y)
     return both / max(1, len(x) + len(y) - both)
 
 
-def sketch(hashes: np.ndarray) -> bytes | None:
-    """How many different shingles fall into each of BINS bins, one byte each; null if a count doesn't fit.
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark (hash of the text), cls (128-bit hash of its words), fp (SimHash), keys and bag.
 
-    The sum of the smaller counts of two sketches is at least the number of shingles in common.
+    ``bag`` holds the shingle set's hashes. Written to the shared folder once; later steps read only the columns they need.
     """
-    counts = np.bincount((np.unique(hashes) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
-
-
-def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, keys, bins): the block keys and the sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
-            keys, bins = [_keys(h) for h in hashes], [sketch(h) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["id", "keys", "bins"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for text in part.column(2):
+                    data = (text.as_py() or b"").lower()
+                    words = data.split()
+                    bag = shingle_set(words, shingle, known)
+                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(data), block_keys(bag), bag.tobytes()))
+                cls, fp, keys, bags = zip(*rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, pa.binary()), pa.array(fp, pa.int64()), lists, pa.array(bags, pa.binary())], names=["doc_id", "mark", "cls", "fp", "keys", "bag"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, keys array<bigint>, bins binary")
-
+    made = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, mark bigint, cls binary, fp bigint, keys array<bigint>, bag binary")
+    path = f"{stage_dir(docs.sparkSession)}/signatures"
+    made.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
-def _delegates(members: DataFrame, delegates: int) -> DataFrame:
-    """(key, id, component, bins): up to ``delegates`` different ids of each key of ``members``.
 
-    Delegates are the least by a hash that mixes id and key, one for each of as many slots, so choosing them is a
-    partial aggregate and a document meets others in each of its blocks.
-    """
-    least = F.min_by(F.struct("id", "component", "bins"), F.struct(F.xxhash64("id", "key"), "id")).alias("d")
-    return members.groupBy("key", F.pmod(F.xxhash64("key", "id", F.lit("slot")), F.lit(delegates)).alias("slot")).agg(least).select("key", "d.*")
+def simhash_links(classes: DataFrame) -> DataFrame:
+    """(u, v): classes that SimHash ties. Equal fingerprints hang on their least class; close ones tie those."""
+    firsts = cut(classes.groupBy("fp").agg(F.min("cls").alias("lead"), F.count("*").alias("n")))
+    several = broadcast_ids(cut(firsts.where("n > 1").select("fp", "lead")))
+    equal = classes.select("fp", "cls").join(several, "fp").where("cls <> lead").select(F.col("lead").alias("u"), F.col("cls").alias("v"))
+    pairs = close_pairs(firsts.select("fp"))
+    lead = firsts.select("fp", "lead")
+    close = pairs.join(lead.withColumnsRenamed({"fp": "u", "lead": "a"}), "u").join(lead.withColumnsRenamed({"fp": "v", "lead": "b"}), "v")
+    return equal.union(close.select("a", "b"))
 
 
-def _candidates(members: DataFrame, delegates: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v), u < v, of ``members`` and ``delegates`` of a bucket that no link ties yet; both are (key, id, component, bins).
-
-    Pairs whose sketches rule out the similarity don't come; no pair that has it is lost by that.
-    """
-    other = delegates.select("key", F.col("id").alias("_id"), F.col("component").alias("_component"), F.col("bins").alias("_bins"))
-    pairs = members.join(other, "key").where("component <> _component").select(F.least("id", "_id").alias("u"), F.greatest("id", "_id").alias("v"), "bins", "_bins")
-    zero = bytes(BINS)
+def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are alike; each side's hashes are joined to the pair."""
+    both = pairs.join(bags.select(F.col("cls").alias("v"), F.col("bag").alias("b")), "v").join(bags.select(F.col("cls").alias("u"), F.col("bag").alias("a")), "u").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            x, y = (np.frombuffer(b"".join(k or zero for k in col), dtype=np.uint8).reshape(-1, BINS) for col in (a, b))
-            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            union = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - both
-            unknown = np.fromiter((k is None or m is None for k, m in zip(a, b)), dtype=bool, count=len(a))
-            yield batch.select(["u", "v"]).filter(pa.array(unknown | (both / np.maximum(1, union) >= similarity)))
+            found = [alike(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), similarity) for a, b in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
 
-    kind = members.schema["id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+    return both.mapInArrow(run, "u binary, v binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole texts are alike. Only texts that stand in a pair are moved."""
-    ids = broadcast_ids(cut(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()))
-    texts = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("text").cast("binary").alias("a"))
-    both = pairs.join(texts, "u").join(texts.withColumnsRenamed({"u": "v", "a": "b"}), "v").select("u", "v", "a", "b")
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], left_groups: list, right_groups: list, similarity: float) -> list[tuple[int, int]]:
+    """(i, j) of alike sets of different groups, as few as tie the same groups together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = pa.array([jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield batch.select(["u", "v"]).filter(alike)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def similar_groups(docs: DataFrame, links: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component): the groups that verified links and ``links`` (u, v) tie together; ids are not null.
-
-    Buckets of up to BUCKET documents form all their pairs. In a larger one each document meets the bucket's delegates,
-    which have then met all of their bucket and leave it; what is left is dealt again to more delegates. Only pairs that
-    no chain of links ties yet are tested, and a bucket ends once it is one group or all have been delegates. So the
-    groups are the ones that all pairs of all buckets would give, whatever a bucket's size. A bucket of copies ends
-    after the first round; one of many documents that are not similar takes about log n rounds, and its pairs of
-    sketches, of which none is moved, are quadratic.
+    Shared hashes are counted for all pairs at once, as products of 0/1 matrices over the hashes that occur twice.
+    """
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    values, inverse, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.full(len(values), -1, np.int64)
+    twice = np.flatnonzero(counts > 1)
+    column[twice] = np.arange(len(twice))
+    at, row = column[inverse], np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(left), len(right)), np.float64)
+    for first in range(0, len(twice), _COLUMNS):
+        a, b = np.searchsorted(at, [first, first + _COLUMNS])
+        dense = np.zeros((len(left) + len(right), min(_COLUMNS, len(twice) - first)), np.float32)
+        dense[row[a:b], at[a:b] - first] = 1.0
+        both += dense[: len(left)] @ dense[len(left) :].T
+    near = (both > 0) & (both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both))
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        a, b = root(left_groups[i]), root(right_groups[j])
+        if a != b:
+            parent[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _tiled(crowded: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between different groups of the same crowded bucket, from all its pairs, tile by tile.
+
+    A bucket of n documents is dealt to n / TILE_ROWS parts by a hash; each two of them meet in a task. So each row
+    moves once per part and no task holds more than two parts, whatever the bucket's size.
+    """
+    held = crowded.select("key", "cls", "component").join(bags, "cls")
+    parts = crowded.join(bags.select("cls", F.octet_length("bag").alias("size")), "cls").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_BYTES)).cast("int").alias("parts"))
+    dealt = held.join(broadcast_ids(cut(parts)), "key").withColumn("own", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "bag")
+
+    def run(table: pa.Table) -> pa.Table:
+        own, first = table["own"].to_numpy(), table["i"][0].as_py()
+        cls, groups = table["cls"].to_pylist(), table["component"].to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in table["bag"]]
+        left = np.flatnonzero(own == first).tolist()
+        right = np.flatnonzero(own != first).tolist() if first != table["j"][0].as_py() else left
+        found = tile_links([sets[k] for k in left], [sets[k] for k in right], [groups[k] for k in left], [groups[k] for k in right], similarity) if left and right else []
+        return pa.table({"u": pa.array([cls[left[i]] for i, _ in found], pa.binary()), "v": pa.array([cls[right[j]] for _, j in found], pa.binary())})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(run, "u binary, v binary")
+
+
+def _undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` (key, cls, n) of buckets that hold more than one group, with their component."""
+    placed = members.join(broadcast_ids(groups), F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return cut(placed.join(broadcast_ids(cut(mixed)), "key"))
+
+
+def similar_groups(classes: DataFrame, bags: DataFrame, links: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component): the groups of ``classes`` (cls, keys) that ``links`` (u, v) and alike shingle sets tie together.
+
+    ``bags`` (cls, bag) may repeat a class. A link counts if the two share a bucket. Each document first meets the most
+    central one of each of its buckets: the one whose own buckets are the largest, which is the original of a crowd of
+    edits. Only buckets that hold several groups after that go on: all pairs of different groups in small ones, tiles
+    in large ones. So the groups are those that all pairs of all buckets would give, whatever a bucket's size; tiles are
+    quadratic in crowds of documents that share blocks and neither they nor their centre tie.
     """
-    signed = cut(_signed(docs, shingle))
-    rows = signed.select("id", F.explode("keys").alias("key")).distinct()
-    rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("id", "key"))
-    groups, met, delegates = cut(connected_components(links)), None, 1
-    while True:
-        placed = rows.join(broadcast_ids(groups), F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-        sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", (F.col("n") > BUCKET).alias("crowded"))
-        members = cut(placed.join(sizes, "key").join(signed.select("id", "bins"), "id").select("key", "id", "component", "bins", "crowded"))
-        if members.isEmpty():
-            return groups
-        few, crowded = members.where("not crowded").drop("crowded"), members.where("crowded").drop("crowded")
-        dealt = cut(_delegates(crowded, delegates))
-        pairs = _candidates(few, few, similarity).union(_candidates(crowded, dealt, similarity)).distinct()
-        pairs = cut(pairs if met is None else pairs.join(met, ["u", "v"], "left_anti"))
-        met = pairs if met is None else met.union(pairs)
-        alike = cut(_verified(pairs, docs, shingle, similarity))
-        if not alike.isEmpty():
-            groups = cut(connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(alike)))
-        rows = cut(crowded.join(dealt.select("key", "id"), ["key", "id"], "left_anti").select("id", "key"))
-        delegates = max(DELEGATES, 2 * delegates)
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    common = broadcast_ids(cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")))
+    members = cut(keyed.join(common, "key").select("key", "cls", "n"))
+    weights = members.groupBy("cls").agg(F.sum("n").alias("weight"))
+    bags = cut(bags.join(broadcast_ids(cut(weights.select("cls"))), "cls", "left_semi").dropDuplicates(["cls"]))
+    centres = members.join(weights, "cls").groupBy("key").agg(F.max_by("cls", F.struct("weight", "cls")).alias("centre"))
+    met = cut(members.join(centres, "key").where("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct())
+    groups = cut(connected_components(links.union(_verified(met, bags, similarity))))
+    open_ = _undecided(members, groups)
+    few = open_.where(F.col("n") <= BUCKET)
+    other = few.select("key", F.col("cls").alias("v"), F.col("component").alias("_component"))
+    pairs = few.join(other, "key").where("component <> _component AND cls < v").select(F.col("cls").alias("u"), "v").distinct()
+    tried = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = cut(_verified(pairs.join(tried, ["u", "v"], "left_anti"), bags, similarity).union(_tiled(open_.where(F.col("n") > BUCKET), bags, similarity)))
+    if more.isEmpty():
+        return groups
+    return cut(connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float, simhash: bool) -> DataFrame:
+    """(doc_id, mark, component) for each row of ``docs``."""
+    signed = signatures(docs.select("doc_id", "text"), shingle)
+    classes = cut(signed.select("cls", "fp", "keys").dropDuplicates(["cls"]))
+    links = simhash_links(classes) if simhash else classes.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    groups = broadcast_ids(similar_groups(classes, signed.select("cls", "bag"), links, similarity))
+    empty = F.lit(xxhash.xxh3_128_digest(b""))
+    # texts without words are copies of each other for SimHash alone
+    return signed.join(groups, F.col("cls") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("component", "cls").alias("component"), (F.col("cls") == empty).alias("blank"))
+
+
+def _keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``rows`` (doc_id, mark, component) puts in a group with a lesser (doc_id, mark)."""
+    named = cut(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", "component"))
+    at = F.struct("doc_id", "mark")
+    firsts = named.groupBy("component").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    judged = named.join(broadcast_ids(cut(firsts)), "component")
+    gone = judged.where(at != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone")).distinct()
+    twice = judged.where(at == F.col("first")).groupBy(F.col("doc_id").alias("_twice_id"), F.col("mark").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    gone, twice = broadcast_ids(cut(gone)), cut(twice)
+    left = docs.join(gone, (docs.doc_id == gone["_gone_id"]) & (F.xxhash64(docs.text) == gone["_gone"]), "left_anti")
+    if twice.isEmpty():
+        return left
+    twice = broadcast_ids(twice)
+    same = (left.doc_id == twice["_twice_id"]) & (F.xxhash64(left.text) == twice["_twice"])
+    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(once)
 
 
 def similar_ids(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id): the documents that go, so that of each group of ``similar_groups`` the one with the least id is left."""
-    none = docs.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
-    return similar_groups(docs, none, shingle, similarity).where("node <> component").select(F.col("node").alias("id"))
+    """(id): the documents that share a group of alike shingle sets with one of a lesser id."""
+    rows = _groups(docs.where("doc_id is not null"), shingle, similarity, simhash=False).where("not blank")
+    firsts = rows.groupBy("component").agg(F.min("doc_id").alias("first"))
+    return rows.join(firsts, "component").where("doc_id <> first").select(F.col("doc_id").alias("id")).distinct()
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that ``similar_ids`` names; columns unchanged, whatever their names.
+    """``docs`` with the first row of each group of alike shingle sets, by (doc_id, hash of the text); columns unchanged,
+    whatever their names.
 
-    Null and empty texts have no shingle and are like nothing. Rows without an id can't be told apart and stay. Other
-    ids must be unique. An empty table gives no rows.
+    Null and empty texts have no shingle and are like nothing. Rows without an id can't be told apart and stay. Of rows
+    that repeat id and text one stays; rows of one id with different texts are judged each. An empty table gives no rows.
     """
-    gone = broadcast_ids(cut(similar_ids(docs.select("doc_id", "text").where("doc_id is not null"), shingle, similarity)))
-    return docs.join(gone, docs.doc_id == gone["id"], "left_anti")
+    return _keep_first(docs, _groups(docs, shingle, similarity, simhash=False).where("not blank"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that carry the least doc_id of their group by SimHash's links and those of similar shingle sets
-    together, one row for each such id; columns unchanged, whatever their names.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the first row of each group, by (doc_id, hash of the text), that links of SimHash and those of alike
+    shingle sets make together; columns unchanged, whatever their names.
 
-    A document that SimHash ties to another still ties those it resembles itself. Rows without an id stay.
+    Null and empty texts are copies of each other. Rows without an id stay. Of rows that repeat id and text one stays;
+    rows of one id with different texts are judged each. Very long texts count whole. An empty table gives no rows.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text")))
-    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    groups = broadcast_ids(similar_groups(docs.select("doc_id", "text").where("doc_id is not null"), links))
-    return keep_named(docs, found.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id")))
+    return _keep_first(docs, _groups(docs, shingle, similarity, simhash=True))

@@ -50,6 +50,13 @@ def span_hashes(prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
         return mixed(raw ^ np.uint64(n * 0x9E3779B97F4A7C15 & _WORD))
 
 
+def window_hashes(prefixes: np.ndarray, n: int) -> np.ndarray:
+    """``span_hashes`` of every stretch of ``n`` bytes of one text, from its prefix hashes."""
+    with np.errstate(over="ignore"):
+        raw = prefixes[n:] - prefixes[:-n] * np.uint64(pow(_BASE, n, 1 << 64))
+        return mixed(raw ^ np.uint64(n * 0x9E3779B97F4A7C15 & _WORD))
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)

@@ -377,6 +377,30 @@ def test_forward_sums_segmentations():
 
     units = [b" abab", b"ab", b" ba", b"aabb"]
     assert np.allclose(model.forward(units), np.log([total(u) for u in units]))
+    assert np.allclose([model._alone(u) for u in units], model.forward(units))
+
+
+def test_long_runs_are_summed_whole(monkeypatch):
+    """A run of letters longer than a segment: the same sum as by logarithms over the whole lattice, the same expected counts."""
+    rng = np.random.default_rng(5)
+    pieces = sorted({b" ", b"a", b"b", b"ab", b"abba", b"ba", b"bbbaaabab"})
+    probs, lengths = rng.random((len(pieces), 2)), np.array([len(p) for p in pieces], float)
+    data = b" " + bytes(rng.choice(np.frombuffer(b"ab", np.uint8), 9000))
+
+    def build():
+        return langid.Model(["x", "y"], langid.piece_keys(pieces), lengths, probs * langid._SCALE ** lengths[:, None])
+
+    want = np.zeros((len(data) + 1, 2))
+    for end in range(1, len(data) + 1):
+        arcs = [(end - len(p), k) for k, p in enumerate(pieces) if data.endswith(p, 0, end)]
+        want[end] = np.logaddexp.reduce([want[a] + np.log(probs[k]) for a, k in arcs])
+    assert np.allclose(build().forward([data])[0], want[-1])
+    short = [data[:40], b" " + data[50:90]]
+    one, other = build(), build()
+    one.refit(short, np.array([[1.0, 2.0], [3.0, 1.0]]))
+    monkeypatch.setattr(langid, "SHORT_BYTES", 5)
+    other.refit(short, np.array([[1.0, 2.0], [3.0, 1.0]]))
+    assert np.allclose(one.probs, other.probs)
 
 
 def test_toxicity(spark):
