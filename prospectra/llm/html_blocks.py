@@ -10,151 +10,208 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines whose lengths are summed, and the sum at which text is taken to begin.
+#: Lines whose weights are summed, and the sum at which text is taken to begin.
 WINDOW = 3
-SURGE = 80
+SURGE = 80.0
+#: How much more a character weighs inside an element that the page calls its article or main part.
+MARKED = 2.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=/>]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 #: Elements whose content is no text at all; it ends at the end tag only.
-_RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "head"))
-#: Elements around the article.
-_ASIDE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "datalist", "label", "fieldset"))
-#: Words in a class, id or role that tell of something around the article.
+_RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"))
+#: Elements around the article, stripped with what they hold; the second kind stands inside lines.
+_ASIDE = frozenset(("head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"))
+_CONTROL = frozenset(("button", "select", "datalist", "label"))
+#: Words in a class, id or role that tell of something around the article, and words that may follow them.
 _ODD = frozenset(
     "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related recommended search share sharing sidebar sidenav skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo replies reply respond".split()
 )
+_PLAIN = frozenset("area articles bar block body bottom box button buttons container content group holder icons inner item items left link links list main menu outer panel posts right row section slot stories text top unit wrap wrapper".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-_CLOSED_BY = {"p": frozenset("p div section article h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote hr form header footer nav aside main address figure".split()), "li": frozenset(["li"]), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(["tr"]), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(["option"])}
+_CLOSED_BY = {"p": frozenset("p div section article h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote hr form header footer nav aside main address figure".split()), "li": frozenset(["li"]), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(["tr"]), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(["option"]), "head": frozenset("body p div section article main h1 h2 h3 h4 h5 h6 ul ol table header nav footer".split())}
 _BODY = frozenset(("article", "main"))
 
 
+def _odd_label(label: str) -> bool:
+    """Whether one class or id names something around the article: its last words are odd, or odd and then plain ones."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()) if w]
+    while words and words[-1] in _PLAIN and words[-1] not in _ODD:
+        words.pop()
+    return bool(words) and words[-1] in _ODD
+
+
 def _odd(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element stands around the article. A header inside an article is its heading unless its class says otherwise."""
-    if name in _ASIDE and not (inside and name == "header"):
+    if (name in _ASIDE or name in _CONTROL) and not (inside and name == "header"):
         return True
     if not attributes or name in ("body", "html", *_BODY):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(a or b or c for a, b, c in _CLASS.findall(attributes))).lower())
-    return any(w in _ODD for w in words)
+    return bool(_HIDDEN.search(attributes)) or any(_odd_label(x) for a, b, c in _CLASS.findall(attributes) for x in (a or b or c).split())
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, usable, in an article) of each block in page order; inline markup doesn't break a block.
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters of it in links, in an article) of each block in page order, without elements around the article.
 
-    usable is false inside elements around the article.
+    Inline markup doesn't break a block, nor do controls inside it.
     """
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, odd, body, link
     text: list[str] = []
-    odd = body = 0
+    linked: list[str] = []
+    odd = body = links = 0
     at = 0
 
+    def clean(parts: list[str]) -> str:
+        return " ".join(html.unescape("".join(parts)).split())
+
     def flush() -> None:
-        line = " ".join(html.unescape("".join(text)).split())
+        line = clean(text)
         if line:
-            out.append((line, not odd, body > 0))
+            out.append((line, len(clean(linked)), body > 0))
         text.clear()
-
-    def pop() -> None:
-        nonlocal odd, body
-        flush()
-        _, was_odd, was_body = stack.pop()
+        linked.clear()
+
+    def add(piece: str) -> None:
+        if not odd and piece:
+            text.append(piece)
+            if links:
+                linked.append(piece)
+
+    def pop() -> str:
+        nonlocal odd, body, links
+        name, was_odd, was_body, was_link = stack.pop()
+        if name not in _INLINE and name not in _CONTROL and (was_odd or not odd):
+            flush()
         odd -= was_odd
         body -= was_body
+        links -= was_link
+        return name
 
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
-            text.append(page[at:])
+            add(page[at:])
             break
-        text.append(page[at:start])
+        add(page[at:start])
         m = _TOKEN.match(page, start)
         if not m:
-            text.append("<")
+            add("<")
             at = start + 1
             continue
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                text.append(html.escape(re.sub(r"\]\]>\Z", "", m[0][9:])))
+                add(html.escape(re.sub(r"\]\]>\Z", "", m[0][9:])))
             continue
         if m[1]:
             if name == "p" and all(x[0] != "p" for x in stack):
                 flush()
-            elif name not in _INLINE and any(x[0] == name for x in stack):
-                while stack:
-                    last = stack[-1][0]
-                    pop()
-                    if last == name:
+            elif name in _INLINE:
+                # an inline end tag closes its own element, not a block that was opened since
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        while len(stack) > k:
+                            pop()
                         break
-            elif name in _INLINE and any(x[0] == name and x[1] for x in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+                    if stack[k][0] not in _INLINE:
+                        break
+            elif any(x[0] == name for x in stack):
+                while pop() != name:
+                    pass
             continue
-        if name in _RAW and name != "head":
+        if name in _RAW:
             if not m[0].rstrip(">").endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name in ("script", "style") else at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                elif name in ("title", "textarea"):
+                    at = page.find("<", at) if "<" in page[at:] else len(page)
             continue
         if name in ("br", "hr"):
-            flush()
+            if not odd:
+                flush()
             continue
         if name in _VOID:
             continue
         is_odd = _odd(name, m[3] or "", body > 0)
-        if name in _INLINE and not is_odd:
+        if name in _INLINE and not is_odd and name != "a":
             continue
-        while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
-            pop()
-        flush()
-        stack.append((name, is_odd, name in _BODY))
+        if name == "a":  # links don't nest
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "a":
+                    while len(stack) > k:
+                        pop()
+                    break
+                if stack[k][0] not in _INLINE:
+                    break
+        if name not in _INLINE and name not in _CONTROL:
+            while stack and (name in _CLOSED_BY.get(stack[-1][0], ()) or stack[-1][0] in _INLINE and not stack[-1][1] and any(name in _CLOSED_BY.get(x[0], ()) for x in stack[-2:-1])):
+                pop()
+            if not odd:
+                flush()
+        stack.append((name, is_odd, name in _BODY, name == "a"))
         odd += is_odd
         body += name in _BODY
+        links += name == "a"
     flush()
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's text, blocks joined by newlines.
+def weights_of(lines: list[tuple[str, int, bool]]) -> list[float]:
+    """A line weighs its characters outside links, more where the page marks its article."""
+    return [(len(text) - linked) * (MARKED if body else 1.0) for text, linked, body in lines]
 
-    Usable lines weigh their length, others nothing; where the page marks an article or main part with any text, only
-    its lines weigh. The sum over a window of lines from each line on is the distribution. Text surges where a sum
-    reaches ``surge`` (or the largest sum of the page, if that is less), back to the first line after an empty one, and
-    dives where a whole window sums to nothing. All weighing lines between are kept, short ones too.
+
+def stretches(weights: list[float], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of text in a distribution of line weights.
+
+    The sum over ``window`` lines from each line on is the distribution. Text surges where a sum reaches ``surge`` (or
+    the largest sum of the page, if that is less): the stretch reaches back and on to the dives, where a whole window
+    weighs nothing, without the weightless lines at its ends.
     """
-    lines = lines_of(page) if page else []
-    marked = any(usable and body for _, usable, body in lines)
-    weights = [len(line) if usable and (body or not marked) else 0 for line, usable, body in lines]
     sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    least = min(surge, max(sums, default=0))
-    if marked:  # the page itself tells where its text begins and ends
-        least = min(least, 1)
-    kept: list[str] = []
-    k = 0
-    while k < len(lines):
+    least = min(surge, max(sums, default=0.0))
+    out, k = [], 0
+    while k < len(sums):
         end = k
-        while end < len(lines) and sums[end] > 0:
+        while end < len(sums) and sums[end] > 0:
             end += 1
         if end > k and max(sums[k:end]) >= least > 0:
-            kept += [lines[i][0] for i in range(k, end) if weights[i]]
+            heavy = [i for i in range(k, end) if weights[i] > 0]
+            out.append((heavy[0], heavy[-1] + 1))
         k = max(end, k + 1)
-    return "\n".join(kept)
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    """The article's text: all lines of all stretches of the line-block distribution, joined by newlines.
+
+    Whole pages of any length; markup that never closes runs to the end of its parent. Null, empty and textless pages
+    give the empty text.
+    """
+    lines = lines_of(page) if page else []
+    return "\n".join(lines[i][0] for first, end in stretches(weights_of(lines), window, surge) for i in range(first, end))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of ``pages``; null html gives the empty text."""
+    """page_id, url, text and n_chars for each row of ``pages``, in the rows' own columns only.
+
+    Null and empty html give the empty text; ids and urls pass through, null and repeated ones too. Each page is read
+    alone and whole. An empty table gives no rows.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                texts = [main_text(x.as_py()) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", F.col("html")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

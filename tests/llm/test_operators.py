@@ -351,6 +351,67 @@ def test_html():
     assert len(html_blocks.main_text("<div>" * 3000 + "x" * 100_000)) == 100_000
 
 
+def test_line_blocks_follow_the_distribution():
+    """Stretches against their definition: lines between dives whose windows reach the surge, from line to line."""
+    rng = random.Random(6)
+    for _ in range(300):
+        weights = [float(rng.choice([0, 0, 0, rng.randint(1, 30), rng.randint(30, 120)])) for _ in range(rng.randint(0, 25))]
+        window, surge = rng.choice([1, 2, 3]), rng.choice([1.0, 40.0, 80.0, 500.0])
+        total = lambda k: sum(weights[max(0, k) : k + window])  # noqa: E731, B023
+        top = min(surge, max(map(total, range(len(weights))), default=0))
+        keep = set()
+        for k, w in enumerate(weights):
+            if not w:
+                continue
+            # all lines that can be reached from this one without a dive in between
+            low = high = k
+            while low > 0 and total(low - 1) > 0:
+                low -= 1
+            while high + 1 < len(weights) and total(high + 1) > 0:
+                high += 1
+            if max(map(total, range(low, high + 1))) >= top > 0:
+                keep.add(k)
+        got = html_blocks.stretches(weights, window, surge)
+        assert {k for a, b in got for k in range(a, b) if weights[k]} == keep
+        assert all(weights[a] and weights[b - 1] for a, b in got) and got == sorted(got)
+
+
+def test_article_tags_are_only_a_prior():
+    rng = random.Random(7)
+    for _ in range(40):
+        paragraphs = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(2, 12))]
+        links = "".join(f"<li><a href=/{k}>menu {k}</a></li>" for k in range(6))
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        marked = f"<body><ul>{links}</ul><article><h1>Title</h1>{body}</article><div class='related-posts'>more</div></body>"
+        plain = re.sub("</?article>", "", marked)
+        assert html_blocks.main_text(marked) == html_blocks.main_text(plain) == "\n".join(["Title", *paragraphs])
+    assert html_blocks.main_text("<article>one</article><p>" + "x" * 100 + "</p>") == "one\n" + "x" * 100
+    assert html_blocks.main_text("<div><article>a teaser</article></div>" + "<p><a href=x>only a link</a></p>" * 4 + f"<div>{'main text ' * 20}</div>") == ("main text " * 20).strip()
+
+
+def test_html_edges(spark):
+    cases = {
+        "<div class='ad-free-article'><p>text</p></div><div class='related-work'>more</div>": "text\nmore",
+        "<div class='ad-slot'>x</div><div class='site-footer'>y</div><div id='comments'><p>z</p></div><p>real</p>": "real",
+        f"<p>{'y' * 90}</p><nav><ul><li>a<li>b<li>c</ul></nav><p>closing</p>": "y" * 90 + "\nclosing",
+        "<p>a <button>Click</button> b</p>": "a b",
+        "<html><head><title>Leak<body><p>text": "text",
+        "<p>a <a href=x>link <b>bold</a> more</b> end</p>": "a link bold more end",
+        "": "",
+        "<nav>only</nav>": "",
+        "a < b &amp; c": "a < b & c",
+    }
+    for page, want in cases.items():
+        assert html_blocks.main_text(page) == want, page
+    long = "<p>" + "</p><p>".join(f"line {k} <b>of</b> a long page" for k in range(30_000)) + "</p>"
+    assert html_blocks.main_text(long) == "\n".join(f"line {k} of a long page" for k in range(30_000))
+    assert html_blocks.main_text("<div>" * 5000 + "deep") == "deep"
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string, text string, n_chars string")
+    assert html_blocks.extract(empty).collect() == []
+    wide = spark.createDataFrame([(1, "u", "<p>x</p>", "clash", "clash")], empty.schema)
+    assert tuple(html_blocks.extract(wide).collect()[0]) == (1, "u", "x", 1)
+
+
 def test_html_query(spark):
     out = html_blocks.extract(spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>é</p>")], "page_id bigint, url string, html string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "é", 1), (1, "", 0), (1, "", 0)]
