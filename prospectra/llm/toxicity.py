@@ -14,20 +14,24 @@ from pyspark.sql import functions as F
 from .common import crc_mod, in_low_share
 from .tokens import by_length, mixed, numbered, prefix_hashes, span_hashes
 
-#: Labelled documents per label that the model is fitted on, those least in a hash of the id, and the words of the longest.
+#: Labelled documents per label that the model is fitted on, those least in a hash of the id.
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 5000
 BUCKETS_LOG2 = 16
-DIM = 8
+DIM = 16
 WIDTHS = (1, 2, 3)
-FILTERS = 8
-EPOCHS = 4
+FILTERS = 16
+#: Epochs with mean pooling, where every word of a text learns, and then with max pooling, where only those that win do.
+MEAN_EPOCHS = 3
+EPOCHS = 5
 BATCH = 32
-RATE = 0.05
+RATE = 0.1
+#: Share of the words that a text loses at random in the first epoch of max pooling, less in each, none in the last: so
+#: other words win the filters each time.
+HIDE = 0.5
 #: Byte lengths of the pieces that are hashed besides the whole word; the word is bounded by < and >.
 PIECES = (4, 6)
-#: A longer word is hashed whole and by the pieces of its beginning only.
-_WORD_BYTES = 64
+#: A longer run without white space is read as several words, one after another, of so many characters.
+UNIT_CHARS = 32
 _NOISE = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -41,7 +45,7 @@ def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         length = matrix.shape[1]
         spans = [(0, length)]
         if length > 2:
-            spans += [(a, a + n) for n in PIECES for a in range(min(length, _WORD_BYTES) - n + 1)]
+            spans += [(a, a + n) for n in PIECES for a in range(length - n + 1)]
         for a, b in spans:
             owners.append(part)
             buckets.append((mixed(span_hashes(prefixes, a, b)) >> shift).astype(np.int32))
@@ -52,6 +56,27 @@ def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def words_of(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct words, and each text as numbers of them; long runs stand as their units, so all of a text is read."""
+    tokens, docs = numbered(texts)
+    long = [k for k, t in enumerate(tokens) if len(t) > UNIT_CHARS]
+    if not long:
+        return tokens, docs
+    known = {t: k for k, t in enumerate(tokens)}
+    units = {k: np.array([known.setdefault(u, len(known)) for a in range(0, len(tokens[k]), UNIT_CHARS) if (u := tokens[k][a : a + UNIT_CHARS])], np.int32) for k in long}
+    is_long = np.zeros(len(tokens), bool)
+    is_long[long] = True
+    out = []
+    for ids in docs:
+        at = np.flatnonzero(is_long[ids])
+        parts, last = [], 0
+        for k in at.tolist():
+            parts += [ids[last:k], units[int(ids[k])]]
+            last = k + 1
+        out.append(np.concatenate([*parts, ids[last:]]) if parts else ids)
+    return list(known), out
+
+
 @dataclass
 class Network:
     """Embeddings of buckets; filters of each width over ``width`` words, the text padded at its end; the largest
@@ -111,7 +136,7 @@ class Network:
         return np.concatenate(best), np.concatenate(where)
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        tokens, docs = numbered(texts)
+        tokens, docs = words_of(texts)
         parts = self.responses(self.words(tokens)[0])
         out = np.empty(len(docs))
         for k, ids in enumerate(docs):
@@ -123,41 +148,38 @@ class Network:
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Adagrad on the logistic loss, both labels weighing the same. Only the words that win a filter learn."""
+    """Adagrad on the logistic loss, from a random start, both labels weighing the same."""
     net = Network.new(seed)
     rng = np.random.default_rng(seed)
-    tokens, docs = numbered(texts)
+    tokens, docs = words_of(texts)
     buckets, starts = features(tokens)
     ends = np.append(starts[1:], len(buckets))
-    # the first dimension starts as how much more often a bucket's words stand in documents of label 1, in standard errors
-    seen = np.zeros((2, 1 << BUCKETS_LOG2))
-    for ids, label in zip(docs, labels.tolist()):
-        if len(ids):
-            seen[label][np.unique(np.concatenate([buckets[starts[t] : ends[t]] for t in np.unique(ids)]))] += 1
-    clean = seen[0] * (labels.sum() / max(1, (1 - labels).sum()))
-    net.embed[:, 0] = np.clip((seen[1] - clean) / np.sqrt(seen[1] + clean + 4), -4, 4)
-    for kernel in net.kernels:
-        kernel[:, 0] = np.abs(kernel[:, 0])
-    net.out[:] = np.abs(net.out)
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
     params = {"embed": net.embed, "bias": net.bias, "out": net.out, **{f"k{i}": k for i, k in enumerate(net.kernels)}}
     squares = {name: np.full_like(p, 1e-2) for name, p in params.items()}
     bias_square = 1e-2
-    for _ in range(epochs):
+    for epoch in range(-MEAN_EPOCHS, epochs):
+        mean = epoch < 0
+        hide = 0.0 if mean else HIDE * (1 - epoch / max(1, epochs - 1))
         for batch in np.array_split(rng.permutation(len(docs)), -(-len(docs) // BATCH)):
-            used = np.unique(np.concatenate([docs[k] for k in batch])) if len(batch) else np.zeros(0, np.int32)
+            seen = {k: docs[k][rng.random(len(docs[k])) >= hide] for k in batch.tolist()}
+            used = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.int32)]))
             sizes = (ends - starts)[used]
             flat = buckets[np.repeat(starts[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())] if len(used) else np.zeros(0, np.int32)
             norm = np.sqrt(np.maximum(sizes, 1)).astype(np.float32)
             vectors = np.add.reduceat(net.embed[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / norm[:, None] if len(used) else np.zeros((0, DIM), np.float32)
-            parts = net.responses(vectors)
+            parts = [] if mean else net.responses(vectors)
             grads = {name: np.zeros_like(p) for name, p in params.items() if name != "embed"}
             d_vectors = np.zeros((len(used) + 1, DIM), np.float32)
             padded = np.vstack((vectors, np.zeros((1, DIM), np.float32)))
             d_bias = 0.0
             for k in batch:
-                ids = np.searchsorted(used, docs[k])
-                best, where = net.pooled(parts, ids)
+                ids = np.searchsorted(used, seen[int(k)])
+                if mean:  # the sum over the root of the length; offsets of a filter see the same words but for the ends
+                    total = vectors[ids].sum(axis=0) / max(1, len(ids)) ** 0.5
+                    best = np.concatenate([total @ kernel.sum(axis=0) for kernel in net.kernels])
+                else:
+                    best, where = net.pooled(parts, ids)
                 hidden = best + net.bias
                 active = np.maximum(hidden, 0)
                 p = 1 / (1 + np.exp(-np.clip(active @ net.out + net.out_bias, -30, 30)))
@@ -166,6 +188,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                 grads["out"] += d * active
                 d_hidden = d * net.out * (hidden > 0)
                 grads["bias"] += d_hidden
+                if mean:
+                    for i, kernel in enumerate(net.kernels):
+                        g = d_hidden[i * FILTERS : (i + 1) * FILTERS]
+                        grads[f"k{i}"] += np.outer(total, g)[None]
+                        np.add.at(d_vectors, ids, kernel.sum(axis=0) @ g / max(1, len(ids)) ** 0.5)
+                    continue
                 row = np.append(ids, np.full(max(WIDTHS), len(used)))
                 for i, kernel in enumerate(net.kernels):
                     own = slice(i * FILTERS, (i + 1) * FILTERS)
@@ -176,8 +204,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                         np.add.at(d_vectors, who, (kernel[j] * g).T)
             hot = np.flatnonzero(np.abs(d_vectors[:-1]).sum(axis=1))
             if len(hot):
-                first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                spread = np.concatenate([flat[first[h] : first[h] + sizes[h]] for h in hot])
+                first, own = np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes[hot]
+                spread = flat[np.repeat(first[hot] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())]
                 rows, inverse = np.unique(spread, return_inverse=True)
                 g = np.zeros((len(rows), DIM), np.float32)
                 np.add.at(g, inverse, np.repeat(d_vectors[hot] / norm[hot, None], sizes[hot], axis=0))
@@ -222,14 +250,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, hold
     """Fit on up to ``sample_docs`` labelled documents of each label whose crc32(doc_id) modulo ``hold_mod`` isn't ``hold_at``.
 
     Ids are chosen from ``labels`` alone, by a hash, so no text is shuffled; then their texts are fetched. A third of
-    them only calibrates. Rows with a null label or id are left out; of an id with several labels or texts one is used.
+    them only calibrates. Rows with a null label or id are left out; of an id's several labels the largest counts, of its
+    texts the least.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), hold_mod) != hold_at)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     low = lambda t: usable.where((F.col("toxic") == t) & in_low_share(order, F.lit(totals.get(t, 1)), sample_docs)).orderBy(order).limit(sample_docs)
     ids = low(0).union(low(1))
-    found = docs.select("doc_id", "lang", "text").where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"), F.first("toxic").alias("toxic")).select("doc_id", "d.text", "d.lang", "toxic")
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     if len({r["toxic"] for r in rows}) < 2:
         net = Network.new()
@@ -268,4 +297,9 @@ def score(docs: DataFrame, net: Network, hold_mod: int = 5, hold_at: int = 0) ->
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``fit``, then ``score``: one row per row of ``docs``, repeated rows each.
+
+    Without labels of both kinds among the rows to learn from, all documents get one score. Equal texts have equal
+    scores, whatever their other columns. Very long texts, and runs without white space, count whole.
+    """
     return score(docs, fit(docs, labels, sample_docs))
