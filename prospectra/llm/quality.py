@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, let, small_enough, words_spaced
@@ -19,9 +19,12 @@ RATIOS = {
 }
 #: Fences stand so many spreads (inner half of the values) outside the quartiles.
 REACH = 3.0
-#: A group with fewer documents shares the sketch of its language, and that one the sketch of all.
-MIN_GROUP = 200
-SKETCH_K = 400
+#: Documents that the language's distribution counts for in each of its sources, and that of all in each language.
+PRIOR = 200
+#: Bins of a sketch grow by this factor, so a quantile is told within 1 %; values under LEAST are one bin with zero.
+GROWTH = 1.02
+LEAST = 1e-6
+_UNIT = 1_000_000
 BROADCAST_GROUPS = 20_000
 
 
@@ -68,38 +71,66 @@ def _ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({"symbols_per_word": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n, "mean_word": F.col("word_chars") / n})
 
 
-def fences(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def _bin(value: Column) -> Column:
+    return F.when(value < LEAST, F.lit(None).cast("int")).otherwise(F.ceil(F.log(value) / F.log(F.lit(GROWTH))).cast("int"))
+
+
+def _middle(bin_: Column) -> Column:
+    return F.coalesce(F.pow(F.lit(GROWTH), bin_.cast("double")) * (2.0 / (1.0 + GROWTH)), F.lit(0.0))
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bin, n): a quantile sketch of each ratio per language and source, as counts of logarithmic bins.
+
+    Sketches merge by adding counts, so they are partial aggregates, the same in every run. A ratio has a few thousand
+    bins at most, whatever the rows. Null is the bin of zero.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("ratio"), _bin(F.col(c)).alias("bin")) for c in RATIOS])).alias("b")
+    return measured.select("lang", "source", pairs).groupBy("lang", "source", "b.ratio", "b.bin").agg(F.count("*").alias("n"))
+
+
+def fences(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """One row per (lang, source): a low and a high fence for each ratio.
 
-    A sketch per group comes from partial sketches merged by Spark's aggregate; group sketches merge again to those of
-    the languages and of all. Their sizes don't grow with the rows.
+    A group's quartiles are those of its own sketch and, as ``prior`` more documents, its language's; the language's
+    has, as ``prior`` more, that of all. So small groups lean on the larger ones by one rule for every size.
     """
-    names = list(RATIOS)
-    own = cut(measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names]))
-    merge = [F.kll_merge_agg_double(c).alias(f"{c}_up") for c in names]
-    langs = own.groupBy(F.col("lang").alias("lang_up")).agg(F.sum("n").alias("n_up"), *merge)
-    total = own.groupBy(F.lit(1).alias("one")).agg(*[F.kll_merge_agg_double(c).alias(f"{c}_all") for c in names])
-    joined = own.withColumn("one", F.lit(1)).join(langs, F.col("lang").eqNullSafe(F.col("lang_up"))).join(total, "one")
-    out = ["lang", "source"]
+    own = cut(sketches(measured))
+    langs = own.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
+    every = own.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
+    total = every.groupBy("ratio").agg(F.sum("n").alias("n_all"))
+    sizes = langs.groupBy(F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio")).agg(F.sum("n").alias("n_lang"))
+    groups = own.select("lang", "source", "ratio").distinct().join(F.broadcast(sizes) if small_enough(sizes, BROADCAST_GROUPS) else sizes, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("ratio") == F.col("_ratio"))).drop("_lang", "_ratio")
+    whole = lambda w: F.round(w * _UNIT).cast("long").alias("w")  # noqa: E731  integers, so that sums don't depend on their order
+    lead = ["lang", "source", "ratio"]
+    upper = langs.withColumnsRenamed({"lang": "_lang", "ratio": "_ratio"})
+    from_lang = groups.join(upper, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("ratio") == F.col("_ratio"))).select(*lead, "bin", whole(prior * F.col("n") / (F.col("n_lang") + prior)))
+    from_all = groups.join(F.broadcast(every.join(total, "ratio")), "ratio").select(*lead, "bin", whole(F.lit(float(prior) * prior) * F.col("n") / F.col("n_all") / (F.col("n_lang") + prior)))
+    joint = own.select(*lead, "bin", (F.col("n") * _UNIT).alias("w")).union(from_lang).union(from_all).groupBy(*lead, "bin").agg(F.sum("w").alias("w"))
+    bins = Window.partitionBy(*lead)  # a sketch's bins, bounded
+    upto = joint.withColumn("upto", F.sum("w").over(bins.orderBy(F.col("bin").asc_nulls_first()))).withColumn("share", F.col("upto") / F.sum("w").over(bins))
+    at = lambda q: F.min(F.when(F.col("share") >= q, _middle(F.col("bin"))))
+    quartiles = upto.groupBy(*lead).agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    out = []
     for c, (floor, low) in RATIOS.items():
-        sketch = F.when(F.col("n") >= min_group, F.col(c)).when(F.col("n_up") >= min_group, F.col(f"{c}_up")).otherwise(F.col(f"{c}_all"))
-        q1, q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-        reach = F.lit(REACH) * F.greatest(q3 - q1, F.lit(floor))
-        out += [(q3 + reach).alias(f"{c}_high"), *([(q1 - reach).alias(f"{c}_low")] if low else [])]
-    return joined.select(*out)
+        mine = lambda x, c=c: F.max(F.when(F.col("ratio") == c, x))
+        reach = F.lit(REACH) * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
+        out += [mine(F.col("q3") + reach).alias(f"{c}_high"), *([mine(F.col("q1") - reach).alias(f"{c}_low")] if low else [])]
+    return quartiles.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept per row of ``docs``.
 
     Base: fewer than 50 words, or over half of the words in three-word windows that occur twice. Of the others, those
     whose symbols per word, share of repeated lines, share of repeated words or mean word length lie beyond the fences
     of their language and source fail too. Only documents that pass the base make sketches. Null languages and sources
-    are groups of their own. An empty table gives no rows.
+    are groups of their own. Null text counts as the empty text, which fails the base. Very long texts count whole;
+    repeated rows count each. A ratio on its fence is inside. An empty table gives no rows. Reruns agree.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = cut(_ratios(counts(docs)).withColumn("base_failed", failed))
-    limits = fences(measured.where(~F.col("base_failed")), min_group).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = fences(measured.where(~F.col("base_failed")), prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     if small_enough(limits, BROADCAST_GROUPS):
         limits = F.broadcast(limits)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")

@@ -483,6 +483,99 @@ def test_toxicity(spark):
     assert none.where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_a_random_start():
+    """Held-out AUC of the network on words of its own, with long texts around them."""
+    rng = random.Random(12)
+    words, bad = [f"w{k}" for k in range(800)], ["nastify", "nastyish", "horridly", "vile"]
+
+    def sample(n):
+        texts, y = [], []
+        for k in range(n):
+            text = [rng.choice(words) for _ in range(rng.randint(50, 400))]
+            if k % 2:
+                text.insert(rng.randrange(len(text)), rng.choice(bad))
+            texts.append(" ".join(text))
+            y.append(k % 2)
+        return texts, np.array(y)
+
+    texts, y = sample(600)
+    net = toxicity.train(texts, y)
+    texts, y = sample(200)
+    order = np.argsort(np.argsort(net.logits(texts)))
+    assert (order[y == 1].mean() - order[y == 0].mean()) / len(y) + 0.5 >= 0.95
+
+
+def test_toxicity_forward_by_hand():
+    """Scores against plain loops; a run without white space counts to its end, an equal beginning doesn't make it equal."""
+    net = toxicity.Network.new(3)
+    net.bias = np.random.default_rng(4).normal(0, 0.5, len(net.bias)).astype(np.float32)
+    texts = ["a b c d", "one", "", None, "x" * 40 + "tail", "x" * 40 + "other " + "word " * 300, "é ß 漢字" * 30]
+
+    def vector(word):
+        buckets, _ = toxicity.features([word])
+        return net.embed[buckets].sum(axis=0) / np.sqrt(len(buckets))
+
+    for text, got in zip(texts, net.logits(texts)):
+        words = [t[k : k + toxicity.UNIT_CHARS] for t in (text or "").lower().split() for k in range(0, len(t), toxicity.UNIT_CHARS)]
+        rows = [vector(w) for w in words] or [np.zeros(toxicity.DIM)]
+        rows += [np.zeros(toxicity.DIM)] * 2
+        best = [max(sum(rows[t + j] @ k[j, :, f] for j in range(len(k))) for t in range(max(1, len(words)))) for k in net.kernels for f in range(toxicity.FILTERS)]
+        assert abs(got - (np.maximum(np.array(best) + net.bias, 0) @ net.out)) < 1e-3
+    long = ["y" * 15_000 + "a", "y" * 15_000 + "b" * 50]
+    assert net.logits(long)[0] != net.logits(long)[1]
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """base_failed and kept from plain loops: sketches of log bins, leaning on the language's and on all."""
+    rng = random.Random(15)
+    rows = []
+    for k in range(500):
+        n = rng.choice([0, 30, 60, 90, 200])
+        words = [rng.choice(["alpha", "be", "gammas", "d", "epsilon"]) + str(rng.randrange(3000)) + rng.choice([""] * 20 + ["###"]) for _ in range(n)]
+        if k % 17 == 0:
+            words = words[:20] * 6 + words
+        if k % 23 == 0:
+            words = [w + "$$$*" for w in words]
+        text = " ".join(words) if k % 5 else "\n".join(" ".join(words[a : a + 5]) for a in range(0, n, 5))
+        rows.append((k, text if k % 50 else None, rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s1", "s2", None])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r.asDict() for r in quality.judge(docs).collect()}
+    again = {r["doc_id"]: r.asDict() for r in quality.judge(docs.repartition(7)).collect()}
+    assert got == again
+    ratios, failed = {}, {}
+    for k, text, lang, source in rows:
+        g = got[k]
+        lines = len([x for x in (text or "").split("\n") if re.search(SPACE, x)])
+        n = max(1, g["n_words"])
+        ratios[k] = {"symbols_per_word": g["n_symbols"] / n, "dup_line_share": g["n_dup_lines"] / max(1, lines), "repeat_share": g["n_repeat_words"] / n, "mean_word": g["word_chars"] / n}
+        failed[k] = g["n_words"] < 50 or 100 * g["n_repeat_words"] > 50 * g["n_words"]
+    bin_of = lambda x: None if x < quality.LEAST else math.ceil(math.log(x) / math.log(quality.GROWTH))
+    good = [r for r in rows if not failed[r[0]]]
+    for k, _, lang, source in rows:
+        kept = not failed[k]
+        for c, (floor, low) in quality.RATIOS.items():
+            every = Counter(bin_of(ratios[r[0]][c]) for r in good)
+            mine = Counter(bin_of(ratios[r[0]][c]) for r in good if r[2] == lang)
+            joint = Counter()
+            for r in good:
+                if (r[2], r[3]) == (lang, source):
+                    joint[bin_of(ratios[r[0]][c])] += 1
+            if not joint:
+                continue
+            n_lang, p = sum(mine.values()), quality.PRIOR
+            for b, x in mine.items():
+                joint[b] += p * x / (n_lang + p)
+            for b, x in every.items():
+                joint[b] += p * p * x / sum(every.values()) / (n_lang + p)
+            bins, total = sorted(joint, key=lambda b: (b is not None, b)), sum(joint.values())
+            upto = np.cumsum([joint[b] for b in bins]) / total
+            at = lambda q: (lambda b: 0.0 if b is None else quality.GROWTH**b * 2 / (1 + quality.GROWTH))(bins[int(np.argmax(upto >= q))])  # noqa: E731, B023
+            reach = quality.REACH * max(at(0.75) - at(0.25), floor)
+            kept = kept and ratios[k][c] <= at(0.75) + reach and (not low or ratios[k][c] >= at(0.25) - reach)
+        assert (got[k]["base_failed"], got[k]["kept"]) == (failed[k], kept), k
+    assert 0 < sum(g["kept"] for g in got.values()) < sum(not f for f in failed.values())
+
+
 def test_empty_tables(spark, empty):
     bench, labels = spark.createDataFrame([(1, "a b")], "item_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int")
     for out in (simhash.near_duplicates(empty), simhash.keep_one(empty), line_dedup.dedup_lines(empty), decontam.contamination(empty, bench), lm_automaton.score(empty), mixing.mix(empty), quality.judge(empty), langid.predictions(empty), langid.keep_identified(empty), toxicity.toxicity(empty, labels), url_trust.judge(spark.createDataFrame([], "page_id bigint, url string, html string"), [])):
