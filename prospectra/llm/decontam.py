@@ -1,11 +1,11 @@
-"""Benchmark decontamination by winnowed fingerprints, extended along their diagonals. DataFrame functions only."""
+"""Benchmark decontamination by winnowed fingerprints, extended to whole windows. DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, small_enough
+from .common import broadcast_ids, cut, let, lower_ascii, small_enough
 
 #: Words of the shortest shared span that must be found, and of a k-gram; the window of k-grams follows from them.
 SPAN = 10
@@ -37,13 +37,15 @@ def _located(grams: Column) -> Column:
 def _winnowed(hashes: Column, span: int, gram: int) -> Column:
     """(fp, pos) of the k-grams that are least in a window of ``span - gram + 1``; ties are all kept.
 
-    A span of ``span`` equal words holds one whole window on either side, with the same least hash.
+    A span of ``span`` equal words holds one whole window on either side, with the same least hash. A gram is the least
+    of some window exactly if it equals the greatest of the minima of the windows that it stands in.
     """
     width = span - gram + 1
 
     def choose(grams: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(1), F.size(grams) - (width - 1)), lambda j: F.array_min(F.slice(grams, j, width)))
-        chosen = let(least, lambda m: F.transform(grams, lambda g, i: F.when(F.array_contains(F.slice(m, F.greatest(i - (width - 2), F.lit(1)), F.least(i + 1, F.lit(width))), g), F.struct(g.alias("fp"), i.alias("pos")))))
+        # null beyond the last whole window
+        least = F.transform(grams, lambda g, i: F.when(i <= F.size(grams) - width, F.least(g, *[F.get(grams, i + j) for j in range(1, width)])))
+        chosen = let(least, lambda m: F.transform(grams, lambda g, i: F.when(g == F.greatest(*[F.get(m, i - j) for j in range(width)]), F.struct(g.alias("fp"), i.alias("pos")))))
         return F.filter(chosen, lambda x: x.isNotNull())
 
     empty = F.array().cast("array<struct<fp:bigint,pos:int>>")
@@ -60,35 +62,43 @@ def _fingerprints(hashes: Column, span: int, gram: int, short: list[int], item:
     return F.array_distinct(F.concat(*parts)) if len(parts) > 1 else parts[0]
 
 
+def _windows_at(hashes: Column, starts: Column, n: int) -> Column:
+    """(n, win, at): the hash of the ``n`` words from each of ``starts`` on, without those that reach beyond the text."""
+    inside = F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size(hashes)))
+    return F.transform(inside, lambda s: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get(hashes, s + j) for j in range(n)]).alias("win"), s.alias("at")))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    rows = cut(rows)
+    return F.broadcast(rows) if small_enough(rows, BROADCAST_FINGERPRINTS) else rows
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(_id, _mark, item, hits): each document and item that share a window, with the document's word numbers inside.
 
-    Fingerprints of documents and items meet in an equi-join; each meeting names a diagonal (document position less
-    item position). Diagonals are then compared word by word, and runs of ``span`` words or more (a short item: all of
-    it) are the hits. A document's diagonals are gathered with the document, nothing larger.
+    Fingerprints of documents and items meet in an equi-join. Each place where they meet is extended to the windows of
+    ``span`` words (a short item: all of it) around it, whose hashes meet those of the items' windows. Only documents
+    that meet an item are read again; their texts aren't shuffled unless they are very many. What a document gathers
+    are its own places, so repeated words cost what they count, once.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.xxhash64("item_id", "text").alias("item_key"), _hashes(F.col("text")).alias("item_words"))
-    items = items.where(F.size("item_words") > 0).withColumn("n_item", F.size("item_words")).dropDuplicates(["item_key"])
-    short = sorted(r[0] for r in items.where(F.col("n_item") < span).select("n_item").distinct().collect())
-    marks = items.select("item_key", "n_item", F.explode(let(F.col("item_words"), lambda h: _fingerprints(h, span, gram, short, True))).alias("f")).select("item_key", "n_item", F.col("f.fp").alias("fp"), F.col("f.pos").alias("item_pos"))
-    if small_enough(marks, BROADCAST_FINGERPRINTS):
-        marks = F.broadcast(marks)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _hashes(F.col("text")).alias("words"))
+    items = cut(items.where(F.size("words") > 0).distinct())
+    short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
+    lengths = [*short, span]
+    marks = _few(items.select(F.explode(let(F.col("words"), lambda h: _fingerprints(h, span, gram, short, True))).alias("f")).select("f.fp").distinct())
+    whole = lambda n: F.when((F.size("words") == n) if n < span else (F.size("words") >= n), _windows_at(F.col("words"), F.sequence(F.lit(0), F.size("words") - n), n)).otherwise(F.array().cast("array<struct<n:int,win:bigint,at:int>>"))
+    windows = _few(items.select("item", F.explode(F.concat(*[whole(n) for n in lengths])).alias("w")).select("item", "w.n", "w.win").distinct())
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"), "text")
-    seen = keyed.select("_id", "_mark", F.explode(let(_hashes(F.col("text")), lambda h: _fingerprints(h, span, gram, short, False))).alias("f")).select("_id", "_mark", F.col("f.fp").alias("fp"), F.col("f.pos").alias("pos"))
-    diagonals = seen.join(marks, "fp").select("_id", "_mark", F.struct("item_key", "n_item", (F.col("pos") - F.col("item_pos")).alias("shift")).alias("d"))
-    per_doc = diagonals.groupBy("_id", "_mark").agg(F.collect_set("d").alias("ds"))
-    met = keyed.join(per_doc.withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"}), (F.col("_mark") == F.col("_mark2")) & F.col("_id").eqNullSafe(F.col("_id2")))
-    # the stretch of the document beside the item, and how many item words stand before the document's start
-    beside = let(
-        _hashes(F.col("text")),
-        lambda h: F.transform("ds", lambda d: F.struct(d["item_key"].alias("item_key"), d["shift"].alias("shift"), F.greatest(-d["shift"], F.lit(0)).alias("lead"), F.slice(h, F.greatest(d["shift"], F.lit(0)) + 1, d["n_item"]).alias("part"))),
-    )
-    lines = met.select("_id", "_mark", F.explode(beside).alias("b")).select("_id", "_mark", "b.*").join(items, "item_key")
-    need = F.least(F.col("n_item"), F.lit(span))
-    equal = F.transform("item_words", lambda w, i: F.coalesce((i >= F.col("lead")) & (F.get("part", F.greatest(i - F.col("lead"), F.lit(0))) == w), F.lit(False)))
-    starts = let(equal, lambda e: F.filter(F.sequence(F.lit(0), F.col("n_item") - need), lambda j: ~F.array_contains(F.slice(e, j + 1, need), False)))
-    spans = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + need - 1))))
-    return lines.select("_id", "_mark", "item", spans.alias("hits")).where(F.size("hits") > 0)
+    # explode_outer: before an explode Spark would filter by the whole expression, so evaluate it again
+    seen = keyed.select("_id", "_mark", F.explode_outer(let(_hashes(F.col("text")), lambda h: _fingerprints(h, span, gram, short, False))).alias("f")).select("_id", "_mark", "f.fp", "f.pos")
+    places = cut(seen.join(marks, "fp").groupBy("_id", "_mark").agg(F.collect_set("pos").alias("places")))
+    met = keyed.join(broadcast_ids(places.withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"})), (F.col("_mark") == F.col("_mark2")) & F.col("_id").eqNullSafe(F.col("_id2"))).dropDuplicates(["_id", "_mark"])
+    # a window holds the place's k-gram; a short item begins at its place
+    around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - (span - gram), p))))
+    mine = let(_hashes(F.col("text")), lambda h: F.concat(_windows_at(h, around, span), *[_windows_at(h, F.col("places"), n) for n in short]))
+    found = met.select("_id", "_mark", F.explode_outer(mine).alias("w")).select("_id", "_mark", "w.*").join(windows, ["n", "win"])
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
+    return found.groupBy("_id", "_mark", "item").agg(covered.alias("hits"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -96,9 +106,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters from U+0080. Null text has no words. An
     empty benchmark or one of null texts hits nothing. Benchmark rows that repeat an id count as one item; a null id
-    counts as the empty text. Rows of ``docs`` that repeat are judged alike.
+    counts as the empty text. Rows of ``docs`` that repeat are judged alike. Very long and repetitive texts count whole,
+    in time that grows with their words. Grams of equal hash are all fingerprints. An empty table gives no rows.
     """
-    found = find_hits(docs, benchmark, span, gram).groupBy("_id", "_mark").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    found = broadcast_ids(cut(find_hits(docs, benchmark, span, gram).groupBy("_id", "_mark").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))))
     counts = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = counts.join(found, (F.col("_key") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select(
@@ -113,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``; columns unchanged, whatever their names."""
-    found = find_hits(docs, benchmark, span, gram).select("_id", "_mark").distinct()
+    found = broadcast_ids(cut(find_hits(docs, benchmark, span, gram).select("_id", "_mark").distinct()))
     return docs.join(found, (F.xxhash64(docs.text) == found["_mark"]) & docs.doc_id.eqNullSafe(found["_id"]), "left_anti")
 
 

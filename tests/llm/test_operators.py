@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -229,6 +230,31 @@ def test_decontamination(spark, docs, rows):
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """Thousands of equal words on both sides, ties everywhere, null and repeated items: as by plain windows, and fast."""
+    docs = [(1, "la " * 3000), (2, "la " * 9 + "end"), (3, "x " * 500 + "la " * 10), (4, None), (4, None), (None, "a b c d"), (5, "one two three four five six seven eight nine ten " * 300), (6, "a b c d e")]
+    bench = [(7, "la " * 1000), (7, "la " * 1000), (8, None), (None, "b c"), (9, "three four five six seven eight nine ten one two three"), (10, "c d e"), (11, "")]
+    table, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.contamination(table, items).collect()}
+    took = time.time() - began
+
+    def expect(text):
+        w, hit, found = (text or "").split(), set(), set()
+        for item, t in bench:
+            v = (t or "").split()
+            n = min(10, len(v))
+            grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in grams:
+                    hit |= set(range(i, i + n))
+                    found.add(item)
+        return len(w), len(hit), len(found)
+
+    assert got == {(k, *expect(t)) for k, t in docs}
+    assert took < 60
+
+
 def test_lm_score(docs, rows):
     tokens = lambda t: [*re.findall(SPACE, lower(t)), None]
     single, pair, context = Counter(), Counter(), Counter()
