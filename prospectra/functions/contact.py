@@ -15,6 +15,8 @@ FILE_SUFFIXES = r"\.(png|jpg|jpeg|gif|webp|svg|js|css|pdf)$"
 CONTACT_WORDS = "contact|about|reach|enquiry|touch|location"
 BLOCK_WORDS = "recaptcha|unusual traffic|consent\\.google\\.com"
 CLOSED_WORDS = "(permanently|temporarily) closed"
+HELD_STATUS = "clienthold|serverhold|inactive"
+PARKED_WORDS = "parked|for sale"
 RENDER_STATUS = (403, 401, 406, 429)
 RENDER_MARKS = 'id="root"|wix|nuxt'
 
@@ -180,11 +182,23 @@ def fallback_tier(phone_type: Column, emails: Column) -> Column:
 
 
 def domain_state(payload: Column, now: Column) -> Column:
-    """State of a domain from a stored registry answer: suspended, expired, exists, or unknown without one."""
+    """State of a domain from a stored registry answer (JSON): suspended, expired, exists, or unknown without a readable one."""
     parsed = F.from_json(payload, "status array<string>, events array<struct<eventAction:string,eventDate:string>>")
-    ended = F.exists(F.coalesce(parsed["events"], F.array().cast("array<struct<eventAction:string,eventDate:string>>")), lambda e: F.lower(e["eventAction"]).contains("expir") & (e["eventDate"].try_cast("timestamp") < now))
-    held = F.exists(F.coalesce(parsed["status"], F.array().cast("array<string>")), lambda s: F.lower(s).rlike("hold|inactive"))
-    return F.when(filled(payload).isNull(), "unknown").when(F.coalesce(held, F.lit(False)), "suspended").when(F.coalesce(ended, F.lit(False)), "expired").otherwise("exists")
+    ended = F.exists(F.coalesce(parsed["events"], F.array().cast("array<struct<eventAction:string,eventDate:string>>")), lambda e: (e["eventAction"] == "expiration") & (e["eventDate"].try_cast("timestamp") < now))
+    held = F.exists(F.coalesce(parsed["status"], F.array().cast("array<string>")), lambda s: F.lower(s).rlike(HELD_STATUS))
+    return F.when(F.try_parse_json(payload).isNull(), "unknown").when(F.coalesce(held, F.lit(False)), "suspended").when(F.coalesce(ended, F.lit(False)), "expired").otherwise("exists")
+
+
+def whois_state(expires: Column, text: Column, now: Column) -> Column:
+    """State of a domain from a stored WHOIS answer: by its end, else parked where its text says so; else unknown."""
+    at = expires.try_cast("timestamp")
+    told = F.coalesce(F.lower(text).rlike(PARKED_WORDS), F.lit(False))
+    return F.when(filled(expires).isNotNull(), F.when(at.isNull(), "unknown").when(at < now, "expired").otherwise("exists")).when(told, "parked").otherwise("unknown")
+
+
+def known_domain_state(registry: Column, expires: Column, text: Column, now: Column) -> Column:
+    """The registry's state, or where that is unknown the one WHOIS tells."""
+    return F.coalesce(F.nullif(domain_state(registry, now), F.lit("unknown")), whois_state(expires, text, now))
 
 
 def ssl_state(not_after: Column, now: Column) -> Column:

@@ -30,7 +30,7 @@ def parse(text: Column) -> Column:
     """``{a,"b,c"}``, ``['a', 'b']``, ``["a"]``, ``a, b`` or one id, to an array; quoted elements may hold commas."""
     t = strip(F.coalesce(text, F.lit("")))
     inner = F.regexp_replace(t, r"(?s)^[\{\[](.*)[\}\]]$", "$1")
-    raw = F.regexp_extract_all(inner, F.lit(r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,]+"""), F.lit(0))
+    raw = F.regexp_extract_all(inner, F.lit(r"""(?s)\s*"(?:[^"\\]|\\.)*"|\s*'(?:[^'\\]|\\.)*'|[^,]+"""), F.lit(0))
     bare = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"""(?s)^(["'])(.*)\1$""", "$2"), r"\\(.)", "$1"))
     return clean(F.when(t.rlike(r"^[\{\[]"), bare).otherwise(F.array(t)))
 

@@ -56,7 +56,7 @@ def per_lead(findings: DataFrame, most_pages: int = 3) -> DataFrame:
     """Findings of a lead's pages together: page 0 is the home page, then at most two contact pages.
 
     Pages after the first that, with those before it, gives an email and a mobile number add nothing. Of the socials
-    the first that isn't empty stays. At most ``most_pages`` rows meet in a group.
+    the first that isn't empty stays; of the facts the last page's that tells one. At most ``most_pages`` rows meet in a group.
     """
     pages = F.array_sort(F.collect_list(F.struct("page_no", "emails", "mobiles", "landlines", *NETWORKS, "mobile_friendly", "raw_extracted")))
     grouped = findings.where(F.col("page_no") < most_pages).groupBy("id").agg(pages.alias("p"))
@@ -64,8 +64,9 @@ def per_lead(findings: DataFrame, most_pages: int = 3) -> DataFrame:
     used = F.filter(F.col("p"), lambda x, i: (i == 0) | ~enough(i))
     all_of = lambda name: F.array_sort(F.array_distinct(F.flatten(F.transform("u", lambda x: x[name]))))
     first = lambda name: F.coalesce(F.get(F.filter(F.transform("u", lambda x: x[name]), lambda v: v != ""), 0), F.lit(""))
+    last = lambda name: F.try_element_at(F.array_compact(F.transform("u", lambda x: x["raw_extracted"][name])), F.lit(-1))
     rows = grouped.select("id", used.alias("u"))
-    return rows.select("id", *[all_of(n).alias(n) for n in ("emails", "mobiles", "landlines")], *[first(n).alias(n) for n in NETWORKS], F.get("u", 0)["mobile_friendly"].alias("mobile_friendly"), F.get("u", 0)["raw_extracted"].alias("raw_extracted"))
+    return rows.select("id", *[all_of(n).alias(n) for n in ("emails", "mobiles", "landlines")], *[first(n).alias(n) for n in NETWORKS], F.get("u", 0)["mobile_friendly"].alias("mobile_friendly"), F.struct(*[last(n).alias(n) for n in ("title", "meta_description", "has_reviews")]).alias("raw_extracted"))
 
 
 def drop_dead_mail(emails: DataFrame, mx: DataFrame) -> DataFrame:

@@ -99,11 +99,11 @@ def merge_by_phone(master: DataFrame, staging: DataFrame) -> DataFrame:
     return updated.unionByName(staging.where(some).join(known, "phone", "left_anti").select(*master.columns)).unionByName(staging.where(~some).select(*master.columns))
 
 
-def upsert_raw_leads(leads: DataFrame, parsed: DataFrame, now: Column, keep_enriching: bool = True) -> DataFrame:
+def upsert_raw_leads(leads: DataFrame, parsed: DataFrame, now: Column | None = None, keep_enriching: bool = True) -> DataFrame:
     """Parsed rows into leads by id. A known lead keeps what it has but for order ids, keyword, location and status.
 
     The status stays ENRICHED, else becomes RAW; ENRICHING stays too unless ``keep_enriching`` is off, as an enrichment
-    under way would be lost. Several parsed rows of one id: the first seen counts, with all their order ids.
+    under way would be lost. Without ``now`` the parsed row's own date is the time of the update. Several parsed rows of one id: the first seen counts, with all their order ids.
     """
     rest = [c for c in parsed.columns if c not in ("id", "order_ids")]
     new = parsed.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("scraped_date", *[F.col(c).cast("string") for c in ("url", "name") if c in rest])).alias("n"), union_all(F.col("order_ids")).alias("n_orders")).select(F.col("id").alias("n_id"), "n", "n_orders")
@@ -127,7 +127,7 @@ def upsert_raw_leads(leads: DataFrame, parsed: DataFrame, now: Column, keep_enri
         if c == "first_seen_date":
             return F.when(is_new, F.col("n.scraped_date")).otherwise(old)
         if c == "last_updated_date":
-            return F.when(is_new, F.col("n.scraped_date")).when(is_old, old).otherwise(now)
+            return F.when(is_new, F.col("n.scraped_date")).when(is_old, old).otherwise(F.col("n.scraped_date") if now is None else now)
         return F.when(is_new, fresh).otherwise(old)
 
     return both.select(*[rule(c).alias(c) for c in leads.columns])

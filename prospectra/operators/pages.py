@@ -48,7 +48,7 @@ def pending_pages(tasks: DataFrame, pages: DataFrame, progress: DataFrame) -> tu
 
 def fresh_checks(cache: DataFrame, now: Column, max_days: int = MAX_AGE_DAYS) -> DataFrame:
     """The last write per (domain, check_type), while younger than ``max_days``."""
-    last = cache.groupBy("domain", "check_type").agg(F.max_by("payload", "updated_at").alias("payload"), F.max("updated_at").alias("updated_at"))
+    last = cache.groupBy("domain", "check_type").agg(F.max_by("payload", F.struct("updated_at", "payload")).alias("payload"), F.max("updated_at").alias("updated_at"))
     return last.where(now.cast("double") - F.col("updated_at").cast("double") <= max_days * 86400)
 
 

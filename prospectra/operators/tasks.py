@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, short_error
+from ..functions.text import short_error
 from .orders import chunk_of
 
 EXHAUSTED = "maximum attempts exceeded"
@@ -61,15 +61,26 @@ def submit_tasks(tasks: DataFrame, submissions: DataFrame, now: Column) -> tuple
 
 
 def fail_tasks(tasks: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
-    """Failures (task_id, worker_id, reason, retryable) of their own workers: back to PENDING while attempts are left."""
+    """Failures (task_id, worker_id, reason, retryable) of their own workers: back to PENDING while attempts are left, without a worker."""
     f = failures.groupBy("task_id", "worker_id").agg(F.min(F.struct("retryable", "reason")).alias("f")).select(F.col("task_id").alias("_task"), F.col("worker_id").alias("_worker"), "f.*")
     both = tasks.join(f, (tasks.task_id == F.col("_task")) & (tasks.worker_id == F.col("_worker")), "left")
     hit = F.col("_task").isNotNull() & (F.col("status") == "PROCESSING")
     again = F.col("retryable") & (F.col("attempt_count") < F.col("max_attempts"))
-    changes = {"last_error": short_error(F.col("reason")), "updated_at": now, "lease_until": F.lit(None).cast("timestamp"), "worker_id": F.when(~again, F.col("worker_id")), "status": F.when(again, "PENDING").otherwise("FAILED")}
+    changes = {"last_error": short_error(F.col("reason")), "updated_at": now, "lease_until": F.lit(None).cast("timestamp"), "worker_id": F.lit(None).cast("string"), "status": F.when(again, "PENDING").otherwise("FAILED")}
     return both.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("_task", "_worker", "retryable", "reason")
 
 
+def fail_answers(tasks: DataFrame, failures: DataFrame) -> DataFrame:
+    """(task_id, worker_id, answer) for failures, judged on the tasks before them: PENDING or FAILED, the state of a task
+    that has ended already, not_found, or conflict where the worker doesn't hold the task."""
+    f = failures.groupBy("task_id", "worker_id").agg(F.min("retryable").alias("_retryable")).select(F.col("task_id").alias("_task"), F.col("worker_id").alias("_worker"), "_retryable")
+    judged = f.join(tasks.select("task_id", "status", "worker_id", "attempt_count", "max_attempts"), F.col("_task") == F.col("task_id"), "left")
+    held = (F.col("status") == "PROCESSING") & F.col("worker_id").eqNullSafe(F.col("_worker"))
+    after = F.when(F.col("_retryable") & (F.col("attempt_count") < F.col("max_attempts")), "PENDING").otherwise("FAILED")
+    answer = F.when(F.col("task_id").isNull(), "not_found").when(held, after).when(F.col("status").isin("COMPLETED", "FAILED"), F.col("status")).otherwise("conflict")
+    return judged.select(F.col("_task").alias("task_id"), F.col("_worker").alias("worker_id"), answer.alias("answer"))
+
+
 def can_parse(now: Column) -> Column:
     waiting = (F.col("parse_status") == "PENDING") | ((F.col("parse_status") == "PROCESSING") & (F.col("parse_lease_until") < now))
     return (F.col("status") == "COMPLETED") & waiting
@@ -151,7 +162,3 @@ def contract_errors(columns: list[str]) -> Column:
 def batch_errors(batches: DataFrame, least: int = 1, most: int = 1000) -> DataFrame:
     """Requests (request_id, one row a task, task_key null for none) outside of 1 to 1000 tasks."""
     return batches.groupBy("request_id").agg(F.count("task_key").alias("n")).where(~F.col("n").between(least, most))
-
-
-def has_worker(worker: Column) -> Column:
-    return filled(worker).isNotNull()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, order_ids, text
 from ..operators import export, leads, merge, orders, pages, tasks, validate
+from ..schemas import TASK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,11 +130,11 @@ def grid_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.grid_tasks(_orders(spark, sf_dir)).select("task_key", "target_url", "search_keyword", "search_location")
 
 
-@register("""SELECT o_orderpriority AS name, o_orderkey, greatest(1, least(10, left(o_orderpriority, 1)::INT)) AS priority FROM orders ORDER BY priority DESC, name, o_orderkey LIMIT 20""")
+@register("""SELECT 'o' || o_orderkey || '_' || left(o_orderpriority, 1) || '.json' AS name, greatest(1, least(10, left(o_orderpriority, 1)::INT)) AS priority FROM orders ORDER BY priority DESC, name LIMIT 1""")
 def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order files named after their priority: the next ones to run."""
-    named = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), "o_orderkey", text.priority_from_name(F.concat(F.lit("order_"), F.substring("o_orderpriority", 1, 1), F.lit(".json"))).alias("priority"))
-    return named.orderBy(F.desc("priority"), "name", "o_orderkey").limit(20)
+    """Order files whose names end in their priority: the next one to run."""
+    name = F.concat(F.lit("o"), "o_orderkey", F.lit("_"), F.substring("o_orderpriority", 1, 1), F.lit(".json"))
+    return orders.pick_order(table(spark, sf_dir, "orders").select(name.alias("name")).withColumn("priority", text.priority_from_name(F.col("name"))))
 
 
 # --- urls and pages ---------------------------------------------------------------------------------------------------
@@ -165,13 +166,20 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(page_struct("html")["links"]).alias("n_links"))
 
 
-@register()
+@register(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages),
+c AS (SELECT page_id, least(2, count(DISTINCT href))::INT AS n FROM l WHERE (regexp_matches(lower(href), 'contact|about|reach|enquiry|touch|location') OR regexp_matches(lower(t), 'contact|about|reach|enquiry|touch|location')) AND NOT regexp_matches(lower(href), '%20|contact-form-7') GROUP BY 1),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|style)>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS t, html FROM pages)
+SELECT b.page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, regexp_matches(lower(t), '\breviews?\b') AS has_reviews,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}'), lambda x: lower(x)))), ', '), '') AS emails, coalesce(n, 0)::INT AS n_contact_links
+FROM b LEFT JOIN c ON b.page_id = c.page_id""".replace("\\\\", "\\")
+)
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, emails, phones and contact links of every page (HTML trees aren't in SQL's reach)."""
+    """Title, emails and contact links of every page."""
     from ..operators.enrich import page_findings
 
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit(0).alias("page_no"), F.col("url").alias("base_url"), "html")
-    return page_findings(p).select(F.col("id").alias("page_id"), "raw_extracted.title", "raw_extracted.has_reviews", F.array_join("emails", ", ").alias("emails"), F.array_join("mobiles", ", ").alias("mobiles"), F.size("contact_links").alias("n_contact_links"))
+    return page_findings(p).select(F.col("id").alias("page_id"), F.trim(F.regexp_replace("raw_extracted.title", r"\s+", " ")).alias("title"), "raw_extracted.has_reviews", F.array_join("emails", ", ").alias("emails"), F.size("contact_links").alias("n_contact_links"))
 
 
 _HEADERS = f"""h AS (SELECT page_id, 'k' || page_id AS key, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '{{broken' ELSE '{{"scraped_date": "' || strftime(({_NOW_SQL} - to_days((page_id % 120)::INT)), '%Y-%m-%d %H:%M:%S') || '"}}' END AS header FROM pages WHERE page_id % 7 <> 0)"""
@@ -257,10 +265,12 @@ def order_ids_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("l_partkey", F.array_join("ids", ",").alias("order_ids"))
 
 
-@register("SELECT o_custkey, min(l_linenumber)::INT AS minimum_reviews, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
+@register("SELECT o_custkey::VARCHAR AS task_key, min(l_linenumber)::INT AS minimum_reviews, count(DISTINCT l_orderkey)::INT AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def min_reviews_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("o_custkey").agg(F.min("l_linenumber").alias("minimum_reviews"), F.count("*").alias("n"))
+    text_ = lambda c: F.lit(c)
+    incoming = joined.select(F.col("o_custkey").cast("string").alias("task_key"), *[text_("x").alias(c) for c in ("target_url", "task_type", "search_keyword", "search_location", "query_type")], F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").cast("int").alias("minimum_reviews"), F.col("l_orderkey").alias("position"))
+    return merge.enqueue_tasks(spark.createDataFrame([], TASK), incoming, _now())[0].select("task_key", "minimum_reviews", F.size("order_ids").alias("n_orders"))
 
 
 # --- merges -----------------------------------------------------------------------------------------------------------
@@ -330,10 +340,9 @@ SELECT c_custkey, payload FROM customer LEFT JOIN (SELECT * FROM l WHERE event_t
 )
 def kv_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored checks, the latest per user and kind, looked up while fresh."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("event_type").alias("check_type"), F.col("event_id").alias("payload"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("w"))
-    last = e.groupBy("domain", "check_type").agg(F.max_by("payload", "w").alias("payload"), F.max("w.ts").alias("updated_at"))
+    stored = table(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("event_type").alias("check_type"), F.col("event_id").alias("payload"), F.col("ts").cast("timestamp").alias("updated_at"))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("domain"))
-    return pages.lookup_check(rows, pages.fresh_checks(last, _now(), 32), "click", "payload").select(F.col("domain").alias("c_custkey"), "payload")
+    return pages.lookup_check(rows, pages.fresh_checks(stored, _now(), 32), "click", "payload").select(F.col("domain").alias("c_custkey"), "payload")
 
 
 # --- tasks ------------------------------------------------------------------------------------------------------------
@@ -364,13 +373,13 @@ def task_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {_TASKS_SQL} SELECT task_id, CASE WHEN status = 'PROCESSING' AND task_id::BIGINT % 2 = 0 THEN CASE WHEN task_id::BIGINT % 3 <> 0 AND attempt_count < max_attempts THEN 'PENDING' ELSE 'FAILED' END ELSE status END AS status,
-CASE WHEN status = 'PROCESSING' AND task_id::BIGINT % 2 = 0 THEN 'timeout' END AS last_error FROM t"""
+CASE WHEN status = 'PROCESSING' AND task_id::BIGINT % 2 = 0 THEN 'timeout' END AS last_error, CASE WHEN status = 'PROCESSING' AND task_id::BIGINT % 2 = 0 THEN NULL ELSE 'w' END AS worker_id FROM t"""
 )
 def task_fail_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tasks(spark, sf_dir)
     n = F.col("task_id").cast("long")
     failures = t.where(n % 2 == 0).select("task_id", F.lit("w").alias("worker_id"), F.lit("timeout").alias("reason"), (n % 3 != 0).alias("retryable"))
-    return tasks.fail_tasks(t, failures, _now()).select("task_id", "status", "last_error")
+    return tasks.fail_tasks(t, failures, _now()).select("task_id", "status", "last_error", "worker_id")
 
 
 @register(f"""WITH {_TASKS_SQL} SELECT count_if(attempt_count < max_attempts AND (status = 'PENDING' OR (status = 'PROCESSING' AND lease_until < {_NOW_SQL})))::BIGINT AS can_claim, count_if(status = 'PROCESSING' AND lease_until < {_NOW_SQL} AND attempt_count >= max_attempts)::BIGINT AS expired, count_if(status = 'PROCESSING')::BIGINT AS orphans FROM t""")
@@ -443,9 +452,9 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join(validate.errors(), ",").alias("errors"))
 
 
-@register("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+@register("SELECT user_id, 1::BIGINT AS n FROM events GROUP BY user_id")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event per user, by a stream that runs through what is there and ends."""
+    """Users by their first event, by a stream that runs through four batches in order of time and ends."""
     import uuid
 
     from ..streaming.jobs import dedup_stream
@@ -453,8 +462,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source = table(spark, sf_dir, "events")
     folder, name = scratch_dir(spark), f"s{uuid.uuid4().hex}"
-    source.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{folder}/in")
-    rows = spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp").parquet(f"{folder}/in")
-    query = dedup_stream(rows, ["user_id", "event_id"], "ts", "60 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    source.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = dedup_stream(rows, ["user_id"], "ts", "60 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return merge.first_seen(spark.read.schema("event_id bigint, user_id bigint, ts timestamp").parquet(f"{folder}/out").select("user_id", "event_id"), ["user_id"], ["event_id"])
+    return spark.read.schema("event_id bigint, user_id bigint, ts timestamp").parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("n"))

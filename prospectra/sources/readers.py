@@ -46,6 +46,16 @@ def after_position(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(last, "ticket", "left").where(F.col("position") > F.coalesce("_last", F.lit(-1))).drop("_last")
 
 
+def parse_header(json: Column) -> Column:
+    """Struct of a page's header text: a single order id is a list of one, numbers may be quoted; not a JSON object: null."""
+    v = F.try_parse_json(json)
+    text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
+    one = F.nullif(text("order_ids"), F.lit(""))
+    ids = F.coalesce(F.try_variant_get(v, "$.order_ids", "array<string>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    fields = {"order_ids": ids, "minimum_reviews": text("minimum_reviews").try_cast("int")}
+    return F.when(F.startswith(F.trim(json), F.lit("{")) & v.isNotNull(), F.struct(*[fields.get(f.name, text(f.name)).alias(f.name) for f in PAGE_HEADER]))
+
+
 def split_page(value: Column, lenient: bool = False) -> tuple[Column, Column]:
     """(header struct, body) of a stored page. The header is a JSON comment on the first line.
 
@@ -53,7 +63,7 @@ def split_page(value: Column, lenient: bool = False) -> tuple[Column, Column]:
     """
     first, has_more = F.substring_index(value, "\n", 1), F.instr(value, "\n") > 0
     line = strip(first)
-    header = F.when(line.startswith("<!--") & line.endswith("-->"), F.from_json(F.regexp_extract(line, r"(?s)^<!--(.*)-->$", 1), PAGE_HEADER))
+    header = F.when(line.startswith("<!--") & line.endswith("-->"), parse_header(F.regexp_extract(line, r"(?s)^<!--(.*)-->$", 1)))
     rest = F.when(has_more, F.substring(value, F.length(first) + 2, F.length(value))).otherwise("")
     return header, F.when(~value.startswith("<!--"), value).otherwise(rest) if lenient else rest
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order_ids import literal
-from ..functions.text import one_line
+from ..functions.text import iso_text, one_line, safe_filename
 from ..schemas import LEAD_COLUMNS
 
 
@@ -54,6 +57,68 @@ def load_verified(df: DataFrame, path: str) -> int:
     return stored
 
 
+def page_text(header: Column, body: Column) -> Column:
+    """A stored page: its header (a struct or JSON text) as a comment on the first line, then the body."""
+    return F.concat(F.lit("<!--"), header, F.lit("-->\n"), F.coalesce(body, F.lit("")))
+
+
+def with_order_id(value: Column, order_id: Column) -> Column:
+    """A stored page whose header lists ``order_id`` too, other keys kept; a page without a readable header: null."""
+    first = F.substring_index(value, "\n", 1)
+    line = F.trim(F.rtrim(first), F.lit(" \t\r"))
+    text = F.when(line.startswith("<!--") & line.endswith("-->"), F.substring(line, 5, F.length(line) - 7))
+    v = F.try_parse_json(text)
+    one = F.nullif(F.try_variant_get(v, "$.order_ids", "string"), F.lit(""))
+    none = F.array().cast("array<string>")
+    ids = F.coalesce(F.try_variant_get(v, "$.order_ids", "array<string>"), F.when(one.isNotNull(), F.array(one)), none)
+    all_ids = F.when(F.array_contains(ids, order_id), ids).otherwise(F.concat(ids, F.array(order_id)))
+    # the other members as they are, each as its own JSON
+    rest = F.filter(F.map_entries(F.from_json(F.to_json(v), "map<string,variant>")), lambda e: e["key"] != "order_ids")
+    members = F.transform(rest, lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit("\1"), F.to_json(e["value"])))
+    plain = F.transform(members, lambda m: F.concat(F.regexp_replace(F.split_part(m, F.lit("\1"), F.lit(1)), r'^\{"k":(.*)\}$', "$1"), F.lit(":"), F.split_part(m, F.lit("\1"), F.lit(2))))
+    header = F.concat(F.lit("{"), F.array_join(F.concat(plain, F.array(F.concat(F.lit('"order_ids":'), F.to_json(all_ids)))), ","), F.lit("}"))
+    body = F.when(F.instr(value, "\n") > 0, F.substring(value, F.length(first) + 2, F.length(value))).otherwise("")
+    return F.when(text.isNotNull() & v.isNotNull(), page_text(header, body))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Stored pages (key, value) as a table, replaced whole by the commit of the job."""
+    pages.select("key", "value").write.mode("overwrite").parquet(path)
+
+
+def gzip_verdict(uploads: DataFrame, max_uncompressed: int = 1 << 30) -> DataFrame:
+    """(upload_id, refused, uncompressed) of uploads (upload_id, content): every member is unpacked piece by piece.
+
+    refused: null, not_gzip for bytes that aren't whole and sound gzip data, or too_large_uncompressed.
+    """
+
+    def judge(data: bytes) -> tuple[str | None, int]:
+        size, rest = 0, data
+        while True:
+            unpack = zlib.decompressobj(wbits=31)
+            try:
+                while rest and not unpack.eof:
+                    size += len(unpack.decompress(rest, 1 << 20))
+                    rest = unpack.unconsumed_tail or unpack.unused_data
+                    if size > max_uncompressed:
+                        return "too_large_uncompressed", size
+            except zlib.error:
+                return "not_gzip", size
+            if not unpack.eof:
+                return "not_gzip", size
+            rest = rest.lstrip(b"\0")
+            if not rest:
+                return None, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge(x.as_py() or b"") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["upload_id", "refused", "uncompressed"])
+
+    kind = uploads.schema["upload_id"].dataType.simpleString()
+    return uploads.select("upload_id", "content").mapInArrow(run, f"upload_id {kind}, refused string, uncompressed bigint")
+
+
 def upload_verdict(compressed: Column, uncompressed: Column, head: Column, max_bytes: int = 256 << 20, max_uncompressed: int = 1 << 30) -> Column:
     """Why an upload is refused, or null: not gzip, too large packed, too large unpacked. ``head``: its first bytes."""
     return F.when(F.hex(F.substring(head, 1, 2)) != "1F8B", "not_gzip").when(compressed > max_bytes, "too_large").when(uncompressed > max_uncompressed, "too_large_uncompressed")
@@ -64,11 +129,31 @@ def latest_uploads(uploads: DataFrame) -> DataFrame:
     return uploads.where("refused IS NULL").groupBy("task_id").agg(F.max_by(F.struct(*[c for c in uploads.columns if c != "task_id"]), F.struct("received_at", "upload_id")).alias("u")).select("task_id", "u.*")
 
 
-def write_export(ranked: DataFrame, path: str) -> None:
-    """One folder per keyword and location, and a consolidated table with a category column."""
+def write_export(ranked: DataFrame, path: str, order_id: str, client_name: str) -> str:
+    """Delivery of an order under ``<order>_<client>``: a folder per keyword and in it one per location, and a consolidated
+    table with a category column. Names are made safe for files. Returns the folder."""
+    safe = lambda name: "".join(c for c in name if c.isalpha() or c.isnumeric() or c in " _-").strip()
+    folder = f"{path.rstrip('/')}/{safe(order_id)}_{safe(client_name)}"
     public = ranked.drop("data_status", "tier")
-    public.withColumns({"_keyword": F.col("search_keyword"), "_location": F.col("search_location")}).write.mode("overwrite").partitionBy("_keyword", "_location").csv(f"{path}/by_search", header=True)
-    public.withColumn("category", F.concat("search_keyword", F.lit(" in "), "search_location")).write.mode("overwrite").csv(f"{path}/master", header=True)
+    by_search = public.withColumns({"keyword": safe_filename(F.col("search_keyword")), "location": safe_filename(F.col("search_location"))}).drop("search_keyword", "search_location")
+    csv_ready(by_search).write.mode("overwrite").partitionBy("keyword", "location").csv(f"{folder}/by_search", header=True, escape='"')
+    csv_ready(public.withColumn("category", F.concat("search_keyword", F.lit(" in "), "search_location"))).write.mode("overwrite").csv(f"{folder}/master", header=True, escape='"')
+    return folder
+
+
+#: Names that columns have in the older row form.
+OLD_NAMES = {
+    "search_keyword": "Search_Keyword", "search_location": "Search_Location", "phone_type": "Phone_Type", "scraped_date": "Scraped_Date", "emails": "Emails",
+    "alternative_phones": "Alternative_Phones", "linkedin": "LinkedIn", "facebook": "Facebook", "twitter": "Twitter", "instagram": "Instagram",
+    "data_status": "Data_Status", "found_web_mobile": "Found_Web_Mobile",
+}
+
+
+def old_rows(leads: DataFrame) -> DataFrame:
+    """Leads in the older row form: 26 columns under their old names, times as text, no nulls in ids and numbers."""
+    given = {c: iso_text(F.col(c)) for c in ("scraped_date", "first_seen_date", "last_updated_date")}
+    given |= {"order_ids": F.coalesce("order_ids", F.array().cast("array<string>")), "rating": F.coalesce("rating", F.lit(0.0)), "reviews": F.coalesce("reviews", F.lit(0))}
+    return leads.select(*[given.get(c, F.col(c)).alias(OLD_NAMES.get(c, c)) for c in LEAD_COLUMNS[:26]])
 
 
 def run_summary(rows: DataFrame) -> DataFrame:

@@ -21,16 +21,18 @@ def dedup_stream(rows: DataFrame, keys: list[str], at: str, delay: str = "7 days
 def merge_stream(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Parsed pages into a versioned table of leads: each batch reads the snapshot before it and writes its own.
 
-    A batch that runs again writes the same snapshot again, so every batch takes effect once.
+    A batch that runs again writes the same snapshot again, as all its times are the rows' own, so every batch takes
+    effect once. The two snapshots before the newest stay for readers; older ones are removed.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         parsed = dedup_leads(parse_pages(batch))
         before = latest_snapshot(spark, store, number)
-        now = F.current_timestamp()
-        out = parsed.withColumns({"data_status": F.lit("RAW"), "first_seen_date": F.col("scraped_date"), "last_updated_date": F.col("scraped_date")}) if before is None else upsert_raw_leads(before, parsed, now)
+        out = parsed.withColumns({"data_status": F.lit("RAW"), "first_seen_date": F.col("scraped_date"), "last_updated_date": F.col("scraped_date")}) if before is None else upsert_raw_leads(before, parsed)
         out.write.mode("overwrite").parquet(f"{store}/v={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number - 3}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

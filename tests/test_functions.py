@@ -78,5 +78,7 @@ def test_scores(spark):
     score = contact.quality_score(F.lit(200), F.lit(True), F.lit("valid"), F.lit(True), F.lit(True))
     assert spark.range(1).select(score.alias("x")).first()["x"] == 90
     now = F.lit("2024-03-01").cast("timestamp")
-    assert one(spark, contact.domain_state(F.col("p"), now), p='{"status": ["client hold"]}') == "suspended"
+    assert one(spark, contact.domain_state(F.col("p"), now), p='{"status": ["clientHold"]}') == "suspended"
+    assert one(spark, contact.domain_state(F.col("p"), now), p='{"status": ["on hold"], "events": [{"eventAction": "registrar expiration", "eventDate": "2020-01-01T00:00:00Z"}]}') == "exists"
+    assert one(spark, contact.whois_state(F.lit(""), F.col("p"), now), p="Domain for sale") == "parked"
     assert one(spark, contact.ssl_state(F.col("p"), now), p="2024-01-01") == "expired"

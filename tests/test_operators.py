@@ -1,17 +1,21 @@
 from __future__ import annotations
 
+import gzip
+import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from prospectra.operators import enrich, export, leads, merge, orders, pages, tasks, validate
 from prospectra.schemas import LEAD, LEAD_COLUMNS, TASK
 from prospectra.sources import readers, sinks
+from prospectra.streaming import jobs
 
 NOW = datetime(2024, 3, 1)
 CARD = (
-    '<div class="Nv2PK"><a class="hfpxzc" href="https://m/1" aria-label="Example Business"></a><a data-value="Website" href="/url?q=https://example.com&x=1">w</a>'
-    '<span class="MW4etd">4.5</span><span class="UY7F9">(12)</span><div class="W4Efsd"><span>Restaurant · Indian</span></div><span class="UsdlK">098765 43210</span></div>'
+    '<div class="Nv2PK"><a class="hfpxzc" href="https://m/1" aria-label="Corner Bakery & Co"></a><a data-value="Website" href="/url?q=https://corner.test&x=1">w</a>'
+    '<span class="MW4etd">4.5</span><span class="UY7F9">(12)</span><div class="W4Efsd"><span>Bakery · Street</span></div><span class="UsdlK">098765 43210</span></div>'
 )
 
 
@@ -20,19 +24,19 @@ def now():
 
 
 def page(spark, html, least=0):
-    head = '{"Search_Keyword": "coffee", "Search_Location": "Pune", "order_ids": ["o1"], "scraped_date": "2024-02-01 00:00:00", "minimum_reviews": %d}' % least
+    head = '{"Search_Keyword": "bread", "Search_Location": "Pune", "order_ids": ["o1"], "scraped_date": "2024-02-01 00:00:00", "minimum_reviews": %d}' % least
     return spark.createDataFrame([(f"<!--{head}-->\n{html}",)], "value string").select(readers.split_page(F.col("value"))[0].alias("header"), readers.split_page(F.col("value"))[1].alias("html"))
 
 
 def test_card_to_lead(spark):
     row = leads.parse_pages(page(spark, CARD)).first()
-    assert (row["name"], row["website"], row["reviews"], row["rating"], row["phone"], row["phone_type"], row["category"]) == ("Example Business", "https://example.com", 12, 4.5, "9876543210", "Mobile", "Restaurant")
-    assert row["order_ids"] == ["o1"] and row["search_keyword"] == "coffee"
+    assert (row["name"], row["website"], row["reviews"], row["rating"], row["phone"], row["phone_type"], row["category"]) == ("Corner Bakery & Co", "https://corner.test", 12, 4.5, "9876543210", "Mobile", "Bakery")
+    assert row["order_ids"] == ["o1"] and row["search_keyword"] == "bread"
 
 
 def test_cards_dropped(spark):
     assert leads.parse_pages(page(spark, CARD, least=13)).count() == 0
-    assert leads.parse_pages(page(spark, CARD.replace("Restaurant", "Permanently closed"))).count() == 0
+    assert leads.parse_pages(page(spark, CARD.replace("Bakery", "Permanently closed"))).count() == 0
     assert leads.parse_pages(page(spark, '<div role="article"><a class="hfpxzc" href="u">x</a></div>')).count() == 0
 
 
@@ -130,9 +134,9 @@ def test_export(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    (tmp_path / "t.json").write_text('{"tasks": [{"hash_id": "stable-id", "type": "grid_url", "target_url": "u", "Search_Keyword": "coffee", "minimum_reviews": 5}]}')
+    (tmp_path / "t.json").write_text('{"tasks": [{"hash_id": "ticket-17", "type": "grid_url", "target_url": "u", "Search_Keyword": "bread", "minimum_reviews": 5}]}')
     row = readers.read_tickets(spark, str(tmp_path / "t.json")).first()
-    assert (row["task_key"], row["task_type"], row["search_keyword"], row["minimum_reviews"]) == ("stable-id", "grid_url", "coffee", 5)
+    assert (row["task_key"], row["task_type"], row["search_keyword"], row["minimum_reviews"]) == ("ticket-17", "grid_url", "bread", 5)
     (tmp_path / "b.txt").write_text(" a \n\nb\n")
     assert [r["value"] for r in readers.read_lines(spark, str(tmp_path / "b.txt")).collect()] == ["a", "b"]
     assert sinks.load_verified(spark.range(5), str(tmp_path / "s")) == 5
@@ -140,6 +144,54 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["x"] for r in refused.collect()] == [None, "not_gzip", "too_large"]
 
 
+def test_header_write_back(spark):
+    pages_ = spark.createDataFrame([('<!--{"k": {"a": [1, "x,y"]}, "order_ids": "o1", "t": "q\\"r"}-->\nbody\nmore',), ('<!--{"order_ids": ["o1", "o2"]}-->',), ("plain",), ("<!--{x-->\nb",)], "value string")
+    out = [r["v"] for r in pages_.select(sinks.with_order_id(F.col("value"), F.lit("o2")).alias("v")).collect()]
+    assert out[2:] == [None, None] and json.loads(out[1][4:-4]) == {"order_ids": ["o1", "o2"]}
+    head, body = out[0].split("\n", 1)
+    assert body == "body\nmore" and json.loads(head[4:-3]) == {"k": {"a": [1, "x,y"]}, "order_ids": ["o1", "o2"], "t": 'q"r'}
+
+
+def test_gzip_uploads(spark):
+    whole = gzip.compress(b"a" * 5000)
+    rows = [("ok", whole), ("two", whole + gzip.compress(b"b")), ("cut", whole[:-9]), ("text", b"\x1f\x8btext"), ("empty", b""), ("bad", whole[:-6] + b"000000")]
+    got = {r["upload_id"]: (r["refused"], r["uncompressed"]) for r in sinks.gzip_verdict(spark.createDataFrame(rows, "upload_id string, content binary")).collect()}
+    assert got["ok"] == (None, 5000) and got["two"] == (None, 5001) and {got[k][0] for k in ("cut", "text", "empty", "bad")} == {"not_gzip"}
+    assert sinks.gzip_verdict(spark.createDataFrame(rows[:1], "upload_id string, content binary"), 4000).first()["refused"] == "too_large_uncompressed"
+
+
+def test_failed_task_has_no_worker(spark):
+    t = task_rows(spark, [{"task_id": k, "status": "PROCESSING", "worker_id": "w", "attempt_count": 1, "max_attempts": 2} for k in "ab"] + [{"task_id": "c", "status": "COMPLETED", "worker_id": "w"}])
+    sent = spark.createDataFrame([("a", "w", "r", True), ("b", "w", "r", False), ("c", "w", "r", True), ("a", "x", "r", True), ("d", "w", "r", True)], "task_id string, worker_id string, reason string, retryable boolean")
+    assert {r["task_id"]: (r["status"], r["worker_id"]) for r in tasks.fail_tasks(t, sent, now()).collect()} == {"a": ("PENDING", None), "b": ("FAILED", None), "c": ("COMPLETED", "w")}
+    assert {(r["task_id"], r["worker_id"]): r["answer"] for r in tasks.fail_answers(t, sent).collect()} == {("a", "w"): "PENDING", ("b", "w"): "FAILED", ("c", "w"): "COMPLETED", ("a", "x"): "conflict", ("d", "w"): "not_found"}
+
+
+def test_batch_mismatch_raises(spark):
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "id string")
+    merge.check_batch(ids("a", "b"), ids("b", "a"))
+    for other in (ids("a"), ids("a", "b", "b"), ids("a", "c")):
+        with pytest.raises(ValueError):
+            merge.check_batch(ids("a", "b"), other)
+    with pytest.raises(KeyError):
+        tasks.task_status(task_rows(spark, [{"task_id": "a", "status": "PENDING"}]), "b")
+    assert tasks.task_status(task_rows(spark, [{"task_id": "a", "status": "PENDING"}]), "a") == "PENDING"
+
+
+def test_merge_stream_runs_batch_by_batch(spark, tmp_path):
+    """Two batches of pages: one lead comes twice, the snapshot of the second batch holds both."""
+    card = "<div class='Nv2PK'><a class='hfpxzc' href='https://maps/{0}' aria-label='Shop {0}'></a><span class='UY7F9'>(9)</span><a data-value='Website' href='https://s{0}.com'></a></div>"
+    rows = lambda *k: spark.createDataFrame([("".join(card.format(x) for x in k),)], "html string").selectExpr("named_struct('hash_id', 'h', 'order_ids', array('o%s'), 'query_type', 'q', 'scraped_date', '2024-01-0%s 00:00:00', 'Search_Keyword', 'k', 'Search_Location', 'l', 'minimum_reviews', 0) AS header" % (k[0], k[0]), "html")
+    query = None
+    for k in ((1,), (2, 1)):
+        rows(*k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows(1).schema).parquet(str(tmp_path / "in"))
+        query = jobs.merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck"))
+        query.awaitTermination()
+    out = {r["name"]: r for r in jobs.latest_snapshot(spark, str(tmp_path / "store"), 2).collect()}
+    assert set(out) == {"Shop 1", "Shop 2"} and out["Shop 1"]["order_ids"] == ["o1", "o2"]
+
+
 def test_contract_bounds(spark):
     rows = spark.createDataFrame([("", "u", 0), ("k" * 257, "u", -1), ("k", "u", 1)], "task_key string, target_url string, minimum_reviews int")
     assert [r["e"] for r in rows.select(tasks.contract_errors(rows.columns).alias("e")).collect()] == [["task_key"], ["task_key", "minimum_reviews"], []]
