@@ -38,20 +38,17 @@ def match_leads(master: DataFrame, staging: DataFrame) -> DataFrame:
     """(m_id, s_id) by id, else url, else phone: one staging row for each matched master row.
 
     The disjunction is three equi-joins; a phone matches only where the staging url is blank. Of several matches the
-    kind counts first, then the latest update, then the id. Blank urls and phones join nothing, so no join key is hot
-    for want of a value.
+    kind counts first, then the latest update, then the id. Staging is reduced to its best row per id, url and phone
+    before it is joined, so a shared value makes one pair per master row. Blank urls and phones join nothing, so no join
+    key is hot for want of a value.
     """
     m = master.select(F.col("id").alias("m_id"), F.col("url").alias("m_url"), F.col("phone").alias("m_phone"))
     s = staging.select(F.col("id").alias("s_id"), F.col("url").alias("s_url"), F.col("phone").alias("s_phone"), F.col("last_updated_date").alias("at"))
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    kinds = [
-        m.join(s, F.col("m_id") == F.col("s_id")),
-        m.where(some("m_url")).join(s, F.col("m_url") == F.col("s_url")),
-        m.where(some("m_phone")).join(s.where(~some("s_url")), F.col("m_phone") == F.col("s_phone")),
-    ]
-    found = reduce(DataFrame.union, [d.select("m_id", "s_id", F.lit(-k).alias("kind"), "at") for k, d in enumerate(kinds)])
-    best = F.max_by("s_id", F.struct("kind", F.coalesce(F.unix_micros("at"), F.lit(0)), "s_id"))
-    return found.groupBy("m_id").agg(best.alias("s_id"))
+    newest = F.max_by("s_id", F.struct(F.coalesce(F.unix_micros("at"), F.lit(0)), "s_id")).alias("s_id")
+    sides = [("m_id", s.select("s_id", F.col("s_id").alias("v"), "at")), ("m_url", s.select("s_id", F.col("s_url").alias("v"), "at").where(some("v"))), ("m_phone", s.where(~some("s_url")).select("s_id", F.col("s_phone").alias("v"), "at").where(some("v")))]
+    kinds = [m.where(F.col(c).isNotNull()).join(rows.groupBy("v").agg(newest), F.col(c) == F.col("v")).select("m_id", "s_id", F.lit(k).alias("kind")) for k, (c, rows) in enumerate(sides)]
+    return reduce(DataFrame.union, kinds).groupBy("m_id").agg(F.min_by("s_id", "kind").alias("s_id"))
 
 
 def unmatched_leads(master: DataFrame, staging: DataFrame, legacy: bool = False) -> DataFrame:
