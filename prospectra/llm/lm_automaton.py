@@ -213,14 +213,16 @@ def score(docs: DataFrame, strength: float = STRENGTH, hold_mod: int = 7, hold_a
 
     Learns all n-grams of the rows whose crc32(doc_id) modulo ``hold_mod`` is not ``hold_at``; scores every whole text.
     A null text is the empty text: one token, the end. A null id counts as the empty id. Repeated rows count each. If
-    no row is to be learned from, every count is 0. An empty table gives no rows.
+    no row is to be learned from, every count is 0. Very long texts count whole. An empty table gives no rows.
     """
     size = planned_bytes(docs)
     least = isqrt(size * MESSAGE_BYTES)
     chunks, shards = max(16, -(-size // max(chunk_bytes, least))), max(16, -(-size // max(shard_bytes, least)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), (crc_mod(F.col("doc_id"), hold_mod) != hold_at).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    # as many tasks as chunks and shards, whatever the session's number of shuffle partitions
+    held = held.repartition(chunks, "chunk")
     asked = held.groupBy("chunk").applyInArrow(_request(shards), "chunk bigint, shard bigint, keys binary, counts binary")
-    told = asked.groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, tokens bigint, types bigint, totals binary")
+    told = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, tokens bigint, types bigint, totals binary")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(strength), out)
