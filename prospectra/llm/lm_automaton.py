@@ -32,6 +32,8 @@ SHARD_BYTES = 10 << 20
 #: Each chunk sends one message to each shard. Chunks and shards of the root of the input's bytes times this keep a
 #: message at about 2 KB: 10 MB chunks up to 130 GB of input, 29 MB at 1 TB, 290 MB at 100 TB.
 MESSAGE_BYTES = 800
+#: Spark's stand-in for a size that it can't tell is larger than this.
+UNKNOWN_BYTES = 1 << 60
 _BEGIN, _END = 0, 1
 _SHARD_BITS = np.uint64(32)
 _KIND = np.uint64(3)
@@ -216,8 +218,11 @@ def score(docs: DataFrame, strength: float = STRENGTH, hold_mod: int = 7, hold_a
     no row is to be learned from, every count is 0. Very long texts count whole. An empty table gives no rows.
     """
     size = planned_bytes(docs)
-    least = isqrt(size * MESSAGE_BYTES)
-    chunks, shards = max(16, -(-size // max(chunk_bytes, least))), max(16, -(-size // max(shard_bytes, least)))
+    if size >= UNKNOWN_BYTES:
+        chunks = shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        least = isqrt(size * MESSAGE_BYTES)
+        chunks, shards = max(16, -(-size // max(chunk_bytes, least))), max(16, -(-size // max(shard_bytes, least)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), (crc_mod(F.col("doc_id"), hold_mod) != hold_at).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     # as many tasks as chunks and shards, whatever the session's number of shuffle partitions
