@@ -1,4 +1,4 @@
-"""LM scoring with a weighted backoff automaton: bigrams smoothed towards unigrams, failure arcs, one traversal.
+"""LM scoring with a weighted backoff automaton: trigrams smoothed towards bigrams and unigrams, failure arcs, one traversal.
 
 The model is as large as the corpus, so it is never sent anywhere whole. Documents are dealt into chunks by a hash.
 Each chunk asks for just the n-grams that its documents hold: it sends their sorted keys, with its own training counts,
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, planned_bytes
 
-#: Pseudo-counts of the unigram model behind each state (Dirichlet smoothing).
-STRENGTH = 100.0
+#: Pseudo-counts (Dirichlet smoothing) of the unigrams behind a word's state, and of the bigrams behind a pair's state;
+#: chosen by the likelihood of one fold of the training documents, learned from the others.
+STRENGTHS = (1000.0, 10.0)
 #: Bytes of input files per chunk and per shard at least.
 CHUNK_BYTES = 10 << 20
 SHARD_BYTES = 10 << 20
@@ -37,7 +38,7 @@ UNKNOWN_BYTES = 1 << 60
 _BEGIN, _END = 0, 1
 _SHARD_BITS = np.uint64(32)
 _KIND = np.uint64(3)
-_KIND_CONTEXT, _KIND_WORD, _KIND_PAIR = (np.uint64(k) for k in range(3))
+_KIND_CONTEXT, _KIND_WORD, _KIND_PAIR, _KIND_TRIPLE = (np.uint64(k) for k in range(4))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -51,6 +52,34 @@ def _unpack(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of ordered pairs of hashes."""
+    with np.errstate(over="ignore"):
+        out = a * np.uint64(0x9E3779B97F4A7C15) + b
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+@dataclass
+class Grams:
+    """Words, pairs and triples of a chunk: their keys in order and, for them one after another, each key's place there.
+
+    Of each position, the pair and the triple that end there (-1: none). Of pairs, both words; of triples, the pair
+    that they begin with and the pair that they end with.
+    """
+
+    keys: np.ndarray
+    place: np.ndarray
+    pair_at: np.ndarray
+    triple_at: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    context: np.ndarray
+    lower: np.ndarray
+
+
 @dataclass
 class Chunk:
     """Token sequences of some documents: begin, words, end, one after another."""
@@ -79,65 +108,90 @@ class Chunk:
         hashes = np.fromiter([digest(b"", 1), digest(b"", 2), *map(digest, ids)], np.uint64, len(ids) + 2)
         return cls(symbols, starts, hashes)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in order; where each symbol's key is; where each position's pair key is (-1 at a begin)."""
-        n = np.uint64(len(self.hashes))
-        codes = self.symbols[:-1].astype(np.uint64) * n + self.symbols[1:].astype(np.uint64)
-        inner = self.symbols[1:] != _BEGIN
-        pairs, inverse = np.unique(codes[inner], return_inverse=True)
-        with np.errstate(over="ignore"):
-            mixed = self.hashes[(pairs // n).astype(np.int64)] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[(pairs % n).astype(np.int64)]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
+    def grams(self) -> Grams:
+        n, inner = np.uint64(len(self.hashes)), self.symbols[1:] != _BEGIN
+        codes = self.symbols[:-1][inner].astype(np.uint64) * n + self.symbols[1:][inner].astype(np.uint64)
+        pairs, inverse = np.unique(codes, return_inverse=True)
+        pair_at = np.full(len(self.symbols), -1, np.int32)
+        pair_at[1:][inner] = inverse
+        inner = (pair_at[:-1] >= 0) & (pair_at[1:] >= 0)
+        codes = pair_at[:-1][inner].astype(np.uint64) * n + self.symbols[1:][inner].astype(np.uint64)
+        triples, inverse = np.unique(codes, return_inverse=True)
+        triple_at = np.full(len(self.symbols), -1, np.int32)
+        triple_at[1:][inner] = inverse
+        del codes, inverse
+        first, second = (x.astype(np.int32) for x in np.divmod(pairs, n))
+        context, last = (x.astype(np.int32) for x in np.divmod(triples, n))
+        lower = np.zeros(len(triples), np.int32)
+        lower[triple_at[1:][inner]] = pair_at[1:][inner]
         words = (self.hashes & ~_KIND) | _KIND_WORD
         words[_BEGIN] = self.hashes[_BEGIN] & ~_KIND
-        keys = np.concatenate((words, (mixed & ~_KIND) | _KIND_PAIR))
+        two = _mixed(self.hashes[first], self.hashes[second])
+        three = _mixed(two[context], self.hashes[last])
+        keys = np.concatenate((words, (two & ~_KIND) | _KIND_PAIR, (three & ~_KIND) | _KIND_TRIPLE))
         order = np.argsort(keys, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        at = np.full(len(self.symbols), -1, np.int64)
-        at[1:][inner] = place[len(words) + inverse]
-        return keys[order], place[: len(words)], at, place
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
+        return Grams(keys[order], place, pair_at, triple_at, first, second, context, lower)
 
-    def counted(self, train: np.ndarray, size: int, word_at: np.ndarray, pair_at: np.ndarray) -> np.ndarray:
+    def counted(self, train: np.ndarray, grams: Grams) -> np.ndarray:
         """Occurrences of each key in the documents to learn from."""
-        lengths = np.diff(np.append(self.starts, len(self.symbols)))
-        used = np.repeat(train, lengths)
-        out = np.bincount(word_at[self.symbols[used]], minlength=size)
-        return out + np.bincount(pair_at[used & (pair_at >= 0)], minlength=size)
+        used = np.repeat(train, np.diff(np.append(self.starts, len(self.symbols))))
+        out = np.empty(len(grams.keys), np.int64)
+        out[grams.place] = np.concatenate(
+            (
+                np.bincount(self.symbols[used], minlength=len(self.hashes)),
+                np.bincount(grams.pair_at[used & (grams.pair_at >= 0)], minlength=len(grams.first)),
+                np.bincount(grams.triple_at[used & (grams.triple_at >= 0)], minlength=len(grams.context)),
+            )
+        )
+        return out
 
 
 class Automaton:
-    """States: the root, and one for each known word and for the begin. A state has arcs for the pairs seen in training
-    and a failure arc to the root, whose weight is the mass left for unseen words; the root reads any word."""
+    """States: the root, one for each known word and for the begin, and one for each pair seen in training.
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray, words: np.ndarray, tokens: int, types: int, strength: float):
-        root = (word_counts + 1.0) / (tokens + types + 1.0)
+    A pair's state has arcs for the triples seen in training and a failure arc to the state of its second word; a word's
+    state has arcs for the pairs seen and a failure arc to the root, which reads any word. A failure arc weighs the mass
+    that its state leaves to what it has no arc for.
+    """
+
+    def __init__(self, totals: np.ndarray, grams: Grams, tokens: int, types: int, strengths: tuple[float, float]):
+        """``totals``: training counts of the words, pairs and triples of ``grams``, one after another."""
+        one, two = strengths
+        n = len(totals) - len(grams.first) - len(grams.context)
+        words, pairs, triples = np.split(totals, [n, n + len(grams.first)])
+        root = (words + 1.0) / (tokens + types + 1.0)
         root[_BEGIN] = 1.0
         self.root = np.log10(root)
-        self.known = word_counts > 0
-        self.fail = np.where(self.known, np.log10(strength / (word_counts + strength)), 0.0)
-        self.seen = (pair_counts > 0) & self.known[contexts]
-        self.arc = np.log10((pair_counts + strength * root[words]) / (word_counts[contexts] + strength))
-
-    def walk(self, symbols: np.ndarray, starts: np.ndarray, pair_of: np.ndarray) -> np.ndarray:
-        """Log-probabilities of all texts: each is read once from left to right, side by side, longest first.
-
-        ``pair_of`` names the arc that leaves the state of the word before, for each position.
-        """
+        self.known = words > 0
+        self.fail_word = np.where(self.known, np.log10(one / (words + one)), 0.0)
+        self.pair = (pairs > 0) & self.known[grams.first]
+        after_word = (pairs + one * root[grams.second]) / (words[grams.first] + one)
+        self.arc_pair = np.log10(after_word)
+        self.fail_pair = np.where(self.pair, np.log10(two / (pairs + two)), 0.0)
+        # the last one stands for no triple: the word after a begin
+        self.triple = np.append((triples > 0) & self.pair[grams.context], False)
+        self.arc_triple = np.append(np.log10((triples + two * after_word[grams.lower]) / (pairs[grams.context] + two)), 0.0)
+
+    def walk(self, symbols: np.ndarray, starts: np.ndarray, grams: Grams) -> np.ndarray:
+        """Log-probabilities of all texts: each is read once from left to right, side by side, longest first."""
         lengths = np.diff(np.append(starts, len(symbols)))
         order = np.argsort(-lengths, kind="stable")
         begins, falling = starts[order], -lengths[order]
         total = np.zeros(len(starts))
-        state = np.full(len(starts), self.known[_BEGIN])
-        leaving = np.full(len(starts), self.fail[_BEGIN])
+        # the state: that of a pair, else of a word, else the root; and what its failure arcs weigh
+        deep, near = np.zeros(len(starts), bool), np.full(len(starts), self.known[_BEGIN])
+        fail_deep, fail_near = np.zeros(len(starts)), np.full(len(starts), self.fail_word[_BEGIN])
         for step in range(1, int(lengths.max(initial=0))):
             live = int(np.searchsorted(falling, -step))
             at = begins[:live] + step
-            symbol, arc = symbols[at], pair_of[at]
-            total[:live] += np.where(state[:live] & self.seen[arc], self.arc[arc], leaving[:live] + self.root[symbol])
-            state[:live], leaving[:live] = self.known[symbol], self.fail[symbol]
+            symbol, pair, triple = symbols[at], grams.pair_at[at], grams.triple_at[at]
+            seen = self.pair[pair]
+            lower = np.where(near[:live] & seen, self.arc_pair[pair], fail_near[:live] + self.root[symbol])
+            total[:live] += np.where(deep[:live] & self.triple[triple], self.arc_triple[triple], fail_deep[:live] + lower)
+            deep[:live], fail_deep[:live] = seen, self.fail_pair[pair]
+            near[:live], fail_near[:live] = self.known[symbol], self.fail_word[symbol]
         out = np.empty(len(starts))
         out[order] = total
         return out
@@ -146,8 +200,8 @@ class Automaton:
 def _request(shards: int):
     def run(batch: pa.Table) -> pa.Table:
         chunk = Chunk.of([x.as_py() for x in batch["text"]])
-        keys, word_at, pair_at, _ = chunk.grams()
-        counts = chunk.counted(batch["train"].to_numpy(), len(keys), word_at, pair_at)
+        grams = chunk.grams()
+        keys, counts = grams.keys, chunk.counted(batch["train"].to_numpy(), grams)
         cuts = np.searchsorted(((keys >> _SHARD_BITS) * np.uint64(shards)) >> _SHARD_BITS, np.arange(shards + 1, dtype=np.uint64))
         rows = []
         for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
@@ -178,22 +232,17 @@ def _answer(batch: pa.Table) -> pa.Table:
     )
 
 
-def _score(strength: float):
+def _score(strengths: tuple[float, float]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk.of([x.as_py() for x in docs["text"]])
-        keys, word_at, pair_at, place = chunk.grams()
+        grams = chunk.grams()
         answers = answers.sort_by("shard")
-        totals = np.concatenate([_unpack(x.as_py()) for x in answers["totals"]]).astype(np.int64)
+        totals = np.concatenate([_unpack(x.as_py()) for x in answers["totals"]]).astype(np.int64)[grams.place]
         tokens, types = (sum(x.as_py() for x in answers[c]) for c in ("tokens", "types"))
-        words, symbols, starts = totals[word_at], chunk.symbols, chunk.starts
-        # arcs of this chunk by key place; a place that is no pair is never asked for
-        contexts, second = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
-        inner = pair_at >= 0
-        contexts[pair_at[inner]] = symbols[:-1][inner[1:]]
-        second[pair_at[inner]] = symbols[inner]
-        machine = Automaton(words, totals, contexts, second, tokens, types, strength)
-        score = machine.walk(symbols, starts, pair_at)
-        base, known = machine.root.copy(), (words > 0).astype(np.int64)
+        symbols, starts = chunk.symbols, chunk.starts
+        machine = Automaton(totals, grams, tokens, types, strengths)
+        score = machine.walk(symbols, starts, grams)
+        base, known = machine.root.copy(), machine.known.astype(np.int64)
         base[_BEGIN], known[_BEGIN] = 0.0, 0
         return pa.table(
             {
@@ -210,11 +259,12 @@ def _score(strength: float):
     return run
 
 
-def score(docs: DataFrame, strength: float = STRENGTH, hold_mod: int = 7, hold_at: int = 2, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, strengths: tuple[float, float] = STRENGTHS, hold_mod: int = 7, hold_at: int = 2, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     Learns all n-grams of the rows whose crc32(doc_id) modulo ``hold_mod`` is not ``hold_at``; scores every whole text.
-    A null text is the empty text: one token, the end. A null id counts as the empty id. Repeated rows count each. If
+    The model's trigrams are smoothed by ``strengths`` towards bigrams, these towards the base's unigrams. A null text
+    is the empty text: one token, the end. A null id counts as the empty id. Repeated rows count each. If
     no row is to be learned from, every count is 0. Very long texts count whole. An empty table gives no rows.
     """
     size = planned_bytes(docs)
@@ -230,4 +280,4 @@ def score(docs: DataFrame, strength: float = STRENGTH, hold_mod: int = 7, hold_a
     asked = held.groupBy("chunk").applyInArrow(_request(shards), "chunk bigint, shard bigint, keys binary, counts binary")
     told = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, tokens bigint, types bigint, totals binary")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(strength), out)
+    return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(strengths), out)

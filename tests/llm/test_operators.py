@@ -255,40 +255,76 @@ def test_decontamination_of_repetitive_texts(spark):
     assert took < 60
 
 
+def lm_probability(h, w, counts, types, total, strengths):
+    """The smoothed probability of ``w`` behind the history ``h`` (two words, one, none), by recursion."""
+    if not h:
+        return (counts[(w,)] + 1) / (total + types + 1)
+    seen = sum(c for g, c in counts.items() if len(g) == len(h) + 1 and g[:-1] == h)
+    lower = lm_probability(h[1:], w, counts, types, total, strengths)
+    return (counts[(*h, w)] + strengths[len(h) - 1] * lower) / (seen + strengths[len(h) - 1]) if seen else lower
+
+
 def test_lm_score(docs, rows):
     tokens = lambda t: [*re.findall(SPACE, lower(t)), None]
-    single, pair, context = Counter(), Counter(), Counter()
+    counts, followed = Counter(), Counter()
     for r in rows:
         if not held(r[0], 7, 2):
-            w = tokens(r[1])
-            single.update(w)
-            pair.update(zip(["<s>", *w], w))
-            context.update(["<s>", *w[:-1]])
-    n, v = sum(single.values()), len(single)
+            w = ["<s>", *tokens(r[1])]
+            for n in (1, 2, 3):
+                counts.update(tuple(w[i : i + n]) for i in range(n == 1, len(w) - n + 1))
+    for g, c in counts.items():
+        followed[g[:-1]] += c
+    n, v = followed[()], sum(len(g) == 1 for g in counts)
+    one, two = lm_automaton.STRENGTHS
     got = sorted(lm_automaton.score(docs).collect(), key=lambda r: key((r["doc_id"],)))
     for r, g in zip(sorted(rows, key=lambda r: key((r[0],))), got):
-        w, score, base = tokens(r[1]), 0.0, 0.0
-        for a, b in zip(["<s>", *w], w):
-            p = (single[b] + 1) / (n + v + 1)
+        w, score, base = ["<s>", *tokens(r[1])], 0.0, 0.0
+        for i in range(1, len(w)):
+            p = (counts[(w[i],)] + 1) / (n + v + 1)
             base += math.log10(p)
-            score += math.log10((pair[a, b] + lm_automaton.STRENGTH * p) / (context[a] + lm_automaton.STRENGTH) if context[a] else p)
-        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held(r[0], 7, 2), len(w), sum(single[x] > 0 for x in w), n)
+            p = (counts[w[i - 1], w[i]] + one * p) / (followed[(w[i - 1],)] + one)
+            if i > 1:
+                p = (counts[tuple(w[i - 2 : i + 1])] + two * p) / (followed[tuple(w[i - 2 : i])] + two)
+            score += math.log10(p)
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held(r[0], 7, 2), len(w) - 1, sum(counts[(x,)] > 0 for x in w[1:]), n)
         assert g["base_score"] == pytest.approx(base, abs=1e-6) and g["score"] == pytest.approx(score, abs=1e-6)
 
 
-def test_lm_sums_to_one():
-    chunk = lm_automaton.Chunk.of([b"a b a", b"b b", b""])
-    keys, word_at, pair_at, _ = chunk.grams()
-    counts = chunk.counted(np.ones(3, bool), len(keys), word_at, pair_at).astype(float)
-    n, v = counts[word_at[1:]].sum(), (counts[word_at[1:]] > 0).sum()
-    for h in range(len(word_at)):
-        total, c = 0.0, counts[word_at[h]]
-        for w in range(1, len(word_at)):
-            at = [pair_at[i] for i in range(1, len(chunk.symbols)) if (chunk.symbols[i - 1], chunk.symbols[i]) == (h, w) and pair_at[i] >= 0]
-            p = (counts[word_at[w]] + 1) / (n + v + 1)
-            total += ((counts[at[0]] if at else 0) + 100 * p) / (c + 100)
-        if h != 1:  # nothing follows an end
-            assert total + 100 / (c + 100) / (n + v + 1) == pytest.approx(1)
+def test_lm_states_and_failure_arcs():
+    """Texts walked by the automaton against the recursion, held-out ones with unknown words and pairs among them."""
+    texts, train = ["a b a b a", "b b", "", "a b c a b", "b b a", "x b a q a b a"], np.array([1, 1, 1, 1, 0, 0], bool)
+    chunk = lm_automaton.Chunk.of([t.encode() for t in texts])
+    grams = chunk.grams()
+    totals = chunk.counted(train, grams)[grams.place].astype(float)
+    n = len(chunk.hashes)
+    machine = lm_automaton.Automaton(totals, grams, int(totals[1:n].sum()), int((totals[1:n] > 0).sum()), (7.0, 2.0))
+    counts = Counter()
+    for t in [t for t, k in zip(texts, train) if k]:
+        w = ["<s>", *t.split(), None]
+        for size in (1, 2, 3):
+            counts.update(tuple(w[i : i + size]) for i in range(size == 1, len(w) - size + 1))
+    total, types = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    for t, got in zip(texts, machine.walk(chunk.symbols, chunk.starts, grams)):
+        w = ["<s>", *t.split(), None]
+        assert got == pytest.approx(sum(math.log10(lm_probability(tuple(w[max(i - 2, 0) : i]), w[i], counts, types, total, (7.0, 2.0))) for i in range(1, len(w))))
+    # each state's probabilities, one unknown word's among them, sum to one
+    words = [g[0] for g in counts if len(g) == 1] + ["unknown"]
+    for h in [(), ("a",), ("a", "b"), ("<s>", "b"), ("q", "b"), ("q",)]:
+        assert sum(lm_probability(h, w, counts, types, total, (7.0, 2.0)) for w in words) == pytest.approx(1)
+
+
+def test_lm_copies_of_training_texts_score_higher(spark):
+    """A held-out text that training holds too, word for word, scores above the same words in another order."""
+    rng = np.random.default_rng(3)
+    word = [f"w{k}" for k in range(400)]
+    train = [i for i in range(400) if not held(i, 7, 2)]
+    known = [" ".join(rng.choice(word, 30)) for _ in train]
+    tested = [i for i in range(400, 500) if held(i, 7, 2)]
+    copies = [(i, known[k]) for k, i in enumerate(tested)]
+    mixed = [(i + 10_000_000, " ".join(rng.permutation(t.split()))) for i, t in copies if held(i + 10_000_000, 7, 2)]
+    out = {r["doc_id"]: r["score"] for r in lm_automaton.score(spark.createDataFrame([*zip(train, known), *copies, *mixed], "doc_id bigint, text string")).collect()}
+    for i, _ in mixed:
+        assert out[i - 10_000_000] > out[i] + 5
 
 
 def test_mixing(docs, rows):
