@@ -28,15 +28,18 @@ from .common import crc_mod, planned_bytes
 #: chosen by the likelihood of one fold of the training documents, learned from the others.
 STRENGTHS = (1000.0, 10.0)
 #: Bytes of input files per chunk and per shard at least.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 10 << 20
 #: Each chunk sends one message to each shard. Chunks and shards of the root of the input's bytes times this keep a
-#: message at about 2 KB: 10 MB chunks up to 130 GB of input, 29 MB at 1 TB, 290 MB at 100 TB.
+#: message at about 4 KB: 6 MB chunks up to 50 GB of input, 29 MB at 1 TB, 290 MB at 100 TB.
 MESSAGE_BYTES = 800
 #: Spark's stand-in for a size that it can't tell is larger than this.
 UNKNOWN_BYTES = 1 << 60
 _BEGIN, _END = 0, 1
 _SHARD_BITS = np.uint64(32)
+#: Low bits of hashes that keys do without, which makes messages shorter. Of 10^13 distinct n-grams, the other 58 bits
+#: take an unseen one for a seen one with a probability of 0.00004.
+_DROPPED = np.uint64(4)
 _KIND = np.uint64(3)
 _KIND_CONTEXT, _KIND_WORD, _KIND_PAIR, _KIND_TRIPLE = (np.uint64(k) for k in range(4))
 
@@ -62,6 +65,10 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _key(hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return ((hashes >> _DROPPED) & ~_KIND) | kind
+
+
 @dataclass
 class Grams:
     """Words, pairs and triples of a chunk: their keys in order and, for them one after another, each key's place there.
@@ -114,6 +121,7 @@ class Chunk:
         pairs, inverse = np.unique(codes, return_inverse=True)
         pair_at = np.full(len(self.symbols), -1, np.int32)
         pair_at[1:][inner] = inverse
+        del codes, inverse
         inner = (pair_at[:-1] >= 0) & (pair_at[1:] >= 0)
         codes = pair_at[:-1][inner].astype(np.uint64) * n + self.symbols[1:][inner].astype(np.uint64)
         triples, inverse = np.unique(codes, return_inverse=True)
@@ -124,11 +132,12 @@ class Chunk:
         context, last = (x.astype(np.int32) for x in np.divmod(triples, n))
         lower = np.zeros(len(triples), np.int32)
         lower[triple_at[1:][inner]] = pair_at[1:][inner]
-        words = (self.hashes & ~_KIND) | _KIND_WORD
-        words[_BEGIN] = self.hashes[_BEGIN] & ~_KIND
+        words = _key(self.hashes, _KIND_WORD)
+        words[_BEGIN] = (words[_BEGIN] & ~_KIND) | _KIND_CONTEXT
         two = _mixed(self.hashes[first], self.hashes[second])
         three = _mixed(two[context], self.hashes[last])
-        keys = np.concatenate((words, (two & ~_KIND) | _KIND_PAIR, (three & ~_KIND) | _KIND_TRIPLE))
+        keys = np.concatenate((words, _key(two, _KIND_PAIR), _key(three, _KIND_TRIPLE)))
+        del two, three
         order = np.argsort(keys, kind="stable")
         place = np.empty(len(keys), np.int32)
         place[order] = np.arange(len(keys), dtype=np.int32)
@@ -202,12 +211,12 @@ def _request(shards: int):
         chunk = Chunk.of([x.as_py() for x in batch["text"]])
         grams = chunk.grams()
         keys, counts = grams.keys, chunk.counted(batch["train"].to_numpy(), grams)
-        cuts = np.searchsorted(((keys >> _SHARD_BITS) * np.uint64(shards)) >> _SHARD_BITS, np.arange(shards + 1, dtype=np.uint64))
+        cuts = np.searchsorted(((keys >> (_SHARD_BITS - _DROPPED)) * np.uint64(shards)) >> _SHARD_BITS, np.arange(shards + 1, dtype=np.uint64))
         rows = []
         for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             rows.append((s, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
         chunk_id = batch["chunk"][0].as_py()
-        return pa.table({"chunk": pa.array([chunk_id] * shards, pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+        return pa.table({"chunk": pa.array([chunk_id] * shards, pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
@@ -274,10 +283,10 @@ def score(docs: DataFrame, strengths: tuple[float, float] = STRENGTHS, hold_mod:
         least = isqrt(size * MESSAGE_BYTES)
         chunks, shards = max(16, -(-size // max(chunk_bytes, least))), max(16, -(-size // max(shard_bytes, least)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), (crc_mod(F.col("doc_id"), hold_mod) != hold_at).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    # as many tasks as chunks and shards, whatever the session's number of shuffle partitions
-    held = held.repartition(chunks, "chunk")
-    asked = held.groupBy("chunk").applyInArrow(_request(shards), "chunk bigint, shard bigint, keys binary, counts binary")
-    told = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, tokens bigint, types bigint, totals binary")
+    held = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), (crc_mod(F.col("doc_id"), hold_mod) != hold_at).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    # a task for each chunk and for each shard, whatever the session's number of shuffle partitions
+    held = held.repartitionById(chunks, "chunk")
+    asked = held.groupBy("chunk").applyInArrow(_request(shards), "chunk int, shard int, keys binary, counts binary")
+    told = asked.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_answer, "chunk int, shard int, tokens bigint, types bigint, totals binary")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(strengths), out)
+    return held.groupBy("chunk").cogroup(told.repartitionById(chunks, "chunk").groupBy("chunk")).applyInArrow(_score(strengths), out)
