@@ -32,6 +32,8 @@ ROUNDS = 200
 THRESHOLD = 0.5
 #: Ranks are settled when a round changes all of them together by less than this share.
 SETTLED = 1e-4
+#: Hosts of at least one in this many rows have their scores broadcast.
+HOT_PARTS = 1000
 _HREF = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -91,7 +93,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     raise ValueError(f"ranks haven't settled in {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def with_scores(named: DataFrame, scores: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
+    """``named`` with trust and distrust of its host, from ``scores`` (_host, n, trust, distrust); n: rows of the host.
+
+    Hosts of at least one in ``parts`` of all rows are at most ``parts``, whatever the input: their scores are sent to
+    all executors. The other rows meet theirs by a shuffle, in which no host has more than that share. Rows without a
+    host have no scores and go nowhere.
+    """
+    scores = cut(scores)
+    total = scores.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * F.lit(parts) >= F.lit(total)
+    hot, rare = scores.where(often).drop("n"), scores.where(~often).drop("n")
+    met = named.join(F.broadcast(hot), F.col("host") == F.col("_host"), "left")
+    open_ = F.col("_host").isNull() & (F.col("host") != "")
+    at_hot = met.where(~open_).drop("_host")
+    at_rare = met.where(open_).drop("_host", "trust", "distrust").join(rare, F.col("host") == F.col("_host"), "left").drop("_host")
+    return at_hot.unionByName(at_rare)
+
+
+def judge(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, hot_parts: int = HOT_PARTS) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust for each row of ``pages``.
 
     A url that a rule fits has the rule's verdict. The others have their host's: hosts are trusted seeds by the share
@@ -100,7 +120,8 @@ def judge(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds:
     trust, in units of a host all of whose pages are seeds, reaches the threshold is blocked; any other is allowed.
 
     Null urls and urls without ``://`` have an empty host and path, and no host has no links: they are allowed. Null
-    html has no links. Repeated pages count each. An empty table gives no rows.
+    html has no links. Repeated pages count each. Very long html is searched for links whole. Of rules of equal length that
+    fit, hosts of subdomains being longer, the last in the list wins. An empty table gives no rows.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
     named = named.select("page_id", "host", "path", "hit.rule", "hit.verdict")
@@ -111,11 +132,11 @@ def judge(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds:
     against = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") / F.col("total")).alias("share"))
     distrust = propagate(cut(against), hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("n")).alias("mass")), damping, rounds)
     scores = (
-        hosts.select(F.col("host").alias("_host"))
+        hosts.select(F.col("host").alias("_host"), "n")
         .join(trust.select(F.col("host").alias("_host"), F.col("rank").alias("trust")), "_host", "left")
         .join(distrust.select(F.col("host").alias("_host"), F.col("rank").alias("distrust")), "_host", "left")
         .na.fill(0.0, ["trust", "distrust"])
     )
-    joined = named.join(scores, F.col("host") == F.col("_host"), "left").na.fill(0.0, ["trust", "distrust"])
+    joined = with_scores(named, scores, hot_parts).na.fill(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "trust", "distrust")
