@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
@@ -382,6 +383,50 @@ def test_url_rules_and_trust(spark):
     assert out[6]["distrust"] == pytest.approx(0.85 / 2) and out[8]["trust"] == pytest.approx(0.85)
 
 
+@pytest.mark.parametrize("hot_parts", [1000, 4])
+def test_url_verdicts_by_brute_force(spark, hot_parts):
+    """Random pages, a third of them of one host: links counted, both ranks solved as linear systems, verdicts compared."""
+    rng = random.Random(8)
+    hosts = [f"h{k}.{'good' if k % 4 == 0 else 'bad' if k % 4 == 1 else 'net'}" for k in range(12)]
+    rules = [url_trust.Rule("good", "/a", "allow"), url_trust.Rule("bad", "/a", "block")]
+    rows = []
+    for k in range(150):
+        host = hosts[2] if k % 3 == 0 else rng.choice(hosts)
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, 3))) + "text " * (50_000 if k == 7 else 3)
+        rows.append((k, f"http://{host}/{rng.choice('ab')}{k}", links if k % 20 else None))
+    rows += [rows[5], (150, None, links), (151, "", None)]
+    at = {h: k for k, h in enumerate(hosts)}
+    links, n, seeds = np.zeros((12, 12)), np.zeros(12), np.zeros((2, 12))
+    for _, url, html in rows:
+        if not url:
+            continue
+        _, _, host, path = url.split("/")
+        n[at[host]] += 1
+        for kind, (suffix, _) in enumerate([("good", 0), ("bad", 0)]):
+            seeds[kind, at[host]] += host.endswith("." + suffix) and path.startswith("a")
+        for to in re.findall(r'href="http://([^/]+)/', html or ""):
+            if to != host:
+                links[at[host], at[to]] += 1
+    share = links / np.maximum(1, links.sum(axis=1, keepdims=True))
+    back = share / np.maximum(1e-300, share.sum(axis=0, keepdims=True))
+    trust = np.linalg.solve(np.eye(12) - 0.85 * share.T, seeds[0] / np.maximum(1, n))
+    distrust = np.linalg.solve(np.eye(12) - 0.85 * back, seeds[1] / np.maximum(1, n))
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"host": F.lit("x"), "n": F.lit(1), "_host": F.lit("y"), "trust": F.lit(2.0)})
+    got = sorted(map(tuple, url_trust.judge(table, rules, hot_parts=hot_parts).select("page_id", "rule", "verdict", "trust", "distrust").collect()), key=key)
+    want, verdicts = [], Counter()
+    for k, url, _ in rows:
+        host, path = url.split("/")[2:] if url else ("", "")
+        t, d = (trust[at[host]], distrust[at[host]]) if host else (0.0, 0.0)
+        assert not host or abs(d - t - 0.5) > 1e-2
+        suffix = host[host.find(".") + 1 :]
+        rule = f"{suffix}/a" if suffix in ("good", "bad") and path[0] == "a" else None
+        want.append((k, rule, {"good/a": "allow", "bad/a": "block"}.get(rule, "block" if d - t >= 0.5 else "allow"), t, d))
+        verdicts[want[-1][2], rule is None] += 1
+    assert len(verdicts) == 4
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], abs=2e-3)
+
+
 def test_propagation_matches_dense(spark):
     rng = random.Random(5)
     edges = {(a, b) for a in range(12) for b in rng.sample(range(12), 3) if a != b}
@@ -488,6 +533,66 @@ def test_language_id(docs, rows):
             assert g["lang_pred"] == r[2]
 
 
+def test_language_id_by_brute_force(spark, tmp_path):
+    """Training and prediction over a small vocabulary, summed over the lattice position by position in plain Python."""
+    rng = random.Random(4)
+    vocabulary = [b" a", b"ab", b"abc", b"ca", b"bb", b" ca", b"aab", b"\xc3\xa9"]
+    path = tmp_path / "pieces"
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {k}\n" for k, p in enumerate(vocabulary)))
+    letters = {"x": "aaabcé", "y": "abbccc", None: "abc"}
+    rows = []
+    for k in range(40):
+        lang = ("x", "y", None)[k % 3] if k % 5 else "y"
+        words = ["".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7))) + rng.choice(["", "", "-a", "1"]) for _ in range(rng.randint(1, 6))]
+        rows.append((k, " ".join(words).upper() if k % 7 == 0 else "\n".join(words), lang))
+    rows += [(40, None, "x"), (41, "12 !", "y"), (42, "ab " * 200, "x"), rows[1]]
+    pieces = sorted(set(vocabulary) | {bytes([b]) for b in range(256)})
+
+    def units(text):
+        return [(" " + u).encode() for u in re.findall(r"[a-zé]+", (text or "").lower())]
+
+    counts = {"x": Counter(), "y": Counter()}
+    for k, text, lang in set(rows):
+        if lang and not held(k, 3, 1):
+            counts[lang].update(units(text))
+
+    def lattice(unit, probs):
+        alpha, beta = [1.0] + [0.0] * len(unit), [0.0] * len(unit) + [1.0]
+        arcs = [(a, b) for b in range(1, len(unit) + 1) for a in range(b) if unit[a:b] in probs]
+        for a, b in arcs:
+            alpha[b] += alpha[a] * probs[unit[a:b]]
+        for a, b in sorted(arcs, reverse=True):
+            beta[a] += probs[unit[a:b]] * beta[b]
+        return alpha, beta, arcs
+
+    def normal(expected):
+        total = sum(expected.values()) + langid._SMOOTH * len(pieces)
+        return {p: (expected[p] + langid._SMOOTH) / total for p in pieces}
+
+    models = {}
+    for lang, own in counts.items():
+        first = Counter()
+        for unit, n in own.items():
+            for b in range(1, len(unit) + 1):
+                for a in range(b):
+                    first[unit[a:b]] += n * (unit[a:b] in pieces)
+        probs = normal(first)
+        for _ in range(langid.ROUNDS):
+            expected = Counter()
+            for unit, n in own.items():
+                alpha, beta, arcs = lattice(unit, probs)
+                for a, b in arcs:
+                    expected[unit[a:b]] += n * alpha[a] * probs[unit[a:b]] * beta[b] / alpha[-1]
+            probs = normal(expected)
+        models[lang] = probs
+    got = sorted(map(tuple, langid.predictions(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), path=str(path)).collect()))
+    for (k, text, _), g in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
+        own = units(text)
+        x, y = (sum(math.log(lattice(u, models[lang])[0][-1]) for u in own) for lang in "xy")
+        want = ("und", 0.0) if not own else ("x", 1 / (1 + math.exp(y - x))) if x >= y else ("y", 1 / (1 + math.exp(x - y)))
+        assert g[:3] == (k, held(k, 3, 1), want[0]) and g[3] == pytest.approx(want[1], abs=1e-6)
+
+
 def test_forward_sums_segmentations():
     pieces = sorted({b" ", b"a", b"b", b"ab", b" a", b"ba", b" ab"})
     rng = np.random.default_rng(1)
@@ -656,3 +761,26 @@ def test_pipeline(spark, docs, rows, tmp_path):
     ids = [r["doc_id"] for r in current.collect()]
     assert not {12, 20, 60, 61, 62, 63} & set(ids) and {1, 2, 4} <= set(ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=key) == sorted(map(tuple, current.collect()), key=key)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    """No documents at all, or documents without a benchmark: every stage runs, on its predecessor's rows."""
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, docs, tmp_path):
+    """Columns of the names that operators use inside pass through all stages but the last with their values."""
+    wide = docs.where("doc_id < 60").withColumns({c: F.concat_ws("-", F.lit(c), F.col("doc_id")) for c in [*CLASHES, "a.b", "component", "mark", "cls", "range", "size", "target"]})
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, current, str(tmp_path))
+        assert out.columns == wide.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        current = spark.read.parquet(f"{tmp_path}/{k}")
+    kept = current.collect()
+    assert len(kept) > 50 and all(r[c] == f"{c}-{r['doc_id']}" for r in kept for c in CLASHES)
+    assert len(corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path)).collect()) == len(kept)
