@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, quality, simhash, toxicity, url_trust
+from . import decontam, html_blocks, langid, line_dedup, lm_automaton, mixing, periodic, quality, simhash, token_files, toxicity, url_trust, whitening
 from .common import read_table
 
 
@@ -61,6 +61,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_token_files": op12_token_files,
+        "op13_whitening": op13_whitening,
     }
 
 
