@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TEXT, _FLAG = T.StringType(), T.BooleanType()
 # types, not DDL: executors import this module without a session
@@ -22,7 +22,6 @@ PAGE_SCHEMA = T.StructType(
     + [T.StructField(n, _FLAG) for n in ("has_viewport", "has_description", "has_review_type")]
     + [T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", _TEXT), T.StructField("text", _TEXT)])))]
 )
-CARD_SCHEMA = T.ArrayType(T.StructType([*[T.StructField(n, _TEXT) for n in ("text", "href", "label", "title", "website", "reviews", "rating", "phone")], T.StructField("info", T.ArrayType(_TEXT))]))
 
 
 class Node:
@@ -65,13 +64,13 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
+        if tag not in VOID:
             self.at = node
             self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -109,38 +108,6 @@ def page_facts(html: str | None) -> dict:
     }
 
 
-def _first(nodes: list[Node], **how) -> str | None:
-    return nodes[0].text(strip=True) if nodes else None
-
-
-def card_facts(html: str | None) -> list[dict]:
-    """One entry for each business card; fixed values: the class names of the listing's markup."""
-    root = parse(html or "")
-    cards = root.find_all("div", "Nv2PK") or root.find_all("div", role="article")
-    out = []
-    for card in cards:
-        link, site = card.find_all("a", "hfpxzc"), card.find_all("a", data_value="Website")
-        out.append(
-            {
-                "text": card.text(" ", strip=True).lower(),
-                "href": link[0].attrs.get("href", "") if link else "",
-                "label": link[0].attrs.get("aria-label", "") if link else "",
-                "title": _first(card.find_all("div", "qBF1Pd")),
-                "website": site[0].attrs.get("href", "") if site else "",
-                "reviews": _first(card.find_all("span", "UY7F9")),
-                "rating": _first(card.find_all("span", "MW4etd")),
-                "phone": _first(card.find_all("span", "UsdlK")),
-                "info": [s.text(strip=True) for div in card.find_all("div", "W4Efsd") for s in div.children if isinstance(s, Node) and s.tag == "span"],
-            }
-        )
-    return out
-
-
 @F.pandas_udf(PAGE_SCHEMA)
 def page_struct(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_facts(x) for x in html], columns=["text", "title", "has_viewport", "has_description", "has_review_type", "links"])
-
-
-@F.pandas_udf(CARD_SCHEMA)
-def card_structs(html: pd.Series) -> pd.Series:
-    return html.map(card_facts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contact
 from ..functions.order_ids import clean
 from ..functions.text import filled, lead_id, one_line, rating_value, review_count, strip
-from .html import card_structs
+from .cards import page_cards
 from .merge import first_seen
 
 
@@ -20,8 +20,11 @@ def category(info: Column) -> Column:
 
 
 def card_rows(pages: DataFrame) -> DataFrame:
-    """One row a card of ``pages`` (header, html): all columns, before filters. ``header`` fills keyword, location, ids."""
-    cards = pages.select(*[c for c in pages.columns if c != "html"], F.explode(card_structs("html")).alias("c"))
+    """One row a card of ``pages`` (header, html): all columns, before filters. ``header`` fills keyword, location, ids.
+
+    Cards that couldn't be read are left out; ``broken_cards`` lists them.
+    """
+    cards = page_cards(pages).where("c.error IS NULL")
     head = lambda f, d: F.coalesce(F.col(f"header.{f}"), F.lit(d))
     phone = contact.local_phone(F.coalesce("c.phone", F.nullif(F.regexp_extract("c.text", contact.CARD_PHONE, 0), F.lit(""))))
     rows = cards.select(
@@ -40,6 +43,11 @@ def card_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def broken_cards(pages: DataFrame) -> DataFrame:
+    """Columns of ``pages`` but html, card_no and error of each card that couldn't be read."""
+    return page_cards(pages).where("c.error IS NOT NULL").select(*[c for c in pages.columns if c != "html"], "c.card_no", "c.error")
+
+
 def usable_card() -> Column:
     """Not closed for good or for now, reviews enough, and a website or a phone."""
     return ~F.col("card_text").rlike(contact.CLOSED_WORDS) & (F.col("reviews") >= F.col("minimum_reviews")) & ((F.col("website") != "") | (F.col("phone") != ""))

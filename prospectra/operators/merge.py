@@ -64,9 +64,19 @@ def unmatched_leads(master: DataFrame, staging: DataFrame, legacy: bool = False)
     return left.join(phones, on, "left_anti")
 
 
+def latest_per_id(staging: DataFrame) -> DataFrame:
+    """``staging`` with the latest row of each id, ties by all other columns; rows without an id can't be told apart and stay."""
+    named = staging.where("id IS NOT NULL")
+    return last_write(named, ["id"], "last_updated_date").unionByName(staging.where("id IS NULL"))
+
+
 def merge_leads(master: DataFrame, staging: DataFrame, legacy: bool = False) -> DataFrame:
-    """Staging into master: matched rows by rule, others of master as they are, unmatched ones of staging added."""
+    """Staging into master: matched rows by rule, others of master as they are, unmatched ones of staging added.
+
+    ``id`` is a key of master and stays one: of staging rows that repeat an id the latest counts, for updates and inserts.
+    """
     columns = [c for c in LEAD_COLUMNS if c in master.columns]
+    staging = latest_per_id(staging)
     pairs = match_leads(master, staging)
     joined = master.alias("m").join(pairs.alias("p"), F.col("m.id") == F.col("p.m_id"), "left").join(staging.alias("s"), F.col("s.id") == F.col("p.s_id"), "left")
     updated = joined.select(*[F.when(F.col("p.s_id").isNull(), F.col(f"m.{c}")).otherwise(staging_rule(c)).alias(c) for c in columns])

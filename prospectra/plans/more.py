@@ -9,6 +9,7 @@ from ..functions import contact, order_ids, text
 from ..operators import enrich, export, leads, merge, orders, pages, tasks, validate
 from ..schemas import LEAD, LEAD_COLUMNS, TASK
 from ..sources import readers, sinks
+from ..sources.named_files import packed_rows, write_named
 from ..sources.shared import scratch_dir
 from .catalogue import _NOW_SQL, _now, register, table
 
@@ -77,20 +78,23 @@ def header_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.array_contains("h.order_ids", "z9"), F.lit(False))).alias("changed"), F.count_if(F.coalesce(F.col("h.hash_id").startswith("h") & (F.element_at("h.order_ids", -1) == "z9"), F.lit(False))).alias("listed"))
 
 
-@register(f"""WITH v AS (SELECT page_id, html, {_STORED} AS value FROM pages) SELECT count(*) AS n, count(CASE WHEN page_id % 4 IN (1, 2) THEN 1 END) AS with_header, sum(strlen(html) + 1)::BIGINT AS n_bytes FROM v""")
+@register(f"""WITH v AS (SELECT page_id, html, {_STORED} AS value FROM pages) SELECT page_id::VARCHAR AS key, CASE WHEN page_id % 4 IN (1, 2) THEN 'h' || page_id END AS hash_id, strlen(html)::INT AS n_bytes FROM v""")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored pages from gzip files, one a file."""
+    """Stored pages read from a folder of small files, gzip and plain, under the limits of an upload."""
     path = f"{scratch_dir(spark)}/cache"
-    _stored_pages(spark, sf_dir).select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
-    return readers.read_pages(spark, path, lenient=True).agg(F.count("*").alias("n"), F.count("header").alias("with_header"), F.sum(F.octet_length("html")).cast("long").alias("n_bytes"))
+    stored = _stored_pages(spark, sf_dir)
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    packed = packed_rows(stored.where("page_id % 8 < 6").select(F.concat(name, F.lit(".gz")).alias("name"), "value"))
+    write_named(packed.union(stored.where("page_id % 8 >= 6").select(name.alias("name"), F.col("value").cast("binary"))), path, together=False)
+    return readers.read_pages(spark, path, lenient=True).select("key", "header.hash_id", F.octet_length("html").alias("n_bytes"))
 
 
-@register("SELECT count(*) AS n, count(DISTINCT md5(html)) AS n_texts, sum(strlen(html) + 1)::BIGINT AS n_bytes FROM pages")
+@register("SELECT page_id::VARCHAR AS key, md5(html) AS text_key, strlen(html) AS uncompressed FROM pages")
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads as gzip files, with their unpacked sizes."""
     path = f"{scratch_dir(spark)}/uploads"
-    table(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
-    return readers.read_uploads(spark, path).where("size > 0").agg(F.count("*").alias("n"), F.count_distinct(F.md5("html")).alias("n_texts"), F.sum("uncompressed").cast("long").alias("n_bytes"))
+    write_named(packed_rows(table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html.gz")).alias("name"), F.col("html").alias("value"))), path, together=False)
+    return readers.read_uploads(spark, path).where("size > 0 AND refused IS NULL").select("key", F.md5("html").alias("text_key"), "uncompressed")
 
 
 @register(
@@ -208,24 +212,32 @@ def upload_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.latest_uploads(rows).select("task_id", "upload_id")
 
 
-@register("SELECT CASE page_id % 3 WHEN 1 THEN 'not_gzip' WHEN 2 THEN 'not_gzip' END AS refused, count(*) AS n, CASE WHEN page_id % 3 = 0 THEN sum(strlen(html) + 1) END::BIGINT AS n_bytes FROM pages GROUP BY page_id % 3 HAVING page_id % 3 = 0 UNION ALL SELECT 'not_gzip', count(*), NULL FROM pages WHERE page_id % 3 <> 0")
+@register("SELECT page_id::VARCHAR AS key, CASE WHEN page_id % 3 = 2 THEN 'not_gzip' WHEN strlen(html) > 3000 THEN 'too_large_uncompressed' WHEN page_id % 3 = 1 THEN 'not_gzip' END AS refused, CASE WHEN page_id % 3 = 0 AND strlen(html) <= 3000 THEN strlen(html) END AS uncompressed FROM pages")
 def upload_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads unpacked to their end: whole gzip data, data cut short, and text with gzip's first bytes."""
+    """Uploads judged as they are read: whole gzip data within a limit or beyond it, data cut short, and text with gzip's first bytes."""
     path = f"{scratch_dir(spark)}/gz"
-    table(spark, sf_dir, "pages").select("html", (F.col("page_id") % 3).alias("kind")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").partitionBy("kind").text(path)
-    files = spark.read.format("binaryFile").load(path)
-    k, c = F.col("kind"), F.col("content")
-    sent = files.select(F.col("path").alias("upload_id"), "kind", F.when(k == 0, c).when(k == 1, F.substring(c, 1, F.length(c) - 9)).otherwise(F.concat(F.unhex(F.lit("1F8B")), F.unhex(F.lit("616263")))).alias("content"))
-    return sinks.gzip_verdict(sent).groupBy("refused").agg(F.count("*").alias("n"), F.sum(F.when(F.col("refused").isNull(), F.col("uncompressed"))).alias("n_bytes"))
+    rows = packed_rows(table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html.gz")).alias("name"), F.col("html").alias("value")))
+    k, c = F.split_part("name", F.lit("."), F.lit(1)).cast("long") % 3, F.col("data")
+    write_named(rows.select("name", F.when(k == 0, c).when(k == 1, F.substring(c, 1, F.length(c) - 4)).otherwise(F.concat(F.unhex(F.lit("1F8B")), F.unhex(F.lit("616263")))).alias("data")), path, together=False)
+    return readers.read_uploads(spark, path, maxUncompressed=3000).select("key", "refused", F.when(F.col("refused").isNull(), F.col("uncompressed")).alias("uncompressed"))
 
 
-@register("SELECT c_mktsegment AS keyword, 'n' || c_nationkey || ' x' AS location, count(*) AS n, min(c_mktsegment || ' in n' || c_nationkey || '/ x') AS category FROM customer GROUP BY c_mktsegment, c_nationkey")
+@register(
+    """WITH c AS (SELECT c_custkey::VARCHAR AS id, c_mktsegment AS keyword, 'n' || c_nationkey || ' x' AS location, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS tier, (c_custkey % 50)::INT AS reviews, c_mktsegment || ' in n' || c_nationkey || '/ x' AS category FROM customer)
+SELECT keyword, location, id, (row_number() OVER (PARTITION BY keyword, location ORDER BY tier, -reviews, id))::INT AS place, category, (row_number() OVER (ORDER BY tier, -reviews, id))::INT AS master_place FROM c"""
+)
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A delivery written by keyword and location, with the consolidated table, read again."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("search_keyword"), F.concat(F.lit("n"), "c_nationkey", F.lit("/ x")).alias("search_location"), F.lit("Premium").alias("data_status"), F.lit(1).alias("tier"))
+    """A delivery written to a file for each search and the master file, and read again with each row's place in its files."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), F.col("c_mktsegment").alias("search_keyword"), F.concat(F.lit("n"), "c_nationkey", F.lit("/ x")).alias("search_location"), (k % 50).cast("int").alias("reviews"), F.when(k % 3 == 0, "Fallback").otherwise("Premium").alias("data_status"), F.when(k % 3 == 0, 2).otherwise(1).alias("tier"))
     folder = sinks.write_export(rows, scratch_dir(spark), "o/1", "A: client")
-    master = spark.read.csv(f"{folder}/master", header=True, schema="id string, search_keyword string, search_location string, category string").select("id", "category")
-    return spark.read.schema("id string, keyword string, location string").csv(f"{folder}/by_search", header=True).join(master, "id").groupBy("keyword", "location").agg(F.count("*").alias("n"), F.min("category").alias("category"))
+    lines = lambda glob: spark.read.text(f"{folder}/{glob}", wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("place", "line"))
+    part = lambda i: F.url_decode(F.element_at(F.split("p", "/"), i))
+    # a byte order mark and the header are the first line of every file
+    marked = lambda names: (F.col("place") > 0) | F.when(F.col("line") == "\ufeff" + names, False)
+    own = lines("*/*.csv").where(marked("id,reviews")).select(part(-2).alias("keyword"), F.replace(part(-1), F.lit(".csv"), F.lit("")).alias("location"), F.split_part("line", F.lit(","), F.lit(1)).alias("id"), "place")
+    master = lines("o1_Master.csv").where(marked("id,search_keyword,search_location,reviews,Category")).select(F.split_part("line", F.lit(","), F.lit(1)).alias("id"), F.split_part("line", F.lit(","), F.lit(5)).alias("category"), F.col("place").alias("master_place"))
+    return own.join(master, "id")
 
 
 @register("SELECT count(*) AS total, count_if(event_type = 'click')::BIGINT AS online, count_if(event_type = 'view')::BIGINT AS offline, count_if(event_type = 'purchase')::BIGINT AS failed, 0::BIGINT AS dead FROM events")
@@ -413,19 +425,21 @@ def live_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT page_id::VARCHAR AS id, 'Premium' AS data_status, 'a@b.co, p' || page_id || '@x.org' AS emails, '+91 9876543210' AS alternative_phones, CASE WHEN page_id % 2 = 0 THEN 'Second' ELSE '' END AS title,
-  CASE WHEN page_id % 5 = 0 THEN 'Dead' ELSE '' END AS lead_status, (CASE WHEN page_id % 5 = 0 THEN 40 ELSE 70 END + CASE WHEN page_id % 2 = 0 THEN 10 ELSE 0 END)::INT AS quality_score FROM pages"""
+    r"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 5 = 0 THEN 'Fallback' ELSE 'Premium' END AS data_status, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'a@b.co, ' END || 'p' || page_id || '@x.org' AS emails, '+91 9876543210' AS alternative_phones,
+  CASE WHEN page_id % 3 = 0 THEN trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) WHEN page_id % 2 = 0 THEN 'Second' ELSE '' END AS title,
+  CASE WHEN page_id % 5 = 0 THEN 'Dead' ELSE '' END AS lead_status, (CASE WHEN page_id % 5 = 0 THEN 40 ELSE 70 END + CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 10 ELSE 0 END)::INT AS quality_score FROM pages"""
 )
 def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads enriched from a home page without an email and a contact page; the later page's facts win, an empty title too."""
+    """Leads enriched from the stored home page, whose digits and @ are taken out and a phone put in, and two thirds from a
+    contact page as well; the later page's facts win, an empty title too. Dead sites fall back."""
     p, k = table(spark, sf_dir, "pages"), F.col("page_id")
-    home = p.select(k.cast("string").alias("id"), F.lit(0).alias("page_no"), F.col("url").alias("base_url"), F.lit("<title>First</title><p>Call +91 98765 43210</p>").alias("html"))
-    more = p.select(k.cast("string").alias("id"), F.lit(1).alias("page_no"), F.col("url").alias("base_url"), F.concat(F.when(k % 2 == 0, "<title>Second</title><p>our reviews</p>").otherwise("<p>mail</p>"), F.lit("<a href='mailto:A@b.co'>m</a>")).alias("html"))
+    plain = F.translate(F.col("html"), "@0123456789", "")
+    home = p.select(k.cast("string").alias("id"), F.lit(0).alias("page_no"), F.col("url").alias("base_url"), F.concat(plain, F.lit("<p>Call +91 98765 43210</p>")).alias("html"))
+    more = p.where(k % 3 != 0).select(k.cast("string").alias("id"), F.lit(1).alias("page_no"), F.col("url").alias("base_url"), F.concat(F.when(k % 2 == 0, "<title>Second</title><p>our reviews</p>").otherwise("<p>mail</p>"), F.lit("<a href='mailto:A@b.co'>m</a>")).alias("html"))
     base = enrich.defaults(_lead_rows(p.select(k.cast("string").alias("id"), F.lit("Landline").alias("phone_type"), F.concat(F.lit("p"), k, F.lit("@x.org")).alias("emails"), F.lit("").alias("lead_status"))), _now())
     checks = p.select(k.cast("string").alias("id"), F.when(k % 5 == 0, 404).otherwise(200).alias("http_status"), F.lit("valid").alias("ssl_status"), F.lit("exists").alias("domain_state"))
     found = enrich.per_lead(enrich.page_findings(home.union(more)))
-    out = enrich.enrich(base, found, checks, _now()).select("id", "data_status", "emails", "alternative_phones", "raw_extracted.title", "lead_status", "quality_score")
-    return out.withColumn("data_status", F.when(F.col("lead_status") == "Dead", F.replace("data_status", F.lit("Fallback"), F.lit("Premium"))).otherwise(F.col("data_status")))
+    return enrich.enrich(base, found, checks, _now()).select("id", "data_status", "emails", "alternative_phones", "raw_extracted.title", "lead_status", "quality_score")
 
 
 # --- cards ------------------------------------------------------------------------------------------------------------
@@ -433,19 +447,24 @@ def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CARD = "<div class='Nv2PK'><a class='hfpxzc' href='https://maps/%d' aria-label='Shop %d'></a><a data-value='Website' href='/url?q=https://shop%d.com&amp;x=1'></a><span class='MW4etd'>4.%d</span><span class='UY7F9'>(1,%03d)</span><div class='W4Efsd'><span>Bakery · Street</span></div>%s</div>"
 
 
+def _card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages of up to 20 cards, each twice; some are closed, some give a phone in the text, some in its own element."""
+    k = F.col("c_custkey")
+    more = F.when(k % 4 == 0, "<span>permanently closed</span>").when(k % 4 == 1, F.format_string("<p>call 98765 4%04d</p>", k % 10000)).when(k % 4 == 2, F.format_string("<span class='UsdlK'>098765 5%04d</span>", k % 10000)).otherwise("")
+    card = F.format_string(_CARD, k, k, k, k % 10, k * 7 % 1000, more)
+    html = F.concat_ws("", F.collect_list(card), F.collect_list(card))
+    head = F.struct(F.lit("h").alias("hash_id"), F.array(F.lit("o")).alias("order_ids"), F.lit("Matrix").alias("query_type"), F.lit("2024-03-01 00:00:00").alias("scraped_date"), F.lit("bread").alias("Search_Keyword"), F.concat(F.lit("p"), "page").alias("Search_Location"), F.lit(1200).alias("minimum_reviews"))
+    return table(spark, sf_dir, "customer").withColumn("page", F.expr("c_custkey div 20")).groupBy("page").agg(html.alias("html")).select(head.alias("header"), "html")
+
+
 @register(
-    """SELECT md5('https://maps/' || c_custkey) AS id, 'Shop ' || c_custkey AS name, 'https://shop' || c_custkey || '.com' AS website, ('4.' || (c_custkey % 10))::DOUBLE AS rating, (1000 + c_custkey % 1000)::INT AS reviews, 'Bakery' AS category, 'n' || c_nationkey AS search_location
-FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 1000 >= 200"""
+    """SELECT md5('https://maps/' || c_custkey) AS id, 'Shop ' || c_custkey AS name, 'https://shop' || c_custkey || '.com' AS website, ('4.' || (c_custkey % 10))::DOUBLE AS rating, (1000 + c_custkey * 7 % 1000)::INT AS reviews, 'Bakery' AS category, 'p' || (c_custkey // 20) AS search_location,
+  CASE c_custkey % 4 WHEN 1 THEN '987654' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') WHEN 2 THEN '987655' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') ELSE '' END AS phone, CASE WHEN c_custkey % 4 IN (1, 2) THEN 'Mobile' ELSE '' END AS phone_type
+FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey * 7 % 1000 >= 200"""
 )
 def card_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of result pages to leads: closed ones and those of few reviews are dropped, each twice on its page."""
-    k = F.col("c_custkey")
-    closed = F.when(k % 4 == 0, "<span>permanently closed</span>").otherwise("")
-    card = F.format_string(_CARD, k, k, k, k % 10, k % 1000, closed)
-    html = F.concat_ws("", F.collect_list(card), F.collect_list(card))
-    head = F.struct(F.lit("h").alias("hash_id"), F.array(F.lit("o")).alias("order_ids"), F.lit("Matrix").alias("query_type"), F.lit("2024-03-01 00:00:00").alias("scraped_date"), F.lit("bread").alias("Search_Keyword"), F.concat(F.lit("n"), "c_nationkey").alias("Search_Location"), F.lit(1200).alias("minimum_reviews"))
-    found = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(html.alias("html")).select(head.alias("header"), "html")
-    return leads.dedup_leads(leads.parse_pages(found)).select("id", "name", "website", "rating", "reviews", "category", "search_location")
+    return leads.dedup_leads(leads.parse_pages(_card_pages(spark, sf_dir))).select("id", "name", "website", "rating", "reviews", "category", "search_location", "phone", "phone_type")
 
 
 @register("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'done' WHEN page_id % 5 = 0 THEN 'missing' ELSE 'todo' END AS state FROM pages")

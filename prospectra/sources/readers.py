@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import canonical_header, keep_filled, strip
 from ..schemas import ORDER, PAGE_HEADER
+from .uploads import read_gzip
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +69,12 @@ def split_page(value: Column, lenient: bool = False) -> tuple[Column, Column]:
     return header, F.when(~value.startswith("<!--"), value).otherwise(rest) if lenient else rest
 
 
-def read_pages(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """Stored pages (plain or gzip): file, key (name up to the first dot), header and html."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+def read_pages(spark: SparkSession, path: str, lenient: bool = False, **limits: int) -> DataFrame:
+    """Stored pages (plain or gzip): file, key (name up to the first dot), header and html. Pages beyond a limit (maxBytes,
+    maxUncompressed) and unsound ones are left out; ``read_gzip`` tells why."""
+    raw = read_gzip(spark, path, plain=True, **limits).where("refused IS NULL").select("key", F.col("content").alias("value"), F.substring_index("path", "/", -1).alias("file"))
     header, body = split_page(F.col("value"), lenient)
-    return raw.select("file", F.split_part("file", F.lit("."), F.lit(1)).alias("key"), header.alias("header"), body.alias("html"))
+    return raw.select("file", "key", header.alias("header"), body.alias("html"))
 
 
 def pages_for_tasks(pages: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -84,10 +86,9 @@ def pages_for_tasks(pages: DataFrame, tasks: DataFrame) -> DataFrame:
     return pages.drop("header").join(tasks, pages.key == tasks.task_id).select("task_id", "task_key", made.alias("header"), "html")
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Gzip uploads as text with their task key and sizes; undecodable bytes become replacement characters."""
-    text = spark.read.text(path, wholetext=True).select(F.split_part(F.col("_metadata.file_name"), F.lit("."), F.lit(1)).alias("key"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("html"))
-    return text.withColumn("uncompressed", F.octet_length("html"))
+def read_uploads(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """Gzip uploads: key (of their task), size, uncompressed, refused (why, or null) and html (null if refused)."""
+    return read_gzip(spark, path, **limits).select("key", "size", "uncompressed", "refused", F.col("content").alias("html"))
 
 
 def read_buffer(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import io
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order_ids import literal
-from ..functions.text import iso_text, one_line, safe_filename
+from ..functions.text import iso_text, number_or_zero, one_line, safe_filename
 from ..schemas import LEAD_COLUMNS
+from .named_files import write_named
+from .uploads import verdict
 
 
 def append_leads(leads: DataFrame, path: str) -> None:
@@ -92,27 +94,9 @@ def gzip_verdict(uploads: DataFrame, max_uncompressed: int = 1 << 30) -> DataFra
     refused: null, not_gzip for bytes that aren't whole and sound gzip data, or too_large_uncompressed.
     """
 
-    def judge(data: bytes) -> tuple[str | None, int]:
-        size, rest = 0, data
-        while True:
-            unpack = zlib.decompressobj(wbits=31)
-            try:
-                while rest and not unpack.eof:
-                    size += len(unpack.decompress(rest, 1 << 20))
-                    rest = unpack.unconsumed_tail or unpack.unused_data
-                    if size > max_uncompressed:
-                        return "too_large_uncompressed", size
-            except zlib.error:
-                return "not_gzip", size
-            if not unpack.eof:
-                return "not_gzip", size
-            rest = rest.lstrip(b"\0")
-            if not rest:
-                return None, size
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(x.as_py() or b"") for x in batch.column(1)]
+            found = [verdict(io.BytesIO(x.as_py() or b""), max_uncompressed) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["upload_id", "refused", "uncompressed"])
 
     kind = uploads.schema["upload_id"].dataType.simpleString()
@@ -129,15 +113,30 @@ def latest_uploads(uploads: DataFrame) -> DataFrame:
     return uploads.where("refused IS NULL").groupBy("task_id").agg(F.max_by(F.struct(*[c for c in uploads.columns if c != "task_id"]), F.struct("received_at", "upload_id")).alias("u")).select("task_id", "u.*")
 
 
+def csv_line(columns: list[Column]) -> Column:
+    """One line of CSV, with its line end."""
+    return F.concat(F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}), F.lit("\n"))
+
+
 def write_export(ranked: DataFrame, path: str, order_id: str, client_name: str) -> str:
-    """Delivery of an order under ``<order>_<client>``: a folder per keyword and in it one per location, and a consolidated
-    table with a category column. Names are made safe for files. Returns the folder."""
+    """Delivery of an order: ``<order>_<client>/<keyword>/<location>.csv`` for each search and ``<order>_Master.csv``.
+
+    Files start with a byte order mark and a header, rows stand best first (tier, reviews, id); the tier and status aren't
+    told, the master file has a category. Names are made safe for files; searches whose safe names are equal share a
+    file. All files come from one pass over ``ranked``, whose size the order's limit bounds. Returns the folder.
+    """
     safe = lambda name: "".join(c for c in name if c.isalpha() or c.isnumeric() or c in " _-").strip()
     folder = f"{path.rstrip('/')}/{safe(order_id)}_{safe(client_name)}"
-    public = ranked.drop("data_status", "tier")
-    by_search = public.withColumns({"keyword": safe_filename(F.col("search_keyword")), "location": safe_filename(F.col("search_location"))}).drop("search_keyword", "search_location")
-    csv_ready(by_search).write.mode("overwrite").partitionBy("keyword", "location").csv(f"{folder}/by_search", header=True, escape='"')
-    csv_ready(public.withColumn("category", F.concat("search_keyword", F.lit(" in "), "search_location"))).write.mode("overwrite").csv(f"{folder}/master", header=True, escape='"')
+    ready = csv_ready(ranked)
+    master = [c for c in ready.columns if c not in ("data_status", "tier")]
+    single = [c for c in master if c not in ("search_keyword", "search_location")]
+    head = lambda columns: F.lit("\ufeff" + ",".join(columns) + "\n")
+    one = F.struct(F.concat(safe_filename(F.col("search_keyword")), F.lit("/"), safe_filename(F.col("search_location")), F.lit(".csv")).alias("name"), csv_line([F.col(c) for c in single]).alias("data"), head(single).alias("head"))
+    category = F.concat("search_keyword", F.lit(" in "), "search_location").alias("Category")
+    whole = F.struct(F.lit(f"{safe(order_id)}_Master.csv").alias("name"), csv_line([*[F.col(c) for c in master], category]).alias("data"), head([*master, "Category"]).alias("head"))
+    best = {"_tier": F.col("tier") if "tier" in ranked.columns else F.lit(0), "_reviews": -number_or_zero(F.col("reviews")) if "reviews" in ranked.columns else F.lit(0)}
+    rows = ready.withColumns(best).select("_tier", "_reviews", F.col("id").alias("_id"), F.explode(F.array(one, whole)).alias("f")).select("f.*", "_tier", "_reviews", "_id")
+    write_named(rows, folder, order=["_tier", "_reviews", "_id"])
     return folder
 
 

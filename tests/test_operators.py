@@ -195,3 +195,12 @@ def test_merge_stream_runs_batch_by_batch(spark, tmp_path):
 def test_contract_bounds(spark):
     rows = spark.createDataFrame([("", "u", 0), ("k" * 257, "u", -1), ("k", "u", 1)], "task_key string, target_url string, minimum_reviews int")
     assert [r["e"] for r in rows.select(tasks.contract_errors(rows.columns).alias("e")).collect()] == [["task_key"], ["task_key", "minimum_reviews"], []]
+
+
+def test_merge_keeps_one_row_an_id(spark):
+    row = lambda **k: {**dict.fromkeys(LEAD_COLUMNS), **k}
+    master = spark.createDataFrame([row(id="1", name="old", order_ids=["a"])], LEAD)
+    staged = [row(id="1", name="late", last_updated_date=NOW, order_ids=["b"]), row(id="1", name="early", last_updated_date=NOW - timedelta(1)), row(id="2", name="y", url="u", last_updated_date=NOW), row(id="2", name="x", url="v", last_updated_date=NOW - timedelta(2)), row(id="2", name="w")]
+    out = {r["id"]: r for r in merge.merge_leads(master, spark.createDataFrame(staged, LEAD)).collect()}
+    assert merge.merge_leads(master, spark.createDataFrame(staged, LEAD)).count() == 2
+    assert out["1"]["name"] == "late" and out["1"]["order_ids"] == ["a", "b"] and (out["2"]["name"], out["2"]["url"]) == ("y", "u")
