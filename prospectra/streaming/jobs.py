@@ -1,14 +1,11 @@
-"""Incremental runs: first-seen dedup, leads merged batch by batch, and lease timers."""
+"""Incremental runs: first-seen dedup within a watermark, and leads merged batch by batch into their store."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lead_store import LeadStore
 from ..operators.leads import dedup_leads, parse_pages
 from ..operators.merge import upsert_raw_leads
 
@@ -18,62 +15,15 @@ def dedup_stream(rows: DataFrame, keys: list[str], at: str, delay: str = "7 days
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_stream(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Parsed pages into a versioned table of leads: each batch reads the snapshot before it and writes its own.
+def merge_stream(pages: DataFrame, store: LeadStore, checkpoint: str, keep: int = 3) -> StreamingQuery:
+    """Parsed pages into a store of leads: each batch rewrites the buckets that its leads are in.
 
-    A batch that runs again writes the same snapshot again, as all its times are the rows' own, so every batch takes
-    effect once. The two snapshots before the newest stay for readers; older ones are removed.
+    A batch that runs again gives the same store again, as it starts from the manifest before it and all its times are the
+    rows' own, so every batch takes effect once. Folders that the newest ``keep`` manifests don't name are removed.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        parsed = dedup_leads(parse_pages(batch))
-        before = latest_snapshot(spark, store, number)
-        out = parsed.withColumns({"data_status": F.lit("RAW"), "first_seen_date": F.col("scraped_date"), "last_updated_date": F.col("scraped_date")}) if before is None else upsert_raw_leads(before, parsed)
-        out.write.mode("overwrite").parquet(f"{store}/v={number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number - 3}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        store.apply(dedup_leads(parse_pages(batch)), number, upsert_raw_leads)
+        store.vacuum(keep)
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_snapshot(spark: SparkSession, store: str, before: int) -> DataFrame | None:
-    """The snapshot of the last batch before ``before``; None for the first."""
-    return spark.read.parquet(f"{store}/v={before - 1}") if before > 0 else None
-
-
-class LeaseTimer(StatefulProcessor):
-    """Per task: a claim starts a timer, a submission stops it; a timer that runs out tells of an expired lease."""
-
-    def __init__(self, lease_seconds: int = 900):
-        self.lease_ms = lease_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("at")
-        last = events.iloc[-1]
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
-        if last["event"] == "claim":
-            due = int(last["at"].timestamp() * 1000) + self.lease_ms
-            self.due.update((due,))
-            self.handle.registerTimer(due)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield pd.DataFrame({"task_id": [key[0]], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
-
-    def close(self) -> None:
-        pass
-
-
-def expired_leases(events: DataFrame, lease_seconds: int = 900, delay: str = "1 minute") -> DataFrame:
-    """(task_id, expired_ms) of claims (task_id, event, at) that no submission follows in time."""
-    return events.withWatermark("at", delay).groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=LeaseTimer(lease_seconds), outputStructType="task_id string, expired_ms bigint", outputMode="append", timeMode="EventTime"
-    )

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from prospectra.plans import catalogue, more  # noqa: F401
+from prospectra.plans import catalogue, incremental, more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prospectra.operators import enrich, export, leads, merge, orders, pages, tasks, validate
+from prospectra.operators.lead_store import LeadStore
 from prospectra.schemas import LEAD, LEAD_COLUMNS, TASK
 from prospectra.sources import readers, sinks
 from prospectra.streaming import jobs
@@ -179,16 +180,16 @@ def test_batch_mismatch_raises(spark):
 
 
 def test_merge_stream_runs_batch_by_batch(spark, tmp_path):
-    """Two batches of pages: one lead comes twice, the snapshot of the second batch holds both."""
+    """Two batches of pages: one lead comes twice, the store holds both after the second."""
     card = "<div class='Nv2PK'><a class='hfpxzc' href='https://maps/{0}' aria-label='Shop {0}'></a><span class='UY7F9'>(9)</span><a data-value='Website' href='https://s{0}.com'></a></div>"
     rows = lambda *k: spark.createDataFrame([("".join(card.format(x) for x in k),)], "html string").selectExpr("named_struct('hash_id', 'h', 'order_ids', array('o%s'), 'query_type', 'q', 'scraped_date', '2024-01-0%s 00:00:00', 'Search_Keyword', 'k', 'Search_Location', 'l', 'minimum_reviews', 0) AS header" % (k[0], k[0]), "html")
     query = None
     for k in ((1,), (2, 1)):
         rows(*k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(rows(1).schema).parquet(str(tmp_path / "in"))
-        query = jobs.merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck"))
+        query = jobs.merge_stream(stream, LeadStore(spark, str(tmp_path / "store"), 8), str(tmp_path / "ck"))
         query.awaitTermination()
-    out = {r["name"]: r for r in jobs.latest_snapshot(spark, str(tmp_path / "store"), 2).collect()}
+    out = {r["name"]: r for r in LeadStore(spark, str(tmp_path / "store"), 8).leads().collect()}
     assert set(out) == {"Shop 1", "Shop 2"} and out["Shop 1"]["order_ids"] == ["o1", "o2"]
 
 
