@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, let, small_enough, words_spaced
 
 MIN_WORDS = 50
-#: Ratio: (least spread, whether low values are odd too).
+#: Ratio: (share of one event in a document, how many of them are one oddity, whether low values are odd too). One symbol,
+#: one repeated line, two copies of eight words; one character more or less in a document.
 RATIOS = {
-    "symbols_per_word": (0.05, False),
-    "dup_line_share": (0.10, False),
-    "repeat_share": (0.10, False),
-    "mean_word": (0.75, True),
+    "symbols_per_word": ("per_word", 1, False),
+    "dup_line_share": ("per_line", 1, False),
+    "repeat_share": ("per_word", 16, False),
+    "mean_word": ("per_word", 1, True),
 }
-#: Fences stand so many spreads (inner half of the values) outside the quartiles.
-REACH = 3.0
+#: Fences stand so many spreads outside the quartiles. A spread is what the inner half of the group's values spans, or one
+#: oddity in the group's median document, if that is more, as a ratio can't be told finer.
+REACH = 5.0
 #: Documents that the language's distribution counts for in each of its sources, and that of all in each language.
 PRIOR = 200
 #: Bins of a sketch grow by this factor, so a quantile is told within 1 %; values under LEAST are one bin with zero.
@@ -68,24 +70,26 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def _ratios(df: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return df.withColumns({"symbols_per_word": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n, "mean_word": F.col("word_chars") / n})
+    return df.withColumns({"symbols_per_word": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n, "mean_word": F.col("word_chars") / n, "per_word": 1 / n, "per_line": 1 / F.greatest(F.col("n_lines"), F.lit(1))})
 
 
 def _bin(value: Column) -> Column:
     return F.when(value < LEAST, F.lit(None).cast("int")).otherwise(F.ceil(F.log(value) / F.log(F.lit(GROWTH))).cast("int"))
 
 
-def _middle(bin_: Column) -> Column:
-    return F.coalesce(F.pow(F.lit(GROWTH), bin_.cast("double")) * (2.0 / (1.0 + GROWTH)), F.lit(0.0))
+def _edge(bin_: Column, upper: bool) -> Column:
+    """The end of a bin; the bin of zero ends at zero, so values that all are zero have no spread."""
+    return F.coalesce(F.pow(F.lit(GROWTH), bin_.cast("double") - (0 if upper else 1)), F.lit(0.0))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bin, n): a quantile sketch of each ratio per language and source, as counts of logarithmic bins.
+    """(lang, source, ratio, bin, n): a quantile sketch of each ratio per language and source, as counts of logarithmic bins,
+    and of the shares that one word and one line have in a document.
 
     Sketches merge by adding counts, so they are partial aggregates, the same in every run. A ratio has a few thousand
     bins at most, whatever the rows. Null is the bin of zero.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("ratio"), _bin(F.col(c)).alias("bin")) for c in RATIOS])).alias("b")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("ratio"), _bin(F.col(c)).alias("bin")) for c in (*RATIOS, "per_word", "per_line")])).alias("b")
     return measured.select("lang", "source", pairs).groupBy("lang", "source", "b.ratio", "b.bin").agg(F.count("*").alias("n"))
 
 
@@ -109,13 +113,13 @@ def fences(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     joint = own.select(*lead, "bin", (F.col("n") * _UNIT).alias("w")).union(from_lang).union(from_all).groupBy(*lead, "bin").agg(F.sum("w").alias("w"))
     bins = Window.partitionBy(*lead)  # a sketch's bins, bounded
     upto = joint.withColumn("upto", F.sum("w").over(bins.orderBy(F.col("bin").asc_nulls_first()))).withColumn("share", F.col("upto") / F.sum("w").over(bins))
-    at = lambda q: F.min(F.when(F.col("share") >= q, _middle(F.col("bin"))))
-    quartiles = upto.groupBy(*lead).agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    at = lambda q, upper: F.min(F.when(F.col("share") >= q, _edge(F.col("bin"), upper)))
+    quartiles = upto.groupBy(*lead).agg(at(0.25, False).alias("q1"), at(0.5, True).alias("q2"), at(0.75, True).alias("q3"))
+    of = lambda name, x: F.max(F.when(F.col("ratio") == name, F.col(x)))
     out = []
-    for c, (floor, low) in RATIOS.items():
-        mine = lambda x, c=c: F.max(F.when(F.col("ratio") == c, x))
-        reach = F.lit(REACH) * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-        out += [mine(F.col("q3") + reach).alias(f"{c}_high"), *([mine(F.col("q1") - reach).alias(f"{c}_low")] if low else [])]
+    for c, (event, times, low) in RATIOS.items():
+        reach = F.lit(REACH) * F.greatest(of(c, "q3") - of(c, "q1"), times * of(event, "q2"))
+        out += [(of(c, "q3") + reach).alias(f"{c}_high"), *([(of(c, "q1") - reach).alias(f"{c}_low")] if low else [])]
     return quartiles.groupBy("lang", "source").agg(*out)
 
 
@@ -134,5 +138,5 @@ def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     if small_enough(limits, BROADCAST_GROUPS):
         limits = F.broadcast(limits)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    inside = reduce(lambda a, b: a & b, [F.col(c) <= F.col(f"{c}_high") for c in RATIOS] + [F.col(c) >= F.col(f"{c}_low") for c, (_, low) in RATIOS.items() if low])
+    inside = reduce(lambda a, b: a & b, [F.col(c) <= F.col(f"{c}_high") for c in RATIOS] + [F.col(c) >= F.col(f"{c}_low") for c, (*_, low) in RATIOS.items() if low])
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))

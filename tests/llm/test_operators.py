@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -692,8 +693,42 @@ def test_toxicity_forward_by_hand():
     assert net.logits(long)[0] != net.logits(long)[1]
 
 
+def brute_verdicts(rows, got):
+    """base_failed and kept of (doc_id, text, lang, source) from plain loops: sketches of log bins, leaning on the language's and on all."""
+    ratios, failed = {}, {}
+    for k, text, lang, source in rows:
+        g = got[k]
+        lines = len([x for x in (text or "").split("\n") if re.search(SPACE, x)])
+        n = max(1, g["n_words"])
+        ratios[k] = {"symbols_per_word": g["n_symbols"] / n, "dup_line_share": g["n_dup_lines"] / max(1, lines), "repeat_share": g["n_repeat_words"] / n, "mean_word": g["word_chars"] / n, "per_word": 1 / n, "per_line": 1 / max(1, lines)}
+        failed[k] = g["n_words"] < 50 or 100 * g["n_repeat_words"] > 50 * g["n_words"]
+    bin_of = lambda x: None if x < quality.LEAST else math.ceil(math.log(x) / math.log(quality.GROWTH))
+    good = [r for r in rows if not failed[r[0]]]
+    names = [*quality.RATIOS, "per_word", "per_line"]
+    every = {c: Counter(bin_of(ratios[r[0]][c]) for r in good) for c in names}
+    fence = {}
+    for lang, source in {(r[2], r[3]) for r in good}:
+        of_lang = [r[0] for r in good if r[2] == lang]
+        own = [r[0] for r in good if (r[2], r[3]) == (lang, source)]
+        q = {}
+        for c in names:
+            joint, p, n_lang = Counter(bin_of(ratios[k][c]) for k in own), quality.PRIOR, len(of_lang)
+            for b, x in Counter(bin_of(ratios[k][c]) for k in of_lang).items():
+                joint[b] += p * x / (n_lang + p)
+            for b, x in every[c].items():
+                joint[b] += p * p * x / len(good) / (n_lang + p)
+            bins, total = sorted(joint, key=lambda b: (b is not None, b)), sum(joint.values())
+            upto = np.cumsum([joint[b] for b in bins]) / total
+            at = lambda share, upper: (lambda b: 0.0 if b is None else quality.GROWTH ** (b - (not upper)))(bins[int(np.argmax(upto >= share))])  # noqa: E731, B023
+            q[c] = at(0.25, False), at(0.5, True), at(0.75, True)
+        for c, (event, times, low) in quality.RATIOS.items():
+            reach = quality.REACH * max(q[c][2] - q[c][0], times * q[event][1])
+            fence[lang, source, c] = (q[c][0] - reach if low else -1.0, q[c][2] + reach)
+    inside = lambda k, lang, source: all(fence[lang, source, c][0] <= ratios[k][c] <= fence[lang, source, c][1] for c in quality.RATIOS)
+    return {k: (failed[k], not failed[k] and inside(k, lang, source)) for k, _, lang, source in rows}, fence
+
+
 def test_quality_verdicts_by_brute_force(spark):
-    """base_failed and kept from plain loops: sketches of log bins, leaning on the language's and on all."""
     rng = random.Random(15)
     rows = []
     for k in range(500):
@@ -707,40 +742,22 @@ def test_quality_verdicts_by_brute_force(spark):
         rows.append((k, text if k % 50 else None, rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s1", "s2", None])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     got = {r["doc_id"]: r.asDict() for r in quality.judge(docs).collect()}
-    again = {r["doc_id"]: r.asDict() for r in quality.judge(docs.repartition(7)).collect()}
-    assert got == again
-    ratios, failed = {}, {}
-    for k, text, lang, source in rows:
-        g = got[k]
-        lines = len([x for x in (text or "").split("\n") if re.search(SPACE, x)])
-        n = max(1, g["n_words"])
-        ratios[k] = {"symbols_per_word": g["n_symbols"] / n, "dup_line_share": g["n_dup_lines"] / max(1, lines), "repeat_share": g["n_repeat_words"] / n, "mean_word": g["word_chars"] / n}
-        failed[k] = g["n_words"] < 50 or 100 * g["n_repeat_words"] > 50 * g["n_words"]
-    bin_of = lambda x: None if x < quality.LEAST else math.ceil(math.log(x) / math.log(quality.GROWTH))
-    good = [r for r in rows if not failed[r[0]]]
-    for k, _, lang, source in rows:
-        kept = not failed[k]
-        for c, (floor, low) in quality.RATIOS.items():
-            every = Counter(bin_of(ratios[r[0]][c]) for r in good)
-            mine = Counter(bin_of(ratios[r[0]][c]) for r in good if r[2] == lang)
-            joint = Counter()
-            for r in good:
-                if (r[2], r[3]) == (lang, source):
-                    joint[bin_of(ratios[r[0]][c])] += 1
-            if not joint:
-                continue
-            n_lang, p = sum(mine.values()), quality.PRIOR
-            for b, x in mine.items():
-                joint[b] += p * x / (n_lang + p)
-            for b, x in every.items():
-                joint[b] += p * p * x / sum(every.values()) / (n_lang + p)
-            bins, total = sorted(joint, key=lambda b: (b is not None, b)), sum(joint.values())
-            upto = np.cumsum([joint[b] for b in bins]) / total
-            at = lambda q: (lambda b: 0.0 if b is None else quality.GROWTH**b * 2 / (1 + quality.GROWTH))(bins[int(np.argmax(upto >= q))])  # noqa: E731, B023
-            reach = quality.REACH * max(at(0.75) - at(0.25), floor)
-            kept = kept and ratios[k][c] <= at(0.75) + reach and (not low or ratios[k][c] >= at(0.25) - reach)
-        assert (got[k]["base_failed"], got[k]["kept"]) == (failed[k], kept), k
-    assert 0 < sum(g["kept"] for g in got.values()) < sum(not f for f in failed.values())
+    assert got == {r["doc_id"]: r.asDict() for r in quality.judge(docs.repartition(7)).collect()}
+    want, _ = brute_verdicts(rows, got)
+    assert {k: (g["base_failed"], g["kept"]) for k, g in got.items()} == want
+    assert 0 < sum(g["kept"] for g in got.values()) < sum(not f for f, _ in want.values())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_quality_fences_of_the_given_tables(spark):
+    """The groups of the test tables: verdicts by plain loops, and fences that differ between languages and sources."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"]: r.asDict() for r in quality.judge(docs).collect()}
+    want, fence = brute_verdicts(rows, got)
+    assert {k: (g["base_failed"], g["kept"]) for k, g in got.items()} == want
+    for c in quality.RATIOS:
+        assert len({fence[x][1] for x in fence if x[2] == c}) > 1
 
 
 def test_empty_tables(spark, empty):
