@@ -497,6 +497,41 @@ def test_article_tags_are_only_a_prior():
     assert html_blocks.main_text("<div><article>a teaser</article></div>" + "<p><a href=x>only a link</a></p>" * 4 + f"<div>{'main text ' * 20}</div>") == ("main text " * 20).strip()
 
 
+def test_dives_without_telling_names():
+    """Menus, adverts and footers go by the distribution alone, short closing paragraphs stay."""
+    paragraphs = [f"<p>{'some running text of the page ' * 6}no. {k}.</p>" for k in range(5)] + ["<p>Short end.</p>"] * 4
+    text = "\n".join(re.sub("</?p>", "", p) for p in paragraphs)
+    menu = "".join(f"<div>Entry {k}</div>" for k in range(6))
+    assert html_blocks.main_text(menu + "".join(paragraphs) + menu) == text
+    assert html_blocks.main_text(f"<div class=x1>{'buy this now, ' * 4}</div><article><h1>Head</h1>{''.join(paragraphs)}</article><div>(c) somebody, all rights</div>") == "Head\n" + text
+    # a list inside the text, and two short lines at an end, are no menu
+    inside = "".join(paragraphs[:3]) + menu + "".join(paragraphs[3:])
+    assert html_blocks.main_text(inside).count("Entry") == 6 and html_blocks.main_text("<p>by me</p><p>today</p>" + paragraphs[0]).startswith("by me\ntoday\n")
+    # names weigh against lines, a heading weighs what follows it
+    assert html_blocks.weights_of([("x" * 9, 2, html_blocks.AROUND), ("ab", 0, html_blocks.HEADING), ("y" * 30, 0, html_blocks.PLAIN), ("z" * 4, 0, html_blocks.INSIDE)]) == [-7.0, 30.0, 30.0, 8.0]
+    assert html_blocks.typical([1.0, 1.0, 50.0, 40.0, -9.0]) == 50.0 and html_blocks.typical([]) == 0.0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_pages_without_class_words(spark, monkeypatch):
+    """With the words for classes emptied the distribution takes out the adverts, so F1 of words stays over 0.97."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    article = lambda page: re.search("<article>(.*?)</article>", page, re.S)[1]
+    want = [Counter(" ".join(line for line, *_ in html_blocks.lines_of(article(p))).split()) for p in pages]
+    monkeypatch.setattr(html_blocks, "_ODD", frozenset())
+    got = [Counter(html_blocks.main_text(p).split()) for p in pages]
+    f1 = [2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) for a, b in zip(want, got)]
+    decided = sum(len([1 for k, line in enumerate(lines) if line[2] != html_blocks.AROUND]) > len(html_blocks.kept_lines(lines)) for lines in map(html_blocks.lines_of, pages))
+    assert sum(f1) / len(f1) > 0.97 and decided > 0.9 * len(pages)
+
+
+def test_broken_markup_takes_time_in_proportion():
+    began = time.time()
+    for page in ("<div>" * 20_000 + "</p>" * 20_000, "<noscript>" * 20_000, "<svg>x" * 20_000, "<title>x" * 20_000, "<span class=ad>" * 20_000 + "</b>" * 20_000, "<div>" * 20_000 + "</section>" * 20_000):
+        html_blocks.main_text(page)
+    assert time.time() - began < 6 * 0.5
+
+
 def test_html_edges(spark):
     cases = {
         "<div class='ad-free-article'><p>text</p></div><div class='related-work'>more</div>": "text\nmore",
