@@ -205,3 +205,29 @@ def ssl_state(not_after: Column, now: Column) -> Column:
     """State of a certificate from its stored end: valid, expired, or invalid where none can be read."""
     at = not_after.try_cast("timestamp")
     return F.when(at.isNull(), "invalid").when(at < now, "expired").otherwise("valid")
+
+
+#: Calling codes and the least and most digits of national numbers behind them.
+NUMBERING_PLANS = {
+    "1": ("US", 10, 10), "7": ("RU", 10, 10), "27": ("ZA", 9, 9), "31": ("NL", 9, 9), "32": ("BE", 8, 9), "33": ("FR", 9, 9), "34": ("ES", 9, 9),
+    "41": ("CH", 9, 9), "44": ("GB", 9, 10), "45": ("DK", 8, 8), "47": ("NO", 8, 8), "48": ("PL", 9, 9), "55": ("BR", 10, 11), "61": ("AU", 9, 9),
+    "65": ("SG", 8, 8), "81": ("JP", 9, 10), "90": ("TR", 10, 10), "91": ("IN", 10, 10), "351": ("PT", 9, 9), "852": ("HK", 8, 8), "971": ("AE", 8, 9),
+}
+
+
+def country_number(raw: Column, home: str = "91") -> Column:
+    """struct(country, code, national, state) of a number as written; null for a text without a digit.
+
+    ``+`` and ``00`` start an international number, whose longest known calling code counts; other numbers are ``home``'s,
+    without zeros in front. state: valid, too_short or too_long by the national numbers of that code, or unknown (country
+    and code are null) where no code is known, as nothing can be said of its length.
+    """
+    text = F.trim(raw)
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    abroad = text.startswith("+") | digits.startswith("00")
+    number = F.when(abroad, F.regexp_replace(digits, "^0+", "")).otherwise(F.concat(F.lit(home), F.regexp_replace(digits, "^0+", "")))
+    plans = F.create_map(*[x for code, (country, least, most) in NUMBERING_PLANS.items() for x in (F.lit(code), F.struct(F.lit(country).alias("country"), F.lit(code).alias("code"), F.lit(least).alias("least"), F.lit(most).alias("most")))])
+    plan = F.coalesce(*[F.try_element_at(plans, F.substring(number, 1, n)) for n in (3, 2, 1)])
+    national = F.when(plan.isNull(), number).otherwise(F.right(number, F.length(number) - F.length(plan["code"])))
+    state = F.when(plan.isNull(), "unknown").when(F.length(national) < plan["least"], "too_short").when(F.length(national) > plan["most"], "too_long").otherwise("valid")
+    return F.when(digits != "", F.struct(plan["country"].alias("country"), plan["code"].alias("code"), national.alias("national"), state.alias("state")))

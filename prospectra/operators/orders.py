@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import task_id, url_quote
+from .numbering import numbered
 
 GRID_URL = "https://www.google.com/maps/search/"
 _EXTRA = ["order_id", "minimum_reviews"]
@@ -44,18 +45,31 @@ def direct_tasks(orders: DataFrame) -> DataFrame:
     return _task(rows, F.col("_q"), F.col("_q"), F.lit("Direct"), "text_search", "Direct")
 
 
-def _axis(low: Column, high: Column, step: Column) -> Column:
-    """Numbers of the points of one axis, both ends included; none for a box turned round."""
+#: Points on a side of a tile.
+TILE = 64
+
+
+def _steps(low: Column, high: Column, step: Column) -> Column:
+    """Number of the points of one axis, both ends included; none for a box turned round."""
     n = F.bround((high - low) / step).cast("int") + 1
-    return F.when((step > 0) & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when((step > 0) & (n > 0), n).otherwise(0)
+
 
+def grid_points(orders: DataFrame, tile: int = TILE) -> DataFrame:
+    """One row per point of each order's box, with ``_lat`` and ``_lng``.
 
-def grid_points(orders: DataFrame) -> DataFrame:
-    """One row per point of each order's box, with ``_lat`` and ``_lng``."""
+    A box is cut into tiles first and those are dealt out, so one large box keeps all tasks busy.
+    """
     boxed = orders.withColumn("_box", bounding_box(F.col("bounding_box"))).where("_box IS NOT NULL")
-    cells = boxed.select("*", F.explode(_axis(F.col("_box.min_lat"), F.col("_box.max_lat"), F.col("step_size"))).alias("_i")).select("*", F.explode(_axis(F.col("_box.min_lng"), F.col("_box.max_lng"), F.col("step_size"))).alias("_j"))
-    at = lambda side, k: F.bround(F.col(f"_box.min_{side}") + F.col(k) * F.col("step_size"), 6)
-    return cells.withColumns({"_lat": at("lat", "_i"), "_lng": at("lng", "_j")})
+    bounds = {side: (F.col(f"_box.min_{side}"), F.col(f"_box.max_{side}")) for side in ("lat", "lng")}
+    sized = boxed.withColumns({f"_n_{side}": _steps(low, high, F.col("step_size")) for side, (low, high) in bounds.items()} | {f"_from_{side}": low for side, (low, _) in bounds.items()}).drop("_box")
+    starts = lambda side: F.when(F.col(f"_n_{side}") > 0, F.sequence(F.lit(0), F.col(f"_n_{side}") - 1, F.lit(tile)))
+    inside = lambda side, first: F.sequence(F.col(first), F.least(F.col(first) + (tile - 1), F.col(f"_n_{side}") - 1))
+    tiles = sized.select("*", F.explode(starts("lat")).alias("_i0")).select("*", F.explode(starts("lng")).alias("_j0"))
+    dealt = tiles.repartition("order_id", "_i0", "_j0")
+    cells = dealt.select("*", F.explode(inside("lat", "_i0")).alias("_i")).select("*", F.explode(inside("lng", "_j0")).alias("_j"))
+    at = lambda side, k: F.bround(F.col(f"_from_{side}") + F.col(k) * F.col("step_size"), 6)
+    return cells.withColumns({"_lat": at("lat", "_i"), "_lng": at("lng", "_j")}).drop("_n_lat", "_n_lng", "_from_lat", "_from_lng", "_i0", "_j0")
 
 
 def grid_tasks(orders: DataFrame) -> DataFrame:
@@ -79,8 +93,8 @@ def query_map(tasks: DataFrame) -> DataFrame:
 
 
 def chunk_of(tasks: DataFrame, order_by: list[Column | str], size: int, within: list[str]) -> DataFrame:
-    """``chunk`` numbers of ``size`` rows, counted within groups so that no window spans the table."""
-    return tasks.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1) / size))
+    """``chunk`` numbers of ``size`` rows, counted within groups; a group of any size is spread over tasks."""
+    return numbered(tasks, within, order_by, "chunk").withColumn("chunk", F.expr(f"chunk div {size}"))
 
 
 def pick_order(pending: DataFrame) -> DataFrame:

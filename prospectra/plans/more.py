@@ -569,3 +569,20 @@ def best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("u"), k % 200).alias("url"), F.when(k % 3 == 0, "Premium").when(k % 3 == 1, "Fallback").otherwise("Ghost").alias("data_status"), F.col("c_acctbal").alias("reviews"), F.when(k % 4 == 0, "Dead").otherwise("").alias("lead_status"), F.lit(True).alias("is_valid"), F.array(F.lit("o")).alias("order_ids"))
     return export.best_per_url(rows.where(export.deliverable(F.lit("o")))).select("id", "url")
+
+
+_PLANS_SQL = ", ".join(f"('{code}', '{country}', {least}, {most})" for code, (country, least, most) in contact.NUMBERING_PLANS.items())
+
+
+@register(
+    rf"""WITH n AS (SELECT o_orderkey, o_orderkey % 97 AS cc, lpad((o_orderkey * 7919 % 100000000000)::VARCHAR, (7 + o_orderkey % 6)::INT, '5') AS local FROM orders),
+r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '91' || ltrim(local, '0') WHEN 1 THEN ltrim('00' || cc || local, '0') ELSE cc || local END AS number, o_orderkey % 4 AS kind FROM n),
+s AS (SELECT o_orderkey, CASE WHEN kind = 0 THEN number ELSE ltrim(number, '0') END AS number FROM r), p(code, country, least, most) AS (VALUES {_PLANS_SQL})
+SELECT o_orderkey, country, code, substr(number, coalesce(len(code), 0) + 1) AS national, CASE WHEN code IS NULL THEN 'unknown' WHEN len(number) - len(code) < least THEN 'too_short' WHEN len(number) - len(code) > most THEN 'too_long' ELSE 'valid' END AS state FROM s LEFT JOIN p ON starts_with(number, code)"""
+)
+def phone_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of many calling codes and lengths, at home, with 00 and with +, by the numbering plans."""
+    k = F.col("o_orderkey")
+    local = F.lpad((k * 7919 % 100000000000).cast("string"), 7 + k % 6, F.lit("5"))
+    written = F.when(k % 4 == 0, local).when(k % 4 == 1, F.concat(F.lit("00"), k % 97, F.lit(" "), local)).otherwise(F.concat(F.lit(" +"), k % 97, F.lit("-"), local))
+    return table(spark, sf_dir, "orders").select("o_orderkey", contact.country_number(written).alias("n")).select("o_orderkey", "n.country", "n.code", "n.national", "n.state")
