@@ -63,13 +63,21 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-#: Rows of a few bytes that are sent to all executors at most.
+#: Rows, and bytes of what varies in them, that are sent to all executors at most.
 BROADCAST_IDS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_ids(ids: DataFrame) -> DataFrame:
-    """``ids``, computed already, marked for broadcast if its rows are few enough; else joins shuffle it."""
-    return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+def broadcast_ids(ids: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``ids``, computed already, marked for broadcast if its rows are few enough; else joins shuffle it.
+
+    ``weight``: bytes of a row's arrays and texts, whose sum is bounded as well.
+    """
+    if not small_enough(ids, BROADCAST_IDS):
+        return ids
+    if weight is not None and (ids.agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
+        return ids
+    return F.broadcast(ids)
 
 
 def own_columns(df: DataFrame) -> list[Column]:

@@ -73,13 +73,13 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if small_enough(rows, BROADCAST_FINGERPRINTS) else rows
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(_id, _mark, item, hits): each document and item that share a window, with the document's word numbers inside.
+def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(hits, windows). hits (_id, _mark, n, win, at): each window of a document that some item holds too, and where it is.
 
     Fingerprints of documents and items meet in an equi-join. Each place where they meet is extended to the windows of
     ``span`` words (a short item: all of it) around it, whose hashes meet those of the items' windows. Only documents
     that meet an item are read again; their texts aren't shuffled unless they are very many. What a document gathers
-    are its own places, so repeated words cost what they count, once.
+    are its own places, so repeated words cost what they count, once. ``windows`` (n, win, item) tell the items.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _hashes(F.col("text")).alias("words"))
     items = cut(items.where(F.size("words") > 0).distinct())
@@ -87,18 +87,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     lengths = [*short, span]
     marks = _few(items.select(F.explode(let(F.col("words"), lambda h: _fingerprints(h, span, gram, short, True))).alias("f")).select("f.fp").distinct())
     whole = lambda n: F.when((F.size("words") == n) if n < span else (F.size("words") >= n), _windows_at(F.col("words"), F.sequence(F.lit(0), F.size("words") - n), n)).otherwise(F.array().cast("array<struct<n:int,win:bigint,at:int>>"))
-    windows = _few(items.select("item", F.explode(F.concat(*[whole(n) for n in lengths])).alias("w")).select("item", "w.n", "w.win").distinct())
+    windows = cut(items.select("item", F.explode(F.concat(*[whole(n) for n in lengths])).alias("w")).select("item", "w.n", "w.win").distinct())
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"), "text")
     # explode_outer: before an explode Spark would filter by the whole expression, so evaluate it again
     seen = keyed.select("_id", "_mark", F.explode_outer(let(_hashes(F.col("text")), lambda h: _fingerprints(h, span, gram, short, False))).alias("f")).select("_id", "_mark", "f.fp", "f.pos")
     places = cut(seen.join(marks, "fp").groupBy("_id", "_mark").agg(F.collect_set("pos").alias("places")))
-    met = keyed.join(broadcast_ids(places.withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"})), (F.col("_mark") == F.col("_mark2")) & F.col("_id").eqNullSafe(F.col("_id2"))).dropDuplicates(["_id", "_mark"])
+    met = keyed.join(broadcast_ids(places.withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"}), 4 * F.size("places")), (F.col("_mark") == F.col("_mark2")) & F.col("_id").eqNullSafe(F.col("_id2"))).dropDuplicates(["_id", "_mark"])
     # a window holds the place's k-gram; a short item begins at its place
     around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - (span - gram), p))))
     mine = let(_hashes(F.col("text")), lambda h: F.concat(_windows_at(h, around, span), *[_windows_at(h, F.col("places"), n) for n in short]))
-    found = met.select("_id", "_mark", F.explode_outer(mine).alias("w")).select("_id", "_mark", "w.*").join(windows, ["n", "win"])
-    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
-    return found.groupBy("_id", "_mark", "item").agg(covered.alias("hits"))
+    found = met.select("_id", "_mark", F.explode_outer(mine).alias("w")).select("_id", "_mark", "w.*").join(_few(windows.select("n", "win").distinct()), ["n", "win"])
+    return found, windows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -109,7 +108,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     counts as the empty text. Rows of ``docs`` that repeat are judged alike. Very long and repetitive texts count whole,
     in time that grows with their words. Grams of equal hash are all fingerprints. An empty table gives no rows.
     """
-    found = broadcast_ids(cut(find_hits(docs, benchmark, span, gram).groupBy("_id", "_mark").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))))
+    hits, windows = find_hits(docs, benchmark, span, gram)
+    hits, key = cut(hits), ["_id", "_mark"]
+    # a document's places count once, however many items hold them
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
+    places = hits.groupBy(*key).agg(F.size(covered).cast("long").alias("n_hit"))
+    held = hits.select(*key, "n", "win").distinct().join(F.broadcast(windows) if small_enough(windows, BROADCAST_FINGERPRINTS) else windows, ["n", "win"]).select(*key, "item").distinct().groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = places.join(held.withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"}), (F.col("_mark") == F.col("_mark2")) & F.col("_id").eqNullSafe(F.col("_id2"))).drop("_id2", "_mark2")
+    found = broadcast_ids(cut(both), F.octet_length(F.array_join("items", ",")))
     counts = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = counts.join(found, (F.col("_key") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select(
@@ -124,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``; columns unchanged, whatever their names."""
-    found = broadcast_ids(cut(find_hits(docs, benchmark, span, gram).select("_id", "_mark").distinct()))
+    found = broadcast_ids(cut(find_hits(docs, benchmark, span, gram)[0].select("_id", "_mark").distinct()))
     return docs.join(found, (F.xxhash64(docs.text) == found["_mark"]) & docs.doc_id.eqNullSafe(found["_id"]), "left_anti")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Documents per language that the model is fitted on, those least in a hash of the id.
 SAMPLE_DOCS = 300
 ROUNDS = 3
-#: Units (runs of letters) up to this many bytes are summed side by side; a longer one alone, rescaled on its way.
+#: Units (runs of letters) up to this many bytes are summed side by side; longer ones are rescaled on their way.
 SHORT_BYTES = 64
 #: Bytes of text whose tokens are numbered and scored together.
 SLICE_BYTES = 4 << 20
 _RESCALE = 32
 _SEGMENT = 1 << 12
+#: Bytes of long units that are summed side by side.
+_BESIDE = 1 << 18
 _SMOOTH = 0.02
 #: Every byte is scaled by this, so that products over a short unit stay within the range of doubles.
 _SCALE = 1000.0
@@ -45,6 +48,16 @@ def piece_keys(pieces: list[bytes]) -> np.ndarray:
     return out
 
 
+def piece_reach(pieces: list[bytes]) -> np.ndarray:
+    """For each two bytes, as one number, the length of the longest piece that begins so; pieces of one byte may begin anywhere."""
+    out = np.ones(1 << 16, np.int64)
+    for p in pieces:
+        if len(p) > 1:
+            at = p[0] * 256 + p[1]
+            out[at] = max(out[at], len(p))
+    return out
+
+
 def units_of(token: str) -> list[bytes]:
     """The runs of letters in a token, each with a leading space."""
     return [b" " + run.encode() for run in _LETTERS.findall(token)]
@@ -65,9 +78,10 @@ def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
 class Model:
     """probs: per piece and language, times _SCALE for each byte."""
 
-    def __init__(self, langs: list[str], keys: np.ndarray, lengths: np.ndarray, probs: np.ndarray):
+    def __init__(self, langs: list[str], keys: np.ndarray, lengths: np.ndarray, probs: np.ndarray, reach: np.ndarray | None = None):
         self.langs, self.keys, self.lengths, self.probs = langs, keys, lengths, probs
         self.longest = int(lengths.max(initial=1))
+        self.reach = np.full(1 << 16, self.longest, np.int64) if reach is None else reach
         self.table: Table | None = None
 
     def __getstate__(self) -> dict:
@@ -80,23 +94,20 @@ class Model:
         rows = np.flatnonzero(ids >= 0)
         return rows, ids[rows]
 
-    def _windows(self, prefixes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the pieces of ``n`` bytes begin in one text, and which they are."""
-        if self.table is None:
-            self.table = Table(self.keys)
-        ids = self.table.find(window_hashes(prefixes, n))
-        rows = np.flatnonzero(ids >= 0)
-        return rows, ids[rows]
-
     def _arcs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, piece, where the arcs of each end begin) of all pieces in ``data``, by end."""
-        prefixes = prefix_hashes(np.frombuffer(data, np.uint8).reshape(1, -1))
+        if self.table is None:
+            self.table = Table(self.keys)
+        own = np.frombuffer(data, np.uint8)
+        reach = self.reach[own.astype(np.int64) * 256 + np.append(own[1:], 0)]
         starts, ends, pieces = [], [], []
-        for n in range(1, min(self.longest, len(data)) + 1):
-            rows, ids = self._windows(prefixes[:, 0], n)
+        for n, hashes in window_hashes(own, self.longest):
+            may = np.flatnonzero(reach[: len(hashes)] >= n)
+            ids = self.table.find(hashes[may])
+            rows = may[ids >= 0]
             starts.append(rows)
             ends.append(rows + n)
-            pieces.append(ids)
+            pieces.append(ids[ids >= 0])
         start, end, piece = (np.concatenate(x) for x in (starts, ends, pieces))
         order = np.argsort(end, kind="stable")
         return start[order], piece[order], np.searchsorted(end[order], np.arange(len(data) + 2))
@@ -121,6 +132,57 @@ class Model:
             ring = alpha[-self.longest - 1 :]
         return total + np.log(ring[-1]) - len(data) * np.log(_SCALE)
 
+    def _side_by_side(self, units: list[bytes]) -> np.ndarray:
+        """``forward`` of long units of any lengths: one step adds up the arcs that end at one place of every unit."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        first = np.cumsum(sizes) - sizes
+        start, piece, at = self._arcs(b"".join(units))
+        end = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        unit = np.searchsorted(first, start, side="right") - 1
+        inside = end <= first[unit] + sizes[unit]
+        start, end, piece, unit = start[inside], end[inside], piece[inside], unit[inside]
+        place = end - first[unit]
+        order = np.lexsort((unit, place))
+        unit, piece, place = unit[order], piece[order], place[order]
+        # a unit's places have one slot more than bytes
+        source = start[order] + unit
+        alpha = np.zeros((int(sizes.sum()) + len(units), len(self.langs)))
+        alpha[first + np.arange(len(units))] = 1.0
+        total = np.zeros((len(units), len(self.langs)))
+        steps = np.searchsorted(place, np.arange(1, int(sizes.max()) + 2))
+        for k in range(1, len(steps)):
+            own = slice(steps[k - 1], steps[k])
+            who = unit[own]
+            edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            alive = who[edge]
+            slot = first[alive] + alive + k
+            alpha[slot] = np.add.reduceat(alpha[source[own]] * self.probs[piece[own]], edge, axis=0)
+            if k % _RESCALE == 0:
+                recent = np.maximum(slot[:, None] - np.arange(self.longest + 1), (first[alive] + alive)[:, None])
+                values = alpha[recent]
+                most = values.max(axis=1)
+                alpha[recent] = values / most[:, None]
+                total[alive] += np.log(most)
+        return total + np.log(alpha[first + np.arange(len(units)) + sizes]) - sizes[:, None] * np.log(_SCALE)
+
+    def _long(self, units: list[bytes]) -> np.ndarray:
+        """``forward`` of units over SHORT_BYTES: those of like lengths side by side, by bounded numbers of bytes."""
+        out = np.zeros((len(units), len(self.langs)))
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        at = 0
+        while at < len(order):
+            to, held = at, 0
+            while to < len(order) and (to == at or held + len(units[order[to]]) <= _BESIDE):
+                held += len(units[order[to]])
+                to += 1
+            group = order[at:to]
+            if len(group) == 1:
+                out[group[0]] = self._alone(units[group[0]])
+            else:
+                out[group] = self._side_by_side([units[k] for k in group])
+            at = to
+        return out
+
     def _expect_alone(self, data: bytes, counts: np.ndarray, expected: np.ndarray) -> None:
         """Adds one long unit's expected counts of pieces."""
         start, piece, at = self._arcs(data)
@@ -148,11 +210,10 @@ class Model:
     def forward(self, units: list[bytes]) -> np.ndarray:
         """Natural log of each unit's probability in each language, over all segmentations."""
         out = np.zeros((len(units), len(self.langs)))
-        for part, matrix in by_length(units):
-            if matrix.shape[1] > SHORT_BYTES:
-                for k in part.tolist():
-                    out[k] = self._alone(units[k])
-                continue
+        long = [k for k, u in enumerate(units) if len(u) > SHORT_BYTES]
+        if long:
+            out[long] = self._long([units[k] for k in long])
+        for part, matrix in by_length([b"" if len(u) > SHORT_BYTES else u for u in units]):
             n, length = matrix.shape
             prefixes = prefix_hashes(matrix)
             alpha = np.zeros((length + 1, n, len(self.langs)))
@@ -205,7 +266,7 @@ class Model:
         counts = np.zeros((len(units), len(langs)))
         if rows:
             np.add.at(counts, np.array(rows), np.array(weights))
-        model = cls(langs, piece_keys(pieces), np.fromiter(map(len, pieces), np.float64, len(pieces)), np.zeros((len(pieces), len(langs))))
+        model = cls(langs, piece_keys(pieces), np.fromiter(map(len, pieces), np.float64, len(pieces)), np.zeros((len(pieces), len(langs))), piece_reach(pieces))
         first = np.zeros_like(model.probs)
         for part, matrix in by_length(units):  # to begin with, every occurrence of a piece counts
             if matrix.shape[1] > SHORT_BYTES:
@@ -247,6 +308,18 @@ class Model:
         return names, values
 
 
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, token, n) of texts, split as for scoring."""
+    for batch in batches:
+        held: Counter[tuple[str, str]] = Counter()
+        langs = batch.column(0).to_pylist()
+        names, docs = numbered(batch.column(1).to_pylist())
+        for lang, ids in zip(langs, docs):
+            for k, n in zip(*np.unique(ids, return_counts=True)):
+                held[lang, names[k]] += int(n)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "token", "n"])
+
+
 def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, hold_mod: int = 3, hold_at: int = 1) -> Model:
     """Fit on up to ``sample_docs`` documents per language, of those whose crc32(doc_id) modulo ``hold_mod`` isn't ``hold_at``.
 
@@ -258,7 +331,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS,
     low = usable.select("doc_id", "lang").join(totals, "lang").where(in_low_share(F.xxhash64("doc_id"), F.col("total"), sample_docs))
     chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    counted = sample.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+")).alias("token")).groupBy("lang", "token").count().collect()
+    counted = sample.select("lang", "text").mapInArrow(_token_counts, "lang string, token string, n bigint").groupBy("lang", "token").agg(F.sum("n").alias("count")).collect()
     langs = sorted({r["lang"] for r in counted})
     tokens = sorted({r["token"] for r in counted})
     at_lang, at_token = {x: k for k, x in enumerate(langs)}, {x: k for k, x in enumerate(tokens)}

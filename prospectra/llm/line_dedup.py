@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, own_columns
+from .common import SPACE, broadcast_ids, cut, let, own_columns
 
 LINES = 3
 
@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, counts: bool = True) -> Dat
     is false: ``_n_lines`` and ``_n_removed`` (long), which replace columns of these names. All others pass through
     unchanged, whatever their names.
     """
-    gone = covered_lines(docs, lines)
+    # few documents lose lines: the texts then stay where they are
+    gone = broadcast_ids(cut(covered_lines(docs, lines)), 4 * F.size("_gone"))
     joined = docs.join(gone, F.xxhash64(docs.text).eqNullSafe(gone["_mark"]) & docs.doc_id.eqNullSafe(gone["_id"]), "left")
     at = gone["_gone"]
     left = F.when(at.isNull(), docs.text).otherwise(_without(_lines(docs.text), at)).alias("text")

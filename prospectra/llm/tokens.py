@@ -50,11 +50,14 @@ def span_hashes(prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
         return mixed(raw ^ np.uint64(n * 0x9E3779B97F4A7C15 & _WORD))
 
 
-def window_hashes(prefixes: np.ndarray, n: int) -> np.ndarray:
-    """``span_hashes`` of every stretch of ``n`` bytes of one text, from its prefix hashes."""
-    with np.errstate(over="ignore"):
-        raw = prefixes[n:] - prefixes[:-n] * np.uint64(pow(_BASE, n, 1 << 64))
-        return mixed(raw ^ np.uint64(n * 0x9E3779B97F4A7C15 & _WORD))
+def window_hashes(data: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length up to ``longest``: (length, ``span_hashes`` of every stretch of so many bytes of one text)."""
+    columns = data.astype(np.uint64) + np.uint64(1)
+    raw = np.zeros(len(data) + 1, np.uint64)
+    for n in range(1, min(longest, len(data)) + 1):
+        with np.errstate(over="ignore"):
+            raw = raw[:-1] * np.uint64(_BASE) + columns[n - 1 :]
+            yield n, mixed(raw ^ np.uint64(n * 0x9E3779B97F4A7C15 & _WORD))
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
