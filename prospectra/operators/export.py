@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grid_label, number_or_zero, tier_rank
@@ -14,10 +14,13 @@ def deliverable(order_id: Column) -> Column:
 
 
 def best_per_url(leads: DataFrame) -> DataFrame:
-    """One row per url: best tier, most reviews, least id; rows without a url count as one."""
+    """One row per url: best tier, most reviews, least id; rows without a url count as one.
+
+    The best row is a partial aggregate, so each task sends one row a url, also for the many rows without one.
+    """
     ranked = leads.withColumns({"tier": tier_rank(F.col("data_status")), "reviews": number_or_zero(F.col("reviews"))})
-    order = Window.partitionBy(F.coalesce("url", F.lit(""))).orderBy("tier", F.desc("reviews"), "id")
-    return ranked.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    best = F.min_by(F.struct(*ranked.columns), F.struct("tier", -F.col("reviews"), "id"))
+    return ranked.groupBy(F.coalesce("url", F.lit("")).alias("_url")).agg(best.alias("r")).select("r.*")
 
 
 def export_order(leads: DataFrame, order_id: str, max_leads: int = 1000) -> DataFrame:

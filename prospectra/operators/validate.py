@@ -69,12 +69,17 @@ def typed(f: T.StructField) -> Column:
     return (F.coalesce(one_line(raw), F.lit("")) if value is None else value).alias(f.name)
 
 
-def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid typed rows, refused rows as they came with ``reason``). Missing or unexpected columns raise."""
+def check_columns(rows: DataFrame) -> None:
+    """Missing or unexpected columns raise."""
     if missing := [c for c in LEAD.fieldNames() if c not in rows.columns]:
         raise ValueError(f"missing required columns: {missing}")
     if extra := [c for c in rows.columns if c not in LEAD.fieldNames()]:
         raise ValueError(f"unexpected columns: {extra}")
+
+
+def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid typed rows, refused rows as they came with ``reason``). Missing or unexpected columns raise."""
+    check_columns(rows)
     judged = rows.withColumn("_errors", errors())
     good = judged.where(F.size("_errors") == 0).select(*[typed(f) for f in LEAD.fields])
     return good, judged.where(F.size("_errors") > 0).drop("_errors").withColumn("reason", F.lit("final_schema_validation_failed"))

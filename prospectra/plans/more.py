@@ -65,17 +65,17 @@ def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH v AS (SELECT page_id, {_STORED} AS value FROM pages)
-SELECT page_id % 4 AS kind, count(*) AS n, count(CASE WHEN page_id % 4 IN (1, 2) THEN 1 END) AS changed, count(CASE WHEN page_id % 4 IN (1, 2) THEN 1 END) AS listed FROM v GROUP BY 1"""
+    """SELECT 'k' || page_id AS key, CASE WHEN page_id % 4 IN (1, 2) THEN 'h' || page_id END AS hash_id, CASE page_id % 4 WHEN 1 THEN 'o' || page_id || ',z9' WHEN 2 THEN 'b,a,z9' END AS order_ids,
+  CASE page_id % 4 WHEN 1 THEN 5 WHEN 2 THEN 7 END::INT AS minimum_reviews, md5(html) AS body_key FROM pages"""
 )
 def header_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order id added to the headers of stored pages, written and read again; pages without a header aren't touched."""
+    """An order id added to the headers of stored pages, written and read again; bodies and pages without a header stay."""
     stored = _stored_pages(spark, sf_dir).withColumn("new", sinks.with_order_id(F.col("value"), F.lit("z9")))
     path = f"{scratch_dir(spark)}/pages"
     sinks.write_pages(stored.select(F.concat(F.lit("k"), "page_id").alias("key"), F.coalesce("new", "value").alias("value")), path)
-    back = spark.read.schema("key string, value string").parquet(path).withColumn("h", readers.split_page(F.col("value"))[0])
-    kinds = back.select((F.substring("key", 2, 20).cast("long") % 4).alias("kind"), "h").groupBy("kind")
-    return kinds.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.array_contains("h.order_ids", "z9"), F.lit(False))).alias("changed"), F.count_if(F.coalesce(F.col("h.hash_id").startswith("h") & (F.element_at("h.order_ids", -1) == "z9"), F.lit(False))).alias("listed"))
+    header, body = readers.split_page(F.col("value"), lenient=True)
+    back = spark.read.schema("key string, value string").parquet(path).select("key", header.alias("h"), F.md5(body.cast("binary")).alias("body_key"))
+    return back.select("key", "h.hash_id", F.array_join("h.order_ids", ",").alias("order_ids"), "h.minimum_reviews", "body_key")
 
 
 @register(f"""WITH v AS (SELECT page_id, html, {_STORED} AS value FROM pages) SELECT page_id::VARCHAR AS key, CASE WHEN page_id % 4 IN (1, 2) THEN 'h' || page_id END AS hash_id, strlen(html)::INT AS n_bytes FROM v""")
@@ -247,6 +247,20 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.run_summary(table(spark, sf_dir, "events").select(named.alias("outcome"))).select("total", "online", "offline", "failed", "dead")
 
 
+@register(
+    """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 5 = 0 THEN 'quarantine' ELSE 'final' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'rating' END AS columns, CASE WHEN c_custkey % 5 <> 0 THEN (1000 + c_custkey % 1000)::VARCHAR END AS reviews,
+  n, q AS quarantined, n - q AS writer_puts, d AS dead FROM customer, (SELECT count(*) AS n, count(CASE WHEN c_custkey % 5 = 0 THEN 1 END) AS q, count(CASE WHEN c_custkey % 7 = 0 THEN 1 END) AS d FROM customer)"""
+)
+def judged_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final rows written to the valid and the refused files in one pass with the run's counters, and read again."""
+    path = f"{scratch_dir(spark)}/judged"
+    rows = _text_rows(spark, sf_dir).withColumn("outcome", F.when(F.col("id").cast("long") % 7 == 0, "dead").otherwise("online"))
+    seen = sinks.write_judged(rows, path)
+    good = readers.read_buffer(spark, f"{path}/final", LEAD_COLUMNS).select("id", F.lit("final").alias("kind"), F.lit(None).cast("string").alias("columns"), "reviews")
+    bad = spark.read.schema("reason string, columns array<string>, row struct<id: string>").json(f"{path}/quarantine").select("row.id", F.lit("quarantine").alias("kind"), F.array_join("columns", ",").alias("columns"), F.lit(None).cast("string").alias("reviews"))
+    return good.union(bad).select("*", *[F.lit(seen[c]).cast("long").alias(a) for c, a in (("total", "n"), ("quarantined", "quarantined"), ("writer_puts", "writer_puts"), ("dead", "dead"))])
+
+
 @register(f"SELECT DISTINCT o_custkey::VARCHAR AS order_id, 'export' AS stage, 'done' AS message, {_NOW_SQL} AS updated_at FROM orders")
 def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.status_row(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("order_id")), "export", "done", _now()).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
@@ -427,7 +441,9 @@ def live_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     r"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 5 = 0 THEN 'Fallback' ELSE 'Premium' END AS data_status, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'a@b.co, ' END || 'p' || page_id || '@x.org' AS emails, '+91 9876543210' AS alternative_phones,
   CASE WHEN page_id % 3 = 0 THEN trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) WHEN page_id % 2 = 0 THEN 'Second' ELSE '' END AS title,
-  CASE WHEN page_id % 5 = 0 THEN 'Dead' ELSE '' END AS lead_status, (CASE WHEN page_id % 5 = 0 THEN 40 ELSE 70 END + CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 10 ELSE 0 END)::INT AS quality_score FROM pages"""
+  CASE WHEN page_id % 5 = 0 THEN 'Dead' ELSE '' END AS lead_status, (CASE WHEN page_id % 5 = 0 THEN 40 ELSE 70 END + CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 10 ELSE 0 END)::INT AS quality_score,
+  'Yes' AS found_web_mobile, true AS has_contact_info, false AS dead_email, 1::INT AS enrichment_version, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END::INT AS http_status, 'exists' AS domain_state,
+  'ssl:valid,domain:exists' || CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN ',has_reviews' ELSE '' END AS tags FROM pages"""
 )
 def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads enriched from the stored home page, whose digits and @ are taken out and a phone put in, and two thirds from a
@@ -436,10 +452,10 @@ def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.translate(F.col("html"), "@0123456789", "")
     home = p.select(k.cast("string").alias("id"), F.lit(0).alias("page_no"), F.col("url").alias("base_url"), F.concat(plain, F.lit("<p>Call +91 98765 43210</p>")).alias("html"))
     more = p.where(k % 3 != 0).select(k.cast("string").alias("id"), F.lit(1).alias("page_no"), F.col("url").alias("base_url"), F.concat(F.when(k % 2 == 0, "<title>Second</title><p>our reviews</p>").otherwise("<p>mail</p>"), F.lit("<a href='mailto:A@b.co'>m</a>")).alias("html"))
-    base = enrich.defaults(_lead_rows(p.select(k.cast("string").alias("id"), F.lit("Landline").alias("phone_type"), F.concat(F.lit("p"), k, F.lit("@x.org")).alias("emails"), F.lit("").alias("lead_status"))), _now())
+    base = enrich.defaults(p.select(k.cast("string").alias("id"), F.lit("Landline").alias("phone_type"), F.concat(F.lit("p"), k, F.lit("@x.org")).alias("emails"), F.lit("").alias("lead_status"), _now().alias("scraped_date")), _now())
     checks = p.select(k.cast("string").alias("id"), F.when(k % 5 == 0, 404).otherwise(200).alias("http_status"), F.lit("valid").alias("ssl_status"), F.lit("exists").alias("domain_state"))
     found = enrich.per_lead(enrich.page_findings(home.union(more)))
-    return enrich.enrich(base, found, checks, _now()).select("id", "data_status", "emails", "alternative_phones", "raw_extracted.title", "lead_status", "quality_score")
+    return enrich.enrich(base, found, checks, _now()).select("id", "data_status", "emails", "alternative_phones", "raw_extracted.title", "lead_status", "quality_score", "found_web_mobile", "has_contact_info", "dead_email", "enrichment_version", "http_status", "domain_state", F.array_join("tags", ",").alias("tags"))
 
 
 # --- cards ------------------------------------------------------------------------------------------------------------

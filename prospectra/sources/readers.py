@@ -107,10 +107,6 @@ def same_header(df: DataFrame, expected: list[str]) -> bool:
     return df.columns == expected
 
 
-def is_empty_input(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of a text list: trimmed lines without blanks; blocklists and progress logs."""
     return spark.read.text(path).select(strip(F.col("value")).alias("value")).where("value <> ''")

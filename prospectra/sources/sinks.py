@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.order_ids import literal
 from ..functions.text import iso_text, number_or_zero, one_line, safe_filename
-from ..schemas import LEAD_COLUMNS
+from ..operators.validate import check_columns, errors, typed
+from ..schemas import LEAD, LEAD_COLUMNS
 from .named_files import write_named
 from .uploads import verdict
 
@@ -49,8 +51,6 @@ def quarantine_rows(df: DataFrame, reason: str | Column) -> DataFrame:
 
 def load_verified(df: DataFrame, path: str) -> int:
     """Replace a staging table and compare row counts of what was sent and what is there; else raise."""
-    from pyspark.sql import Observation
-
     sent = Observation()
     df.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     stored = df.sparkSession.read.parquet(path).count()
@@ -155,15 +155,77 @@ def old_rows(leads: DataFrame) -> DataFrame:
     return leads.select(*[given.get(c, F.col(c)).alias(OLD_NAMES.get(c, c)) for c in LEAD_COLUMNS[:26]])
 
 
+#: What may become of a processed row, besides being refused by the sink.
+OUTCOMES = ("offline", "online", "skipped_completed", "blocklisted", "dead", "needs_render", "failed")
+
+
+def run_counters(outcome: Column, refused: Column) -> list[Column]:
+    """The ten counters of a run, for ``agg`` or ``observe``: all rows, each outcome, and what the sink took and refused."""
+    return [F.count(F.lit(1)).alias("total"), *[F.count_if(outcome == n).alias(n) for n in OUTCOMES], F.count_if(refused).alias("quarantined"), F.count_if(~refused).alias("writer_puts")]
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
     """One row of counters over processed rows (``outcome`` names what became of each)."""
-    names = ["offline", "online", "skipped_completed", "blocklisted", "quarantined", "dead", "needs_render", "writer_puts", "failed"]
-    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names])
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == n).alias(n) for n in (*OUTCOMES, "quarantined", "writer_puts")])
+
+
+def judged_rows(rows: DataFrame) -> DataFrame:
+    """name, data, head, outcome and refused of final ``rows`` (the 38 columns as text, and ``outcome``): lines of CSV for those
+    that fit, of JSON with reason and columns for the others, in files of the task that makes them."""
+    own = rows.drop("outcome")
+    check_columns(own)
+    judged = rows.select(*LEAD_COLUMNS, F.col("outcome") if "outcome" in rows.columns else F.lit(None).cast("string").alias("outcome"), errors().alias("_errors"))
+    refused = F.size("_errors") > 0
+    bad = F.concat(F.to_json(F.struct(F.lit("final_schema_validation_failed").alias("reason"), F.col("_errors").alias("columns"), F.struct(*LEAD_COLUMNS).alias("row")), {"ignoreNullFields": "false"}), F.lit("\n"))
+    kinds = {f.name: f for f in LEAD.fields}
+    # as text the literal of ids, times and JSON are what the table takes
+    cells = [literal(typed(kinds[c])) if c == "order_ids" else typed(kinds[c]).cast("string") for c in LEAD_COLUMNS]
+    part = F.lpad(F.spark_partition_id().cast("string"), 5, "0")
+    name = F.when(refused, F.concat(F.lit("quarantine/part-"), part, F.lit(".jsonl"))).otherwise(F.concat(F.lit("final/part-"), part, F.lit(".csv")))
+    head = F.when(~refused, F.lit(",".join(LEAD_COLUMNS) + "\n"))
+    return judged.select(name.alias("name"), F.when(refused, bad).otherwise(csv_line([c.alias(n) for c, n in zip(cells, LEAD_COLUMNS)])).alias("data"), head.alias("head"), "outcome", refused.alias("refused"))
+
+
+def write_judged(rows: DataFrame, path: str) -> dict[str, int]:
+    """Writes rows that fit to ``<path>/final`` and the others to ``<path>/quarantine``, from one computation; the run's counters.
+
+    The counters are observed on the rows as they are written, so nothing is read or computed twice. All files appear
+    together or, if the job fails, none.
+    """
+    watched = Observation()
+    made = judged_rows(rows).observe(watched, *run_counters(F.col("outcome"), F.col("refused")))
+    write_named(made.sortWithinPartitions("name"), path, together=False)
+    return dict(watched.get)
+
+
+class BatchCounters(StreamingQueryListener):
+    """Keeps the counters that each batch of a stream observed under ``name``, by batch number."""
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.batches[event.progress.batchId] = seen.asDict()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
-def archive_path(path: str, at: datetime) -> str:
-    """Where a processed buffer is kept."""
-    return f"{path.rstrip('/')}_{at:%Y%m%d_%H%M%S}"
+def archive_buffer(df: DataFrame, path: str, at: datetime) -> str | None:
+    """Keeps a processed buffer beside itself under the time of the run; where it is, or None for a buffer without a row."""
+    if df.isEmpty():
+        return None
+    kept = f"{path.rstrip('/')}_{at:%Y%m%d_%H%M%S}"
+    df.write.mode("error").parquet(kept)
+    return kept
 
 
 def status_row(df: DataFrame, stage: str, message: str, at: Column) -> DataFrame:

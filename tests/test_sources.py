@@ -135,3 +135,43 @@ def test_a_broken_card_costs_itself_alone(spark, monkeypatch):
     monkeypatch.undo()
     pages = spark.createDataFrame([(None, CARD % (1, 1)), (None, ""), (None, None)], "header struct<Search_Keyword: string, Search_Location: string, order_ids: array<string>, query_type: string, scraped_date: string, minimum_reviews: int>, html string")
     assert leads.broken_cards(pages).count() == 0 and [r["name"] for r in leads.card_rows(pages).collect()] == ["Shop 1"]
+
+
+def test_judged_rows_are_written_and_counted_in_one_pass(spark, tmp_path):
+    from prospectra.schemas import LEAD_COLUMNS
+
+    row = lambda k, **v: {**dict.fromkeys(LEAD_COLUMNS, ""), "id": str(k), **v}
+    rows = [{**row(k, rating="4.5" if k % 4 else "bad", name='a, "b"\nc', order_ids="{x,y}"), "outcome": "online" if k % 3 else "dead"} for k in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*LEAD_COLUMNS, "outcome"])).repartition(3)
+    seen = sinks.write_judged(df, str(tmp_path / "out"))
+    assert (seen["total"], seen["quarantined"], seen["writer_puts"], seen["online"], seen["dead"], seen["offline"]) == (40, 10, 30, 26, 14, 0) and len(seen) == 10
+    good = readers.read_buffer(spark, str(tmp_path / "out" / "final"), LEAD_COLUMNS).collect()
+    assert {int(r["id"]) for r in good} == {k for k in range(40) if k % 4} and {r["order_ids"] for r in good} == {'{"x","y"}'}
+    bad = spark.read.schema("reason string, columns array<string>, row struct<id: string, rating: string>").json(str(tmp_path / "out" / "quarantine")).collect()
+    assert {(int(r["row"]["id"]), r["columns"][0], r["row"]["rating"]) for r in bad} == {(k, "rating", "bad") for k in range(0, 40, 4)}
+    with pytest.raises(ValueError, match="unexpected"):
+        sinks.write_judged(df.withColumn("more", F.lit(1)), str(tmp_path / "no"))
+
+
+def test_counters_of_a_streams_batches(spark, tmp_path):
+    listener = sinks.BatchCounters("run")
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame([("online", False), ("dead", True)], "outcome string, refused boolean").write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("outcome string, refused boolean").parquet(str(tmp_path / "in"))
+        watched = stream.observe("run", *sinks.run_counters(F.col("outcome"), F.col("refused")))
+        watched.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        end = time.time() + 20
+        while not listener.batches and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.batches[0] | {} == {"total": 2, "online": 1, "dead": 1, "quarantined": 1, "writer_puts": 1, **dict.fromkeys(("offline", "skipped_completed", "blocklisted", "needs_render", "failed"), 0)}
+
+
+def test_archived_buffer(spark, tmp_path):
+    from datetime import datetime
+
+    kept = sinks.archive_buffer(spark.range(3), str(tmp_path / "b"), datetime(2024, 3, 1, 2, 3, 4))
+    assert kept.endswith("b_20240301_020304") and spark.read.parquet(kept).count() == 3
+    assert sinks.archive_buffer(spark.range(0), str(tmp_path / "b"), datetime(2024, 3, 1)) is None
