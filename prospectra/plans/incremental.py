@@ -18,8 +18,20 @@ _CUTS = ["2024-01-11", "2024-01-21"]
 
 
 def in_batches(spark: SparkSession, rows: DataFrame, at: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``step`` makes of a stream of ``rows``: each batch arrives and is processed by a run that starts where the last ended."""
-    folder = scratch_dir(spark)
+    """What ``step`` makes of a stream of ``rows``: each batch arrives and is processed by a run that starts where the last ended.
+
+    Keyed state has as many parts as there are cores, fixed with the first run, as every part costs each batch a task.
+    """
+    folder, name = scratch_dir(spark), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        return _run_batches(spark, rows, at, step, folder)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _run_batches(spark: SparkSession, rows: DataFrame, at: str, step: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     edges = [None, *map(F.lit, _CUTS), None]
     out = None
     for low, high in zip(edges, edges[1:]):
