@@ -440,7 +440,7 @@ def live_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     r"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 5 = 0 THEN 'Fallback' ELSE 'Premium' END AS data_status, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'a@b.co, ' END || 'p' || page_id || '@x.org' AS emails, '+91 9876543210' AS alternative_phones,
-  CASE WHEN page_id % 3 = 0 THEN trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) WHEN page_id % 2 = 0 THEN 'Second' ELSE '' END AS title,
+  CASE WHEN page_id % 3 = 0 THEN trim(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[@0-9]', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) WHEN page_id % 2 = 0 THEN 'Second' ELSE '' END AS title,
   CASE WHEN page_id % 5 = 0 THEN 'Dead' ELSE '' END AS lead_status, (CASE WHEN page_id % 5 = 0 THEN 40 ELSE 70 END + CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 10 ELSE 0 END)::INT AS quality_score,
   'Yes' AS found_web_mobile, true AS has_contact_info, false AS dead_email, 1::INT AS enrichment_version, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END::INT AS http_status, 'exists' AS domain_state,
   'ssl:valid,domain:exists' || CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN ',has_reviews' ELSE '' END AS tags FROM pages"""
