@@ -23,6 +23,11 @@ def keep_filled(items: Column) -> Column:
     return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: x != "")
 
 
+def as_written(html: Column, read: list[str]) -> Column:
+    """``html`` in which a reader finds every ``&`` as it is written, but for the references named in ``read``, with their semicolon."""
+    return F.regexp_replace(html, f"&(?!(?:{'|'.join(read)});)", "&amp;")
+
+
 def task_id(text: Column) -> Column:
     """``UNKNOWN`` for null or empty text, else the md5 of the trimmed text (blank text is not empty)."""
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("UNKNOWN")).otherwise(F.md5(strip(text).cast("binary")))
