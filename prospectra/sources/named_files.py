@@ -1,7 +1,7 @@
 """A data source that writes files under names of their own, one job's files all or none.
 
     spark.dataSource.register(NamedFiles)
-    df.select("name", "data").write.format("named_files").mode("append").save(folder)
+    df.select("name", "data").write.format("named_files").option("atOnce", at_once).mode("append").save(folder)
 
 Rows are (name, data): a path below the folder and text or bytes, added to that file in the order of rows; of a third
 column, ``head``, the text in a file's first row goes before it. Each task writes to a folder of its own attempt; the commit on the driver moves the files of the attempts that counted, so a
@@ -45,41 +45,45 @@ def _inner(name: str) -> str:
 class NamedFilesWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         get = {k.lower(): v for k, v in options.items()}
-        self.path, self.overwrite = get["path"], overwrite
+        self.path, self.overwrite, self.at_once = get["path"], overwrite, int(get.get("atonce", 1))
         self.attempts = f"_attempt-{uuid.uuid4().hex}-"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
         store, root = open_store(self.path)
         folder = f"{root.rstrip('/')}/{self.attempts}{uuid.uuid4().hex}"
         try:
-            return WrittenFiles(folder, list(self.files(store, folder, iterator)))
+            return WrittenFiles(folder, list(self.files(store, folder, iterator, self.at_once)))
         except BaseException:
             if store.get_file_info(folder).type == pafs.FileType.Directory:
                 store.delete_dir(folder)
             raise
 
     @staticmethod
-    def files(store: pafs.FileSystem, folder: str, iterator: Iterator[pa.RecordBatch]) -> Iterator[str]:
-        """Writes the rows of one task; the names of its files."""
-        out, current, seen = None, None, set()
-        for batch in iterator:
-            heads = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for name, data, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads):
-                name = _inner(name)
-                if name != current:
-                    if out is not None:
-                        out.close()
-                    if name in seen:
-                        raise DuplicateFile(f"the rows of {name} aren't together")
-                    store.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
-                    out, current = store.open_output_stream(f"{folder}/{name}", compression=None), name
-                    out.write((head or "").encode())
-                    seen.add(name)
-                    yield name
-                if data is not None:
-                    out.write(data.encode() if isinstance(data, str) else data)
-        if out is not None:
-            out.close()
+    def files(store: pafs.FileSystem, folder: str, iterator: Iterator[pa.RecordBatch], at_once: int = 1) -> Iterator[str]:
+        """Writes the rows of one task; the names of its files, of which ``at_once`` stay open, those last written to."""
+        out, seen = {}, set()
+        try:
+            for batch in iterator:
+                heads = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+                for name, data, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads):
+                    name = _inner(name)
+                    file = out.pop(name, None)
+                    if file is None:
+                        if len(out) >= at_once:
+                            out.pop(next(iter(out))).close()
+                        if name in seen:
+                            raise DuplicateFile(f"the rows of {name} aren't together")
+                        store.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
+                        file = store.open_output_stream(f"{folder}/{name}", compression=None)
+                        file.write((head or "").encode())
+                        seen.add(name)
+                        yield name
+                    out[name] = file
+                    if data is not None:
+                        file.write(data.encode() if isinstance(data, str) else data)
+        finally:
+            for file in out.values():
+                file.close()
 
     def commit(self, messages: list[WrittenFiles | None]) -> None:
         store, root = open_store(self.path)
@@ -121,17 +125,18 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options, overwrite)
 
 
-def write_named(rows: DataFrame, path: str, order: list[str] | None = None, overwrite: bool = False, together: bool = True) -> None:
+def write_named(rows: DataFrame, path: str, order: list[str] | None = None, overwrite: bool = False, together: bool = True, at_once: int = 1) -> None:
     """Writes ``rows`` (name, data, maybe head, and the columns of ``order``) to files below ``path``.
 
     With ``together`` rows are dealt by name and sorted by name, then ``order``, so a file is written by one task as its
-    rows stream by. Without it every row must be a file of its own, and nothing is shuffled.
+    rows stream by. Without it nothing is shuffled or sorted: a file's rows must be in one task and, unless the task's
+    files are at most ``at_once``, which it then holds open, next to each other.
     """
     rows.sparkSession.dataSource.register(NamedFiles)
     if together:
         rows = rows.repartition(F.col("name")).sortWithinPartitions("name", *(order or []))
     columns = [c for c in ("name", "data", "head") if c in rows.columns]
-    rows.select(*columns).write.format("named_files").mode("overwrite" if overwrite else "append").save(path)
+    rows.select(*columns).write.format("named_files").option("atOnce", at_once).mode("overwrite" if overwrite else "append").save(path)
 
 
 def packed_rows(rows: DataFrame) -> DataFrame:
