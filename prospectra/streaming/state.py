@@ -1,15 +1,17 @@
 """Keyed state in streams: the task state machine, first-seen rows and a cache with a time to live.
 
-Each keeps its state by key under ``transformWithStateInPandas``, so batches touch only the keys that have rows, and a
-restarted stream goes on where its checkpoint ended. All decisions follow the rows' own times, never the clock.
+Each keeps its state by key under ``transformWithState``, so batches touch only the keys that have rows, and a restarted
+stream goes on where its checkpoint ended. Most keys have few rows in a batch, so they come as rows: a pandas frame for
+each key costs far more than its rows. All decisions follow the rows' own times, never the clock.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,18 +26,17 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set(name, STORE)
 
 
-def _micros(at: pd.Timestamp) -> int:
-    return pd.Timestamp(at).value // 1000
+_EPOCH, _MICRO = datetime(1970, 1, 1), timedelta(microseconds=1)
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> list:
-    """All rows of a key in this batch, in order."""
-    return [r for r in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples(index=False)]
+def _micros(at: datetime) -> int:
+    return ((at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)) - _EPOCH) // _MICRO
 
 
 # --- tasks ------------------------------------------------------------------------------------------------------------
 
 ANSWERS = "task_id string, event_id bigint, at timestamp, event string, answer string, status string, attempt_count int, worker_id string"
+ANSWER = Row("task_id", "event_id", "at", "event", "answer", "status", "attempt_count", "worker_id")
 
 
 class TaskMachine(StatefulProcessor):
@@ -51,19 +52,18 @@ class TaskMachine(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("task", "status string, worker_id string, attempts int, most int, lease bigint, last bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.itertuples(index=False):
-            lease = None if pd.isna(row.lease_until) else _micros(row.lease_until)
-            most = self.most if pd.isna(row.max_attempts) else int(row.max_attempts)
-            self.state.update((row.status, None if pd.isna(row.worker_id) else row.worker_id, 0 if pd.isna(row.attempt_count) else int(row.attempt_count), most, lease, None))
-            if row.status == "PROCESSING" and lease is not None:
-                self.handle.registerTimer(-(-lease // 1000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        task = self.state.get() if self.state.exists() else None
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        row = initialState
+        lease = None if row.lease_until is None else _micros(row.lease_until)
+        most = self.most if row.max_attempts is None else row.max_attempts
+        self.state.update((row.status, row.worker_id, row.attempt_count or 0, most, lease, None))
+        if row.status == "PROCESSING" and lease is not None:
+            self.handle.registerTimer(-(-lease // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        task = self.state.get()
         timers = set()
-        for e in _rows(rows, ["at", "event_id"]):
+        for e in sorted(rows, key=itemgetter("at", "event_id")):
             if task is None:
                 answer = "not_found"
             elif task[5] is not None and _micros(e.at) < task[5]:
@@ -72,12 +72,11 @@ class TaskMachine(StatefulProcessor):
                 answer, task = self.step(tuple(task), e)
                 if e.event == "claim" and answer == "claimed":
                     timers.add(-(-task[4] // 1000))
-            out.append((key[0], e.event_id, e.at, e.event, answer, task and task[0], task and task[2], task and task[1]))
+            yield ANSWER(key[0], e.event_id, e.at, e.event, answer, task and task[0], task and task[2], task and task[1])
         if task is not None:
             self.state.update(tuple(task))
         for due in timers:
             self.handle.registerTimer(due)
-        yield pd.DataFrame(out, columns=["task_id", "event_id", "at", "event", "answer", "status", "attempt_count", "worker_id"])
 
     def ended(self, task: tuple, now: int) -> tuple:
         """The task at ``now``: with its lease over and no attempt left it has failed."""
@@ -106,15 +105,14 @@ class TaskMachine(StatefulProcessor):
             answer = status if status in ("COMPLETED", "FAILED") else "conflict"
         return answer, (status, worker, attempts, most, lease, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            before = tuple(self.state.get())
-            now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.state.get()
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # a lease that was replaced or given back has a later end or none
+        if before is not None and before[0] == "PROCESSING" and before[4] is not None and before[4] <= now:
             after = self.ended(before, now + 1)
-            # a lease that was replaced or given back has a later end or none
-            if before[0] == "PROCESSING" and before[4] is not None and before[4] <= now:
-                self.state.update(after)
-                yield pd.DataFrame([(key[0], None, pd.Timestamp(before[4], unit="us"), "lease_end", "expired", after[0], after[2], after[1])], columns=["task_id", "event_id", "at", "event", "answer", "status", "attempt_count", "worker_id"]).astype({"event_id": "Int64"})
+            self.state.update(after)
+            yield ANSWER(key[0], None, _EPOCH + before[4] * _MICRO, "lease_end", "expired", after[0], after[2], after[1])
 
     def close(self) -> None:
         pass
@@ -129,7 +127,7 @@ def run_tasks(events: DataFrame, tasks: DataFrame, lease_seconds: int = 900, max
     """
     use_state_store(events.sparkSession)
     start = tasks.select("task_id", "status", "worker_id", "attempt_count", "max_attempts", "lease_until")
-    return events.withWatermark("at", delay).groupBy("task_id").transformWithStateInPandas(
+    return events.withWatermark("at", delay).groupBy("task_id").transformWithState(
         statefulProcessor=TaskMachine(lease_seconds, max_attempts), outputStructType=ANSWERS, outputMode="append", timeMode="EventTime", initialState=start.groupBy("task_id")
     )
 
@@ -146,18 +144,14 @@ class FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self.seen.update((True,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if not self.seen.exists():
             self.seen.update((True,))
-            # the least row so far, so a key with many rows isn't gathered
-            best = None
-            for part in rows:
-                part = part if best is None else pd.concat([best, part])
-                best = part.sort_values(self.order, kind="stable").head(1)
-            yield best
+            # the least row so far, nulls last, so a key with many rows isn't gathered
+            yield min(rows, key=lambda r: [(r[c] is None, r[c]) for c in self.order])
         else:
             for _ in rows:
                 pass
@@ -173,7 +167,7 @@ def first_seen_stream(rows: DataFrame, key: str, order: list[str], seen: DataFra
     """
     use_state_store(rows.sparkSession)
     some = lambda df: df.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    return some(rows).groupBy(key).transformWithStateInPandas(
+    return some(rows).groupBy(key).transformWithState(
         statefulProcessor=FirstSeen(order), outputStructType=rows.schema, outputMode="append", timeMode="None", initialState=some(seen).select(key).distinct().groupBy(key)
     )
 
@@ -181,6 +175,9 @@ def first_seen_stream(rows: DataFrame, key: str, order: list[str], seen: DataFra
 # --- cache with a time to live ----------------------------------------------------------------------------------------
 
 
+CHECK = Row("domain", "check_type", "event_id", "payload", "hit")
+
+
 class TtlCache(StatefulProcessor):
     """The last value put under a key, while it is younger than the time to live."""
 
@@ -191,24 +188,23 @@ class TtlCache(StatefulProcessor):
         self.handle = handle
         self.value = handle.getValueState("value", "payload string, at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.value.get()) if self.value.exists() else None
-        out, changed = [], False
-        for e in _rows(rows, ["at", "event_id"]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, changed = self.value.get(), False
+        for e in sorted(rows, key=itemgetter("at", "event_id")):
             now = _micros(e.at)
             if e.event == "put":
                 if held is None or now >= held[1]:
                     held, changed = (e.payload, now), True
             else:
                 fresh = held is not None and 0 <= now - held[1] <= self.ttl
-                out.append((*key, e.event_id, held[0] if fresh else None, bool(fresh)))
+                yield CHECK(*key, e.event_id, held[0] if fresh else None, fresh)
         if changed:
             self.value.update(held)
             self.handle.registerTimer(-(-(held[1] + self.ttl) // 1000))
-        yield pd.DataFrame(out, columns=["domain", "check_type", "event_id", "payload", "hit"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.value.exists() and self.value.get()[1] + self.ttl <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.value.get()
+        if held is not None and held[1] + self.ttl <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
             self.value.clear()
         return iter(())
 
@@ -225,6 +221,6 @@ def cache_stream(events: DataFrame, ttl_days: float = 80, delay: str = "0 second
     """
     use_state_store(events.sparkSession)
     out = T.StructType([T.StructField("domain", T.StringType()), T.StructField("check_type", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("payload", T.StringType()), T.StructField("hit", T.BooleanType())])
-    return events.withWatermark("at", delay).groupBy("domain", "check_type").transformWithStateInPandas(
+    return events.withWatermark("at", delay).groupBy("domain", "check_type").transformWithState(
         statefulProcessor=TtlCache(round(ttl_days * 86400)), outputStructType=out, outputMode="append", timeMode="EventTime"
     )
