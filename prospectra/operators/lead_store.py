@@ -22,7 +22,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..schemas import LEAD
 from ..sources.files import open_store
-from .merge import merge_leads
+from .merge import merge_leads, shuffled
 
 INDEX = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.StringType())])
 MANIFEST = "kind string, bucket int, version bigint"
@@ -105,16 +105,16 @@ class LeadStore:
         for kind, rows in keys.items():
             some = rows.where("coalesce(key, '') <> ''").distinct()
             index = self.read_buckets(kind, old, self._touched(some))
-            ids.append(index.join(some, "key", "left_semi").select(F.col("id").alias("key")))
+            ids.append(index.join(shuffled(some), "key", "left_semi").select(F.col("id").alias("key")))
         touched = {"leads": self._touched(reduce(DataFrame.union, ids))}
         before = self.read_buckets("leads", old, touched["leads"])
         new = {("leads", b): version for b in self._write("leads", merge(before, staging), "id", version, touched["leads"])}
         after = self.read_buckets("leads", new)
         for kind in ("url", "phone"):
             pairs = lambda rows: rows.select(F.col(kind).alias("key"), "id").where("coalesce(key, '') <> ''")  # noqa: B023, E731
-            gone, come = pairs(before).join(pairs(after), ["key", "id"], "left_anti"), pairs(after).join(pairs(before), ["key", "id"], "left_anti")
+            gone, come = pairs(before).join(shuffled(pairs(after)), ["key", "id"], "left_anti"), pairs(after).join(shuffled(pairs(before)), ["key", "id"], "left_anti")
             touched[kind] = self._touched(gone.union(come).select("key"))
-            kept = self.read_buckets(kind, old, touched[kind]).join(gone, ["key", "id"], "left_anti")
+            kept = self.read_buckets(kind, old, touched[kind]).join(shuffled(gone), ["key", "id"], "left_anti")
             new |= {(kind, b): version for b in self._write(kind, kept.union(come), "key", version, touched[kind])} if touched[kind] else {}
         versions = {k: v for k, v in old.items() if k[1] not in touched[k[0]]} | new
         self.spark.createDataFrame([(k, b, v) for (k, b), v in versions.items()], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")

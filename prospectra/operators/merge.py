@@ -20,6 +20,15 @@ def prefer_text(new: Column, old: Column) -> Column:
     return F.coalesce(F.nullif(new, F.lit("")), old)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, whatever its size is estimated at.
+
+    A few columns of a wide table in files are estimated at their share of the widths, which for leads of mostly nulls is a
+    small part of their bytes, so sides of any size would pass for small and go through the driver.
+    """
+    return side.hint("merge")
+
+
 def staging_rule(column: str) -> Column:
     """The merged value of one lead column, from ``s`` (staging) and ``m`` (master)."""
     new, old = F.col(f"s.{column}"), F.col(f"m.{column}")
@@ -47,7 +56,7 @@ def match_leads(master: DataFrame, staging: DataFrame) -> DataFrame:
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     newest = F.max_by("s_id", F.struct(F.coalesce(F.unix_micros("at"), F.lit(0)), "s_id")).alias("s_id")
     sides = [("m_id", s.select("s_id", F.col("s_id").alias("v"), "at")), ("m_url", s.select("s_id", F.col("s_url").alias("v"), "at").where(some("v"))), ("m_phone", s.where(~some("s_url")).select("s_id", F.col("s_phone").alias("v"), "at").where(some("v")))]
-    kinds = [m.where(F.col(c).isNotNull()).join(rows.groupBy("v").agg(newest), F.col(c) == F.col("v")).select("m_id", "s_id", F.lit(k).alias("kind")) for k, (c, rows) in enumerate(sides)]
+    kinds = [m.where(F.col(c).isNotNull()).join(shuffled(rows.groupBy("v").agg(newest)), F.col(c) == F.col("v")).select("m_id", "s_id", F.lit(k).alias("kind")) for k, (c, rows) in enumerate(sides)]
     return reduce(DataFrame.union, kinds).groupBy("m_id").agg(F.min_by("s_id", "kind").alias("s_id"))
 
 
@@ -58,10 +67,10 @@ def unmatched_leads(master: DataFrame, staging: DataFrame, legacy: bool = False)
     a known phone under a new url is neither updated nor inserted.
     """
     some = F.coalesce(F.col("url"), F.lit("")) != ""
-    left = staging.join(master.select("id"), "id", "left_anti").join(master.where(some).select("url"), "url", "left_anti").select(staging.columns)
-    phones = master.where(F.coalesce(F.col("phone"), F.lit("")) != "").select(F.col("phone").alias("_phone"))
+    left = staging.join(shuffled(master.select("id")), "id", "left_anti").join(shuffled(master.where(some).select("url").distinct()), "url", "left_anti").select(staging.columns)
+    phones = master.where(F.coalesce(F.col("phone"), F.lit("")) != "").select(F.col("phone").alias("_phone")).distinct()
     on = (F.col("phone") == F.col("_phone")) if legacy else (F.col("phone") == F.col("_phone")) & ~some
-    return left.join(phones, on, "left_anti")
+    return left.join(shuffled(phones), on, "left_anti")
 
 
 def latest_per_id(staging: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def merge_leads(master: DataFrame, staging: DataFrame, legacy: bool = False) ->
     columns = [c for c in LEAD_COLUMNS if c in master.columns]
     staging = latest_per_id(staging)
     pairs = match_leads(master, staging)
-    joined = master.alias("m").join(pairs.alias("p"), F.col("m.id") == F.col("p.m_id"), "left").join(staging.alias("s"), F.col("s.id") == F.col("p.s_id"), "left")
+    joined = master.alias("m").join(shuffled(pairs).alias("p"), F.col("m.id") == F.col("p.m_id"), "left").join(shuffled(staging).alias("s"), F.col("s.id") == F.col("p.s_id"), "left")
     updated = joined.select(*[F.when(F.col("p.s_id").isNull(), F.col(f"m.{c}")).otherwise(staging_rule(c)).alias(c) for c in columns])
     return updated.unionByName(unmatched_leads(master, staging, legacy).select(*columns))
 
@@ -87,7 +96,7 @@ def merge_by_phone(master: DataFrame, staging: DataFrame) -> DataFrame:
     """The older merge on phone alone: eleven columns are updated; rows without a phone are always added."""
     some = F.coalesce(F.col("phone"), F.lit("")) != ""
     latest = staging.where(some).groupBy("phone").agg(F.max_by(F.struct(*[c for c in staging.columns if c != "phone"]), F.struct(F.coalesce(F.unix_micros("last_updated_date"), F.lit(0)), "id")).alias("s"))
-    joined = master.alias("m").join(latest.alias("x"), F.col("m.phone") == F.col("x.phone"), "left")
+    joined = master.alias("m").join(shuffled(latest).alias("x"), F.col("m.phone") == F.col("x.phone"), "left")
 
     def rule(c: str) -> Column:
         old, new = F.col(f"m.{c}"), F.col(f"x.s.{c}") if c != "phone" else F.col("x.phone")
@@ -103,7 +112,7 @@ def merge_by_phone(master: DataFrame, staging: DataFrame) -> DataFrame:
 
     updated = joined.select(*[F.when(F.col("x.phone").isNull(), F.col(f"m.{c}")).otherwise(rule(c)).alias(c) for c in master.columns])
     known = master.where(some).select("phone").distinct()
-    return updated.unionByName(staging.where(some).join(known, "phone", "left_anti").select(*master.columns)).unionByName(staging.where(~some).select(*master.columns))
+    return updated.unionByName(staging.where(some).join(shuffled(known), "phone", "left_anti").select(*master.columns)).unionByName(staging.where(~some).select(*master.columns))
 
 
 def upsert_raw_leads(leads: DataFrame, parsed: DataFrame, now: Column | None = None, keep_enriching: bool = True) -> DataFrame:

@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prospectra.llm import token_files
+from prospectra.operators import merge
+from prospectra.operators.lead_store import LeadStore
+from prospectra.schemas import LEAD, LEAD_COLUMNS
 from prospectra.sources import named_files
 
 
@@ -33,3 +36,18 @@ def test_an_id_costs_little_to_write_and_read():
     frames = list(token_files.frames_of(old + data + wide))
     assert [f.dense for f in frames] == [True, False, False] and frames[0].doc_ids.to_pylist() == [None, 7]
     assert [x.tolist() for x in token_files.decode_frames(frames)] == [np.concatenate(ids[:2]).tolist(), back[0].tolist(), (ids[3] + 70_000).tolist()]
+
+
+def test_a_batch_of_leads_is_not_broadcast(spark, tmp_path):
+    """Sizes of a few columns of wide files are estimated far too low, so no join of a merge may rest on them."""
+    leads = lambda rows: spark.createDataFrame([{**dict.fromkeys(LEAD_COLUMNS), **r} for r in rows], LEAD)
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = runs().size()
+    store = LeadStore(spark, str(tmp_path / "s"), 4)
+    store.apply(leads([{"id": f"{k}", "url": f"u{k}", "phone": f"p{k % 3}"} for k in range(20)]), 0)
+    store.apply(leads([{"id": "1", "url": "new"}, {"id": "x", "url": "", "phone": "p2"}, {"id": "y", "url": "uy", "phone": "p2"}]), 1)
+    merge.merge_by_phone(store.leads(), leads([{"id": "z", "phone": "p1"}])).collect()
+    assert store.leads().count() == 21
+    after = runs()
+    plans = [after.apply(k).physicalPlanDescription() for k in range(before, after.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
