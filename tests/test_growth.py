@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from prospectra.llm import token_files
 from prospectra.operators import merge
@@ -51,3 +53,14 @@ def test_a_batch_of_leads_is_not_broadcast(spark, tmp_path):
     after = runs()
     plans = [after.apply(k).physicalPlanDescription() for k in range(before, after.size())]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_frequent_words_are_remembered():
+    """A memory of words that is full forgets the rare ones; all words' ids are those of each by itself."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    known = token_files.WordIds(tokenizer, most=300)
+    often, odd = [f"Ofté{k}" for k in range(40)], ["a\u00a0b", "ΣΑΣ", "e\u0301x", "İ", "<|endoftext|>'s", "it's", "\u0085", "\u200b", "x" * 300, "ﬁ", "\u1e9b\u0323"]
+    for part in range(30):
+        text = " ".join([*often, *odd[part % 3 :], *(f"w{part}x{k}" for k in range(50))])
+        assert known.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(known.number) <= 300 and (part < 2 or all(w.encode() in known.number for w in often))
