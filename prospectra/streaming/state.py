@@ -30,12 +30,16 @@ _EPOCH, _MICRO = datetime(1970, 1, 1), timedelta(microseconds=1)
 
 
 def _micros(at: datetime) -> int:
-    return ((at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)) - _EPOCH) // _MICRO
+    since = (at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)) - _EPOCH
+    return (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds
 
 
 # --- tasks ------------------------------------------------------------------------------------------------------------
 
 ANSWERS = "task_id string, event_id bigint, at timestamp, event string, answer string, status string, attempt_count int, worker_id string"
+#: Of an event, by place, as names cost more than all else that is done with a row; ``run_tasks`` puts them in this order.
+_EVENT_COLUMNS = ["task_id", "event_id", "at", "event", "worker_id", "retryable"]
+_EVENT, _IN_ORDER = itemgetter(1, 2, 3, 4, 5), itemgetter(1, 0)
 ANSWER = Row("task_id", "event_id", "at", "event", "answer", "status", "attempt_count", "worker_id")
 
 
@@ -63,16 +67,18 @@ class TaskMachine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         task = self.state.get()
         timers = set()
-        for e in sorted(rows, key=itemgetter("at", "event_id")):
+        for event_id, at, event, worker_id, retryable in sorted(map(_EVENT, rows), key=_IN_ORDER):
             if task is None:
                 answer = "not_found"
-            elif task[5] is not None and _micros(e.at) < task[5]:
-                answer = "late"
             else:
-                answer, task = self.step(tuple(task), e)
-                if e.event == "claim" and answer == "claimed":
-                    timers.add(-(-task[4] // 1000))
-            yield ANSWER(key[0], e.event_id, e.at, e.event, answer, task and task[0], task and task[2], task and task[1])
+                now = _micros(at)
+                if task[5] is not None and now < task[5]:
+                    answer = "late"
+                else:
+                    answer, task = self.stepped(tuple(task), now, event, worker_id, retryable)
+                    if answer == "claimed":
+                        timers.add(-(-task[4] // 1000))
+            yield ANSWER(key[0], event_id, at, event, answer, task and task[0], task and task[2], task and task[1])
         if task is not None:
             self.state.update(tuple(task))
         for due in timers:
@@ -85,20 +91,22 @@ class TaskMachine(StatefulProcessor):
         return ("FAILED", worker, attempts, most, lease, last) if over else task
 
     def step(self, task: tuple, e) -> tuple[str, tuple]:
-        now = _micros(e.at)
+        return self.stepped(task, _micros(e.at), e.event, e.worker_id, e.retryable)
+
+    def stepped(self, task: tuple, now: int, event: str, worker_id: str, retryable: bool | None) -> tuple[str, tuple]:
         status, worker, attempts, most, lease, _ = self.ended(task, now)
-        held = status == "PROCESSING" and worker == e.worker_id
-        if e.event == "claim":
+        held = status == "PROCESSING" and worker == worker_id
+        if event == "claim":
             free = status == "PENDING" or (status == "PROCESSING" and lease is not None and lease < now)
             if free and attempts < most:
-                return "claimed", ("PROCESSING", e.worker_id, attempts + 1, most, now + self.lease, now)
+                return "claimed", ("PROCESSING", worker_id, attempts + 1, most, now + self.lease, now)
             answer = "conflict"
-        elif e.event == "submit":
+        elif event == "submit":
             answer = "idempotent" if status == "COMPLETED" else "completed" if held else "conflict"
             if held:
                 status, lease = "COMPLETED", None
         elif held:
-            again = bool(e.retryable) and attempts < most
+            again = bool(retryable) and attempts < most
             status, worker, lease = ("PENDING" if again else "FAILED"), None, None
             answer = status
         else:
@@ -127,7 +135,7 @@ def run_tasks(events: DataFrame, tasks: DataFrame, lease_seconds: int = 900, max
     """
     use_state_store(events.sparkSession)
     start = tasks.select("task_id", "status", "worker_id", "attempt_count", "max_attempts", "lease_until")
-    return events.withWatermark("at", delay).groupBy("task_id").transformWithState(
+    return events.select(_EVENT_COLUMNS).withWatermark("at", delay).groupBy("task_id").transformWithState(
         statefulProcessor=TaskMachine(lease_seconds, max_attempts), outputStructType=ANSWERS, outputMode="append", timeMode="EventTime", initialState=start.groupBy("task_id")
     )
 
@@ -175,6 +183,7 @@ def first_seen_stream(rows: DataFrame, key: str, order: list[str], seen: DataFra
 # --- cache with a time to live ----------------------------------------------------------------------------------------
 
 
+_CALL_COLUMNS, _CALL = ["domain", "check_type", "event_id", "at", "event", "payload"], itemgetter(2, 3, 4, 5)
 CHECK = Row("domain", "check_type", "event_id", "payload", "hit")
 
 
@@ -190,14 +199,14 @@ class TtlCache(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held, changed = self.value.get(), False
-        for e in sorted(rows, key=itemgetter("at", "event_id")):
-            now = _micros(e.at)
-            if e.event == "put":
+        for event_id, at, event, payload in sorted(map(_CALL, rows), key=_IN_ORDER):
+            now = _micros(at)
+            if event == "put":
                 if held is None or now >= held[1]:
-                    held, changed = (e.payload, now), True
+                    held, changed = (payload, now), True
             else:
                 fresh = held is not None and 0 <= now - held[1] <= self.ttl
-                yield CHECK(*key, e.event_id, held[0] if fresh else None, fresh)
+                yield CHECK(*key, event_id, held[0] if fresh else None, fresh)
         if changed:
             self.value.update(held)
             self.handle.registerTimer(-(-(held[1] + self.ttl) // 1000))
@@ -221,6 +230,6 @@ def cache_stream(events: DataFrame, ttl_days: float = 80, delay: str = "0 second
     """
     use_state_store(events.sparkSession)
     out = T.StructType([T.StructField("domain", T.StringType()), T.StructField("check_type", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("payload", T.StringType()), T.StructField("hit", T.BooleanType())])
-    return events.withWatermark("at", delay).groupBy("domain", "check_type").transformWithState(
+    return events.select(_CALL_COLUMNS).withWatermark("at", delay).groupBy("domain", "check_type").transformWithState(
         statefulProcessor=TtlCache(round(ttl_days * 86400)), outputStructType=out, outputMode="append", timeMode="EventTime"
     )

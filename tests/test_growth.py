@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ from prospectra.operators import merge
 from prospectra.operators.lead_store import LeadStore
 from prospectra.schemas import LEAD, LEAD_COLUMNS
 from prospectra.sources import named_files
+from prospectra.streaming import state
 
 
 def test_two_files_of_a_task_are_written_side_by_side(spark, tmp_path):
@@ -64,3 +67,15 @@ def test_frequent_words_are_remembered():
         text = " ".join([*often, *odd[part % 3 :], *(f"w{part}x{k}" for k in range(50))])
         assert known.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert len(known.number) <= 300 and (part < 2 or all(w.encode() in known.number for w in often))
+
+
+def test_rows_of_a_key_are_read_by_place():
+    """Looking a row's values up by name cost more than all else that is done with it, so plain tuples must do."""
+    held = lambda value: SimpleNamespace(get=lambda: value, update=lambda v: None)
+    handle, at = SimpleNamespace(registerTimer=lambda due: None), datetime(2024, 3, 1)
+    cache, task = state.TtlCache(60), state.TaskMachine(900, 3)
+    cache.handle = task.handle = handle
+    cache.value, task.state = held(None), held(("PENDING", None, 0, 3, None, None))
+    assert [tuple(r) for r in cache.handleInputRows(("d", "mx"), iter([("d", "mx", 2, at, "get", None), ("d", "mx", 1, at, "put", "v")]), None)] == [("d", "mx", 2, "v", True)]
+    answers = task.handleInputRows(("t",), iter([("t", 2, at, "submit", "w", True), ("t", 1, at, "claim", "w", True)]), None)
+    assert [(r.event_id, r.answer) for r in answers] == [(1, "claimed"), (2, "completed")]
