@@ -69,6 +69,25 @@ def test_frequent_words_are_remembered():
         assert len(known.number) <= 300 and (part < 2 or all(w.encode() in known.number for w in often))
 
 
+def test_pieces_of_words_are_remembered():
+    """Words in capitals and before a comma cost no new encoding; ids of all words are those of the tokenizer."""
+    with open(public_tokenizers.path(token_files.TOKENIZER), encoding="utf-8") as definition:
+        text = definition.read()
+    tokenizer, rng = Tokenizer.from_str(text), np.random.default_rng(3)
+    known = token_files.PieceIds(tokenizer, token_files.piece_tokenizer(text), most=4000)
+    stems = sorted({"".join(rng.choice(list("aeioulrsténdüß"), 9)) for _ in range(500)})
+    many = " ".join(f"{w} {w.title()} {w}, {w.upper()}!! {w}'s ({w})" for w in stems)
+    assert known.encode([many.encode()])[0].tolist() == tokenizer.encode(many, add_special_tokens=False).ids
+    assert len(known.pieces.number) < 2 * len(stems) + 10 and not known.words.number
+    chars = [*map(chr, range(1, 0x180)), "…", "\u0301", "İ", "Σ", "日", "\u2003", "'", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = [f"{c} a{c} {c}a É{c}É 1{c}2 '{c}'S we'{c} {c}{c} .{c}." for c in chars] + ["", " \n", *("".join(rng.choice([*chars, " "], 40)) for _ in range(3000))]
+    whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in known.encode([t.encode() for t in texts])] == whole
+    assert [known.encode([t.encode()])[0].tolist() for t in texts[::9]] == whole[::9]
+    assert isinstance(token_files._known(text), token_files.PieceIds)
+    assert token_files.piece_tokenizer(text.replace('"NFC"', '"NFKC"')) is None
+
+
 def test_rows_of_a_key_are_read_by_place():
     """Looking a row's values up by name cost more than all else that is done with it, so plain tuples must do."""
     held = lambda value: SimpleNamespace(get=lambda: value, update=lambda v: None)
